@@ -30,7 +30,8 @@ CELL = 4096
 COLUMNS = 16
 #: How sure the test is before it abandons: standard deviations of a partial distance.
 SURE = 2.1
-PROBED = 0.3
+#: Recall of the lists' probes that is aimed at, and the sampled queries that it is measured with.
+RECALL, TRIALS = 0.97, 256
 
 
 def rotation(width: int, seed: int = 7) -> np.ndarray:
@@ -60,6 +61,23 @@ def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :n] if n > 1 else d.argmin(axis=1)[:, None]
 
 
+def probes_for(x: np.ndarray, largest: float, c: np.ndarray, k: int, recall: float, trials: int = TRIALS) -> int:
+    """The fewest lists in which sampled queries find that share of their k best in the sample x; where the k best are
+    nearer, as in more rows than the sample, they are in fewer lists."""
+    q = x[np.random.default_rng(5).permutation(len(x))[:trials]]
+    own = nearest(lifted(x, largest), c, 1)[:, 0]
+    order = nearest(np.column_stack([q, np.zeros(len(q))]), c, len(c)) if len(c) > 1 else np.zeros((len(q), 1), dtype=np.int64)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    scores = q @ x.T
+    scores[scores >= (q * q).sum(axis=1)[:, None] * (1 - 1e-9)] = -np.inf  # the query and its copies
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return 1
+    top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    return int(np.quantile(np.take_along_axis(place, own[top], axis=1), recall, method="higher")) + 1
+
+
 def adaptive_scan(blocks: list[np.ndarray], q: np.ndarray, radius: float, exclude: np.ndarray) -> np.ndarray:
     """Positions whose distance to q may be within sqrt(radius), by tests after each block of columns."""
     width, done = len(q), 0
@@ -79,13 +97,13 @@ def _cell(k: int, largest: float):
     def run(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(candidates) and len(asked):
-            x, q = stacked(candidates["embedding"]), stacked(asked["embedding"])
+            x, q = stacked(candidates["embedding"]), stacked(asked["query"])
             ids = candidates["vec_id"].to_numpy()
             r = rotation(x.shape[1] + 1)
             columns = np.ascontiguousarray((lifted(x, largest) @ r).T)
             blocks = [columns[i : i + COLUMNS] for i in range(0, len(columns), COLUMNS)]
             turned = np.column_stack([q, np.zeros(len(q))]) @ r
-            for own, vector, around in zip(asked["vec_id"].to_numpy(), q, turned, strict=True):
+            for own, vector, around in zip(asked["query_id"].to_numpy(), q, turned, strict=True):
                 exclude = ids == own
                 first = np.flatnonzero(~exclude)[: 4 * k]
                 scores = x[first] @ vector
@@ -104,26 +122,27 @@ def _cell(k: int, largest: float):
     return run
 
 
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, probed: float = PROBED) -> DataFrame:
+def search(vectors: DataFrame, k: int = K, every: int = EVERY, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: about the k best candidates of every row whose vec_id is divisible by `every`.
 
-    probed: the share of the lists that a query visits; all of them if there are 8 or fewer."""
+    recall: the share of true neighbours in the sample whose lists are to be probed; the number of probes follows."""
     own = usable(vectors).where(F.exists("embedding", lambda x: x != 0))
     widths = [r.width for r in own.select(F.size("embedding").alias("width")).distinct().collect()]
-    found = [_search(own.where(F.size("embedding") == w), k, every, probed) for w in widths]
+    found = [_search(own.where(F.size("embedding") == w), k, every, recall) for w in widths]
     if not found:
         return own.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def _search(own: DataFrame, k: int, every: int, probed: float) -> DataFrame:
+def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     counted = own.agg(F.count("*").alias("n"), F.max(norm).alias("largest")).first()
     sample = own.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).select("embedding").toPandas()
     largest = float(counted.largest)
     lists = int(min(MOST_LISTS, max(1, counted.n**0.5)))
-    c = centroids(lifted(stacked(sample["embedding"]), largest), lists)
-    probes = len(c) if len(c) <= 8 else max(8, int(np.ceil(probed * len(c))))
+    fit = stacked(sample["embedding"])
+    c = centroids(lifted(fit, largest), lists)
+    probes = probes_for(fit, largest, c, k, recall)
 
     @F.pandas_udf("int")
     def list_of(e: pd.Series) -> pd.Series:
@@ -142,5 +161,7 @@ def _search(own: DataFrame, k: int, every: int, probed: float) -> DataFrame:
     grid = F.broadcast(sizes.join(askers, "list"))
     left = put.join(grid, "list").withColumn("a", part(F.col("across"), 1)).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
     right = asked.join(grid, "list").withColumn("b", part(F.col("down"), 2)).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
-    cells = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b"))
+    right = right.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("list").alias("at"), F.col("a").alias("qa"), F.col("b").alias("qb"))
+    left = left.select("vec_id", "embedding", "list", "a", "b")
+    cells = left.groupBy("list", "a", "b").cogroup(right.groupBy("at", "qa", "qb"))
     return ranked(cells.applyInPandas(_cell(k, largest), "query_id bigint, vec_id bigint, score double"), k)
