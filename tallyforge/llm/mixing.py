@@ -67,7 +67,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs as often as the mix takes them, all columns as they were. A part of at least half a text is one more whole copy, as no text is cut."""
-    copies = mix(docs).withColumn("copies", (F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).cast("int"))
+    copies = mix(docs).where("size > 0").withColumn("copies", (F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).cast("int"))
     copies = copies.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
     return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_mix_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
 
