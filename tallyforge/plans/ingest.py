@@ -1,4 +1,7 @@
-"""From raw messages to rows of the bill table."""
+"""From raw messages to rows of the bill table.
+
+What several steps read (which messages are new, their extractions) is written to the shared folder once: it is
+decoded once, a lost executor costs no second pass, and a later run doesn't meet what this one kept."""
 
 from __future__ import annotations
 
@@ -11,6 +14,7 @@ from tallyforge.operators.extract import Extractor, bill_rows, chain, escalate,
 from tallyforge.operators.invoice import xml_extractor
 from tallyforge.schemas import EXTRACTION
 from tallyforge.sources import mime
+from tallyforge.sources.shared import saved
 from tallyforge.sources.tables import BillTable
 
 
@@ -22,7 +26,7 @@ def default_extractor(second: Extractor | None = None) -> Extractor:
 
 def extracted(messages: DataFrame, extractor: Extractor) -> DataFrame:
     """Messages (id, hash, content) with their extraction, or an error."""
-    envelopes = mime.decode(messages).persist()
+    envelopes = saved(mime.decode(messages))
     sound = extractor(envelopes.where("error IS NULL"), "extraction").select("id", "hash", "extraction", "error")
     failed = envelopes.where("error IS NOT NULL").select("id", "hash", F.lit(None).cast(EXTRACTION).alias("extraction"), "error")
     return sound.unionByName(failed)
@@ -33,11 +37,13 @@ def ingest(messages: DataFrame, table: BillTable, extractor: Extractor | None =
 
     Messages that are stored, and later ones of the same bytes, are set aside before anything is decoded. An error
     stores nothing."""
-    given = identified(messages).persist()
+    given = identified(messages)
     stored = table.read()
-    marked = bills.outcomes(given, stored, F.col(order)).persist()
-    fresh = extracted(marked.where(F.col("outcome") == bills.CREATED).select("id", "hash", "content"), extractor or default_extractor()).persist()
-    rows = bill_rows(fresh.where("error IS NULL")).join(marked.where(F.col("outcome") == bills.CREATED).select("hash", order), "hash")
+    marked = saved(bills.outcomes(given.select(order, "id", "hash"), stored, F.col(order)))
+    created = marked.where(F.col("outcome") == bills.CREATED)
+    contents = given.select(order, "hash", "content").join(created.select("id", "hash", order), ["hash", order]).select("id", "hash", "content")
+    fresh = saved(extracted(contents, extractor or default_extractor()))
+    rows = bill_rows(fresh.where("error IS NULL")).join(created.select("hash", order), "hash")
     table.append(bills.insert(stored, rows, [order]))
     errors = fresh.where("error IS NOT NULL").select(F.col("hash").alias("_hash"), "error")
     done = marked.join(errors, F.col("hash") == F.col("_hash"), "left")
@@ -47,12 +53,14 @@ def ingest(messages: DataFrame, table: BillTable, extractor: Extractor | None =
 
 def reextract(messages: DataFrame, table: BillTable, extractor: Extractor | None = None, order: str = "path") -> DataFrame:
     """Extracts again, stored or not, and replaces what differs exactly. Returns id, outcome, error."""
-    given = identified(messages).dropDuplicates(["hash"]).persist()
-    fresh = extracted(given.select("id", "hash", "content"), extractor or default_extractor()).persist()
+    given = identified(messages)
+    first = saved(bills.first_of_each_hash(given.select(order, "id", "hash"), F.col(order)).where("first").drop("first"))
+    contents = given.select(order, "hash", "content").join(first, ["hash", order]).select("id", "hash", "content")
+    fresh = saved(extracted(contents, extractor or default_extractor()))
     stored = table.read()
-    judged = bills.compared(bill_rows(fresh.where("error IS NULL")), stored).persist()
+    judged = saved(bills.compared(bill_rows(fresh.where("error IS NULL")), stored))
     after = bills.replaced(stored, judged.where(F.col("outcome") == bills.UPDATED))
-    created = judged.where(F.col("outcome") == bills.CREATED).drop("outcome").join(given.select("hash", order), "hash")
+    created = judged.where(F.col("outcome") == bills.CREATED).drop("outcome").join(first.select("hash", order), "hash")
     table.write(after.unionByName(bills.insert(stored, created, [order]).select(*after.columns)))
     failed = fresh.where("error IS NOT NULL").select("id", F.lit(bills.FAILED).alias("outcome"), "error")
     return judged.select("id", "outcome", F.lit(None).cast("string").alias("error")).unionByName(failed)

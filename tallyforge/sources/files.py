@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 #: Bytes of a message, at most.
 MAX_MESSAGE = 25 << 20
 
@@ -15,7 +16,7 @@ def messages(spark: SparkSession, path: str, pattern: str = "*.eml") -> DataFram
 
 
 def message_stream(spark: SparkSession, path: str, pattern: str = "*.eml", files: int = 1000) -> DataFrame:
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).load(path).select("path", "length", "content")
+    return spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).load(path).select("path", "length", "content")
 
 
 def within_limit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
