@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.validate import broken_invariant, is_bill_id, page_size
 from tallyforge.schemas import BILL_COLUMNS, NEEDS_REVIEW
+from tallyforge.sources.shared import saved
 
 CREATED, DUPLICATE, UPDATED, UNCHANGED, FAILED = "created", "duplicate", "updated", "unchanged", "failed"
 
@@ -30,9 +31,11 @@ def outcomes(messages: DataFrame, stored: DataFrame, order: Column) -> DataFrame
 
 
 def numbered(new: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
-    """new with seq after the last stored one. The numbers within the batch come from per-partition counts, not from one task."""
+    """new with seq after the last stored one. The numbers within the batch come from per-partition counts, not from one task;
+    the rows are written first, as ranges dealt out twice could differ."""
     last = stored.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n")).first().n
     placed = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = saved(placed)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return placed.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("seq", F.lit(last) + F.col("_before") + F.col("_nth") + 1).drop("_part", "_nth", "_before")
