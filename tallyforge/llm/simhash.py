@@ -170,7 +170,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """The row of docs with the least doc_id of each group, all columns as they were; rows without a doc_id stay only if nothing else has their fingerprint."""
-    kept = near_duplicates(docs).where("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    own = docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")), "left_semi")
-    ordered = Window.partitionBy(F.col("doc_id")).orderBy(F.xxhash64("text"))
-    return own.withColumn("_nth", F.row_number().over(ordered)).where("_nth = 1").drop("_nth")
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "_none": F.col("doc_id").isNull()}
+    kept = near_duplicates(docs).where("component_id IS NULL OR doc_id = component_id").withColumns(keys).select("_id", "_none").distinct()
+    # the window's keys are the join's, so the texts are shuffled once
+    own = docs.withColumns(keys).join(kept, ["_id", "_none"], "left_semi")
+    ordered = Window.partitionBy("_id", "_none").orderBy(F.xxhash64("text"))
+    return own.withColumn("_nth", F.row_number().over(ordered)).where("_nth = 1").select(*docs.columns)
