@@ -87,8 +87,7 @@ def invoices(rows: DataFrame) -> DataFrame:
     return rows.withColumn("xml", xml)
 
 
-@F.pandas_udf("binary")
-def zipped(xml: pd.Series, stored: pd.Series) -> pd.Series:
+def zipped(xml: Column, stored: Column) -> Column:
     """An archive with a folder, a note and the text."""
 
     def one(text: str, plain: bool) -> bytes:
@@ -99,7 +98,10 @@ def zipped(xml: pd.Series, stored: pd.Series) -> pd.Series:
             z.writestr(zipfile.ZipInfo("folder/bill.XML"), text.encode(), zipfile.ZIP_STORED if plain else zipfile.ZIP_DEFLATED)
         return out.getvalue()
 
-    return pd.Series([one(t, s) for t, s in zip(xml, stored, strict=True)])
+    def run(texts: pd.Series, plain: pd.Series) -> pd.Series:
+        return pd.Series([one(t, s) for t, s in zip(texts, plain, strict=True)])
+
+    return F.pandas_udf(run, "binary")(xml, stored)
 
 
 def bill_table(spark: SparkSession, sf_dir: str) -> DataFrame:
