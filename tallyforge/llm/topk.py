@@ -3,7 +3,7 @@
 Candidates and queries are dealt into a grid of blocks, and every cell runs the threshold algorithm: each
 dimension has a list of the block's vectors in descending contribution, lists are read in growing depths,
 vectors met for the first time are scored in full, and reading stops when the sum of the contributions at the
-depth reached, which bounds every unseen vector, is below the kth score. A window merges the cells' results.
+depth reached, which bounds every unseen vector, is below the kth score, or no vector is unseen. A window merges the cells' results.
 
 Components are floor(256 * x). Rows without an id, null vectors and vectors with null or non-finite components
 take no part. Vectors meet only those of their own length. Rows that share a vec_id are candidates each, but ask
@@ -27,50 +27,62 @@ FIRST_DEPTH = 8
 
 def threshold_search(x: np.ndarray, ids: np.ndarray, order: np.ndarray, q: np.ndarray, own: int, k: int) -> np.ndarray:
     """Positions of the k best rows of x for q, without those whose id is `own`. order: x's rows ascending in each column."""
-    used = np.flatnonzero(q != 0)
+    up, down = np.flatnonzero(q < 0), np.flatnonzero(q > 0)
     n = len(x)
-    lists = np.where(q[used] > 0, order[::-1, used], order[:, used])  # best contribution first
     seen = ids == own
     top = np.zeros(0, dtype=np.int64)
     scores = np.zeros(n, dtype=x.dtype)
     depth, step = 0, FIRST_DEPTH
-    while depth < n and len(used):
+    while depth < n and len(up) + len(down):
         upto = min(n, depth + step)
         fresh = np.zeros(n, dtype=bool)
-        fresh[lists[depth:upto].ravel()] = True
+        # the best contributions stand first in columns that q turns round, last in the others
+        fresh[order[depth:upto, up]] = True
+        fresh[order[n - upto : n - depth, down]] = True
         fresh &= ~seen
         new = np.flatnonzero(fresh)
         seen |= fresh
-        scores[new] = x[new] @ q
+        scores[new] = x.take(new, axis=0) @ q
         pool = np.concatenate([top, new])
         top = pool[best(scores[pool], ids[pool], k)]
+        if seen.all():
+            break
         if upto < n and len(top) == k:
-            bound = (x[lists[upto], used] * q[used]).sum()
+            bound = (x[order[upto, up], up] * q[up]).sum() + (x[order[n - 1 - upto, down], down] * q[down]).sum()
             if bound < scores[top[-1]]:
                 break
         depth, step = upto, step * 2
-    if not len(used):
+    if not len(up) + len(down):
         rest = np.flatnonzero(~seen)
         top = rest[best(scores[rest], ids[rest], k)]
     return top
 
 
+def exact(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers in the smallest kind in which no inner product is rounded: single or double precision, or whole numbers of any size."""
+    most = x.shape[1] * max(1.0, np.abs(x).max(initial=0)) * max(1.0, np.abs(q).max(initial=0))
+    if most < 2**24:
+        return x.astype(np.float32), q.astype(np.float32)
+    return (x, q) if most < 2**53 else (np.frompyfunc(int, 1, 1)(x), np.frompyfunc(int, 1, 1)(q))
+
+
 def _cell(k: int):
     def run(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        queries, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(candidates) and len(asked):
             x, q = np.floor(SCALE * stacked(candidates["embedding"])), np.floor(SCALE * stacked(asked["embedding"]))
             ids = candidates["vec_id"].to_numpy()
-            order = np.argsort(x, axis=0, kind="stable")
-            if x.shape[1] * max(1, np.abs(x).max(initial=0)) * max(1, np.abs(q).max(initial=0)) >= 2**53:  # beyond exact doubles: whole numbers of any size
-                x, q = np.frompyfunc(int, 1, 1)(x), np.frompyfunc(int, 1, 1)(q)
+            order = np.argsort(x, axis=0, kind="stable").astype(np.int32)
+            x, q = exact(x, q)
             for own, row in zip(asked["vec_id"].to_numpy(), q, strict=True):
                 at = threshold_search(x, ids, order, row, own, k)
                 score = x[at] @ row
                 if score.dtype == object:
                     score = np.array([min(max(s, -(2**63)), 2**63 - 1) for s in score], dtype=np.int64)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at], "score": score.astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                queries.append(np.full(len(at), own))
+                found.append(ids[at])
+                scores.append(score.astype(np.int64))
+        return pd.DataFrame({"query_id": np.concatenate(queries), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
     return run
 
