@@ -28,6 +28,8 @@ K, EVERY = 20, 20
 SAMPLE, MOST_LISTS = 16_384, 1024
 CELL = 4096
 COLUMNS = 16
+#: Rows of a list on average, until there are MOST_LISTS; queries scanned at once; candidates scored in full first.
+LIST, CHUNK, FIRST = 1024, 256, 400
 #: How sure the test is before it abandons: standard deviations of a partial distance.
 SURE = 2.1
 #: Recall of the lists' probes that is aimed at, and the sampled queries that it is measured with.
@@ -78,46 +80,71 @@ def probes_for(x: np.ndarray, largest: float, c: np.ndarray, k: int, recall: flo
     return int(np.quantile(np.take_along_axis(place, own[top], axis=1), recall, method="higher")) + 1
 
 
-def adaptive_scan(blocks: list[np.ndarray], q: np.ndarray, radius: float, exclude: np.ndarray) -> np.ndarray:
-    """Positions whose distance to q may be within sqrt(radius), by tests after each block of columns."""
-    width, done = len(q), 0
-    alive = np.flatnonzero(~exclude)
-    partial = np.zeros(len(alive))
+def adaptive_scan(blocks: list[np.ndarray], q: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (candidate, query) whose distance may be within the query's radius (squared), by a test after each block of columns.
+
+    blocks: columns x candidates; q: queries x width. While many pairs are left, a block is one product of matrices over the
+    candidates that any query still wants; once few are, it goes on with those pairs alone."""
+    width, done = q.shape[1], 0
+    rows = np.arange(blocks[0].shape[1])
+    partial = np.zeros((len(rows), len(q)))
+    pairs: tuple[np.ndarray, np.ndarray] | None = None
     for block in blocks:
-        own = block[:, alive] - q[done : done + len(block), None]
-        partial += (own * own).sum(axis=0)
+        own = np.ascontiguousarray(q[:, done : done + len(block)])
         done += len(block)
         slack = 1.0 if done == width else (1 + SURE / np.sqrt(done)) ** 2 * done / width
-        stay = partial <= radius * slack * (1 + 1e-9)
-        alive, partial = alive[stay], partial[stay]
-    return alive
+        limit = radius * slack * (1 + 1e-9) + 1e-9
+        if pairs is None:
+            x = block[:, rows]
+            partial += (x * x).sum(axis=0)[:, None] + (own * own).sum(axis=1)[None, :] - 2 * (x.T @ own.T)
+            alive = partial <= limit[None, :]
+            partial[~alive] = np.inf
+            wanted = alive.any(axis=1)
+            rows, partial, alive = rows[wanted], partial[wanted], alive[wanted]
+            if done < width and alive.mean() < 0.05 if alive.size else True:
+                i, j = np.nonzero(alive)
+                pairs, partial = (rows[i], j), partial[i, j]
+        else:
+            i, j = pairs
+            partial += ((block[:, i] - own[j].T) ** 2).sum(axis=0)
+            stay = partial <= limit[j]
+            pairs, partial = (i[stay], j[stay]), partial[stay]
+    if pairs is None:
+        i, j = np.nonzero(np.isfinite(partial))
+        return rows[i], j
+    return pairs
 
 
 def _cell(k: int, largest: float):
     def run(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        queries, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(candidates) and len(asked):
-            x, q = stacked(candidates["embedding"]), stacked(asked["query"])
-            ids = candidates["vec_id"].to_numpy()
+            x, every = stacked(candidates["embedding"]), stacked(asked["query"])
+            ids, own = candidates["vec_id"].to_numpy(), asked["query_id"].to_numpy()
             r = rotation(x.shape[1] + 1)
             columns = np.ascontiguousarray((lifted(x, largest) @ r).T)
             blocks = [columns[i : i + COLUMNS] for i in range(0, len(columns), COLUMNS)]
-            turned = np.column_stack([q, np.zeros(len(q))]) @ r
-            for own, vector, around in zip(asked["query_id"].to_numpy(), q, turned, strict=True):
-                exclude = ids == own
-                first = np.flatnonzero(~exclude)[: 4 * k]
-                scores = x[first] @ vector
-                top = first[best(scores, ids[first], k)]
-                if len(top) == k:
-                    kth = scores[np.searchsorted(first, top[-1])]
-                    radius = max(0.0, float(vector @ vector) + largest**2 - 2 * float(kth))
-                    exclude = exclude.copy()
-                    exclude[first] = True
-                    more = adaptive_scan(blocks, around, radius, exclude)
-                    pool = np.concatenate([top, more])
-                    top = pool[best(x[pool] @ vector, ids[pool], k)]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[top], "score": x[top] @ vector}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            for at in range(0, len(every), CHUNK):
+                q, name = every[at : at + CHUNK], own[at : at + CHUNK]
+                # the kth of a first few, scored in full, is the radius of each query
+                first = x[:FIRST] @ q.T
+                first[ids[:FIRST, None] == name[None, :]] = -np.inf
+                kth = np.partition(first, len(first) - k, axis=0)[len(first) - k] if len(first) >= k else np.full(len(q), -np.inf)
+                radius = (q * q).sum(axis=1) + largest**2 - 2 * kth
+                i, j = adaptive_scan(blocks, np.column_stack([q, np.zeros(len(q))]) @ r, radius)
+                other = ids[i] != name[j]
+                i, j = i[other], j[other]
+                score = np.einsum("ij,ij->i", x[i], q[j])
+                order = np.argsort(j, kind="stable")
+                i, score = i[order], score[order]
+                ends = np.searchsorted(j[order], np.arange(len(q) + 1))
+                for n in range(len(q)):
+                    mine, s = i[ends[n] : ends[n + 1]], score[ends[n] : ends[n + 1]]
+                    top = best(s, ids[mine], k)
+                    queries.append(np.full(len(top), name[n]))
+                    found.append(ids[mine[top]])
+                    scores.append(s[top])
+        return pd.DataFrame({"query_id": np.concatenate(queries), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
     return run
 
@@ -139,7 +166,7 @@ def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
     counted = own.agg(F.count("*").alias("n"), F.max(norm).alias("largest")).first()
     sample = own.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).select("embedding").toPandas()
     largest = float(counted.largest)
-    lists = int(min(MOST_LISTS, max(1, counted.n**0.5)))
+    lists = min(MOST_LISTS, max(1, counted.n // LIST))
     fit = stacked(sample["embedding"])
     c = centroids(lifted(fit, largest), lists)
     probes = probes_for(fit, largest, c, k, recall)

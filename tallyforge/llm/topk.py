@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.vectors import best, part, queries_of, ranked, stacked, usable
 
 K, EVERY, SCALE = 5, 50, 256
-CANDIDATES, QUERIES = 2048, 1024
-FIRST_DEPTH = 8
+CANDIDATES, QUERIES = 4096, 1024
+FIRST_DEPTH = 16
 
 
 def threshold_search(x: np.ndarray, ids: np.ndarray, order: np.ndarray, q: np.ndarray, own: int, k: int) -> np.ndarray:

@@ -99,11 +99,12 @@ def test_recall_on_the_table(spark):
     assert np.mean(recall) >= 0.9
 
 
-def test_an_abandoned_candidate_is_beyond_the_radius():
+@pytest.mark.parametrize("share", [20, 400])
+def test_an_abandoned_candidate_is_beyond_the_radius(share):
     rng = np.random.default_rng(1)
-    x, q = rng.standard_normal((500, 65)), rng.standard_normal(65)
-    d = ((x - q) ** 2).sum(axis=1)
-    radius = np.sort(d)[20]
+    x, q = rng.standard_normal((500, 65)), rng.standard_normal((7, 65))
+    d = ((x[:, None, :] - q[None, :, :]) ** 2).sum(axis=2)
+    radius = np.sort(d, axis=0)[share]
     columns = np.ascontiguousarray(x.T)
-    kept = ann.adaptive_scan([columns[i : i + 16] for i in range(0, 65, 16)], q, radius, np.zeros(500, dtype=bool))
-    assert (d[kept] <= radius * (1 + 1e-6)).all() and len(kept) >= 18
+    i, j = ann.adaptive_scan([columns[n : n + 16] for n in range(0, 65, 16)], q, radius)
+    assert (d[i, j] <= radius[j] * (1 + 1e-6)).all() and len(i) >= 0.9 * 7 * share and len(set(zip(i, j))) == len(i)
