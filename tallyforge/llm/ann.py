@@ -4,7 +4,7 @@ Largest inner product becomes least Euclidean distance by one more component, sq
 (M the largest norm) and 0 for queries. k-means on a bounded, seeded sample gives the lists; every row is put
 into its nearest list, and a query probes its nearest lists. In a list, rotated vectors are scanned in blocks of columns, and a candidate
 is abandoned once a hypothesis test on its partial distance says that it is beyond the kth. Survivors get their
-exact inner product in double precision. Lists of more than CELL rows are split, queries of a list likewise, so
+exact inner product in double precision. A query's kth best score in the sample bounds what a list has to return. Lists of more than CELL rows are split, queries of a list likewise, so
 that a list with a third of all rows spreads over many tasks.
 
 Rows without an id, null or zero vectors and vectors with null or non-finite components take no part. Vectors
@@ -80,6 +80,19 @@ def probes_for(x: np.ndarray, largest: float, c: np.ndarray, k: int, recall: flo
     return int(np.quantile(np.take_along_axis(place, own[top], axis=1), recall, method="higher")) + 1
 
 
+def sample_bounds(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The kth best score of each query among the sample's rows, which its kth best of all rows can't be below; minus infinity in a smaller sample."""
+    out = np.full(len(q), -np.inf)
+    for at in range(0, len(q), CHUNK if len(x) >= k else max(1, len(q))):
+        if len(x) >= k:
+            scores = q[at : at + CHUNK] @ x.T
+            scores[own[at : at + CHUNK, None] == ids[None, :]] = -np.inf
+            # a little less, as products of matrices round in their own order
+            kth = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k]
+            out[at : at + CHUNK] = kth - 1e-9 * (1 + np.abs(kth))
+    return out
+
+
 def adaptive_scan(blocks: list[np.ndarray], q: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (candidate, query) whose distance may be within the query's radius (squared), by a test after each block of columns.
 
@@ -120,17 +133,17 @@ def _cell(k: int, largest: float):
         queries, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(candidates) and len(asked):
             x, every = stacked(candidates["embedding"]), stacked(asked["query"])
-            ids, own = candidates["vec_id"].to_numpy(), asked["query_id"].to_numpy()
+            ids, own, bound = candidates["vec_id"].to_numpy(), asked["query_id"].to_numpy(), asked["bound"].to_numpy()
             r = rotation(x.shape[1] + 1)
             columns = np.ascontiguousarray((lifted(x, largest) @ r).T)
             blocks = [columns[i : i + COLUMNS] for i in range(0, len(columns), COLUMNS)]
             for at in range(0, len(every), CHUNK):
-                q, name = every[at : at + CHUNK], own[at : at + CHUNK]
-                # the kth of a first few, scored in full, is the radius of each query
+                q, name, least = every[at : at + CHUNK], own[at : at + CHUNK], bound[at : at + CHUNK]
+                # the kth of a first few, scored in full, or of the sample gives the radius of each query
                 first = x[:FIRST] @ q.T
                 first[ids[:FIRST, None] == name[None, :]] = -np.inf
                 kth = np.partition(first, len(first) - k, axis=0)[len(first) - k] if len(first) >= k else np.full(len(q), -np.inf)
-                radius = (q * q).sum(axis=1) + largest**2 - 2 * kth
+                radius = (q * q).sum(axis=1) + largest**2 - 2 * np.maximum(kth, least)
                 i, j = adaptive_scan(blocks, np.column_stack([q, np.zeros(len(q))]) @ r, radius)
                 other = ids[i] != name[j]
                 i, j = i[other], j[other]
@@ -164,12 +177,17 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, recall: float = R
 def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     counted = own.agg(F.count("*").alias("n"), F.max(norm).alias("largest")).first()
-    sample = own.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).select("embedding").toPandas()
+    sample = own.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).toPandas()
     largest = float(counted.largest)
     lists = min(MOST_LISTS, max(1, counted.n // LIST))
     fit = stacked(sample["embedding"])
     c = centroids(lifted(fit, largest), lists)
     probes = probes_for(fit, largest, c, k, recall)
+    shared = own.sparkSession.sparkContext.broadcast((fit, sample["vec_id"].to_numpy()))
+
+    @F.pandas_udf("double")
+    def bound_of(id: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series(sample_bounds(stacked(e), id.to_numpy(), *shared.value, k)) if len(e) else pd.Series(dtype=float)
 
     @F.pandas_udf("int")
     def list_of(e: pd.Series) -> pd.Series:
@@ -181,14 +199,14 @@ def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
         return pd.Series(list(nearest(np.column_stack([x, np.zeros(len(x))]), c, probes).astype("int32"))) if len(e) else pd.Series(dtype=object)
 
     put = own.withColumn("list", list_of("embedding"))
-    asked = queries_of(own, every).withColumn("list", F.explode(lists_of("embedding")))
+    asked = queries_of(own, every).withColumn("bound", bound_of("vec_id", "embedding")).withColumn("list", F.explode(lists_of("embedding")))
     # as many rows as there are lists
     sizes = put.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias("across"))
     askers = asked.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias("down"))
     grid = F.broadcast(sizes.join(askers, "list"))
     left = put.join(grid, "list").withColumn("a", part(F.col("across"), 1)).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
     right = asked.join(grid, "list").withColumn("b", part(F.col("down"), 2)).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
-    right = right.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("list").alias("at"), F.col("a").alias("qa"), F.col("b").alias("qb"))
+    right = right.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "bound", F.col("list").alias("at"), F.col("a").alias("qa"), F.col("b").alias("qb"))
     left = left.select("vec_id", "embedding", "list", "a", "b")
     cells = left.groupBy("list", "a", "b").cogroup(right.groupBy("at", "qa", "qb"))
     return ranked(cells.applyInPandas(_cell(k, largest), "query_id bigint, vec_id bigint, score double"), k)
