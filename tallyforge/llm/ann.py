@@ -4,7 +4,7 @@ Largest inner product becomes least Euclidean distance by one more component, sq
 (M the largest norm) and 0 for queries. k-means on a bounded, seeded sample gives the lists; every row is put
 into its nearest list, and a query probes its nearest lists. In a list, rotated vectors are scanned in blocks of columns, and a candidate
 is abandoned once a hypothesis test on its partial distance says that it is beyond the kth. Survivors get their
-exact inner product in double precision. A query's 2kth best score in the sample bounds what a list has to return. Lists of more than CELL rows are split, queries of a list likewise, so
+exact inner product in double precision. A query's 4kth best score in the sample bounds what a list has to return. Lists of more than CELL rows are split, queries of a list likewise, so
 that a list with a third of all rows spreads over many tasks.
 
 Rows without an id, null or zero vectors and vectors with null or non-finite components take no part. Vectors
@@ -81,8 +81,8 @@ def probes_for(x: np.ndarray, largest: float, c: np.ndarray, k: int, recall: flo
 
 
 def sample_bounds(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The 2kth best score of each query among the sample's rows, so that probes that miss some still find k above it; minus infinity in a smaller sample."""
-    k *= 2
+    """The 4kth best score of each query among the sample's rows, so that probes that miss some still find k above it; minus infinity in a smaller sample."""
+    k *= 4
     out = np.full(len(q), -np.inf)
     for at in range(0, len(q), CHUNK if len(x) >= k else max(1, len(q))):
         if len(x) >= k:
