@@ -8,8 +8,8 @@ exact inner product in double precision. A query's 4kth best score in the sample
 that a list with a third of all rows spreads over many tasks.
 
 Rows without an id, null or zero vectors and vectors with null or non-finite components take no part. Vectors
-meet only those of their own length. Rows that share a vec_id are candidates each, but ask once and aren't candidates of
-their own id. An empty table has no results. Columns other than vec_id and embedding are ignored.
+meet only those of their own length. Rows that share a vec_id are one result, with the best
+score, ask once, and aren't candidates of their own id. An empty table has no results. Columns other than vec_id and embedding are ignored.
 """
 
 from __future__ import annotations
@@ -186,6 +186,17 @@ def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
     probes = probes_for(fit, largest, c, k, recall)
     shared = own.sparkSession.sparkContext.broadcast((fit, sample["vec_id"].to_numpy()))
 
+    @F.pandas_udf("array<int>")
+    def leaders_of(id: pd.Series, e: pd.Series) -> pd.Series:
+        """The sample's k best rows for each query, so that one whose neighbours are in lists it doesn't probe still gets k."""
+        x, names = shared.value
+        out = []
+        for q, name in zip(e, id, strict=True):
+            score = x @ q
+            score[names == name] = -np.inf
+            out.append(best(score, names, min(k, int((names != name).sum()))).astype("int32"))
+        return pd.Series(out, dtype=object)
+
     @F.pandas_udf("double")
     def bound_of(id: pd.Series, e: pd.Series) -> pd.Series:
         return pd.Series(sample_bounds(stacked(e), id.to_numpy(), *shared.value, k)) if len(e) else pd.Series(dtype=float)
@@ -210,4 +221,12 @@ def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
     right = right.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "bound", F.col("list").alias("at"), F.col("a").alias("qa"), F.col("b").alias("qb"))
     left = left.select("vec_id", "embedding", "list", "a", "b")
     cells = left.groupBy("list", "a", "b").cogroup(right.groupBy("at", "qa", "qb"))
-    return ranked(cells.applyInPandas(_cell(k, largest), "query_id bigint, vec_id bigint, score double"), k)
+    found = cells.applyInPandas(_cell(k, largest), "query_id bigint, vec_id bigint, score double")
+
+    @F.pandas_udf("array<struct<vec_id bigint, score double>>")
+    def scored(at: pd.Series, e: pd.Series) -> pd.Series:
+        x, names = shared.value
+        return pd.Series([[{"vec_id": int(names[i]), "score": float(x[i] @ q)} for i in places] for places, q in zip(at, e, strict=True)], dtype=object)
+
+    leaders = queries_of(own, every).select(F.col("vec_id").alias("query_id"), F.explode(scored(leaders_of("vec_id", "embedding"), "embedding")).alias("r")).select("query_id", "r.vec_id", "r.score")
+    return ranked(found.unionByName(leaders).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
