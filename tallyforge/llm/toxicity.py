@@ -1,13 +1,14 @@
 """Operator 4: toxicity by nearest labelled examples, exact TF-IDF cosine over a block-max inverted index.
 
 Examples are a bounded, seeded sample of the labelled rows that aren't held out, as many of either class as there
-are, up to PER_CLASS. Terms are the words whose association with the label, by chi-squared over the examples, is
-beyond chance; TF-IDF vectors are over these terms. The index has the postings of blocks of BLOCK examples and
-each term's largest weight in each block: a text's blocks are visited in descending bound, and the rest is skipped
-once the bound is below the kth cosine, so the neighbours are exact. Neighbours vote with weights that fall with
-distance; isotonic regression of leave-one-out votes, weighted to the classes' true rates, calibrates the votes.
-
-Null and empty texts, and texts without a term of the index, get the calibrated rate of such examples. Equal cosines go
+are, up to PER_CLASS. Terms are all words of the examples. A word weighs its idf times 1 + its chi-squared against the
+label over the examples, so that what tells the classes apart counts most and no word is without weight. The index
+is sparse: the postings of blocks of BLOCK examples and each term's largest weight in each block that has it. A
+text's blocks are visited in descending bound, and the rest is skipped once the bound is below the kth cosine, so
+the neighbours are exact. Neighbours vote with weights that fall with distance; isotonic regression of
+leave-one-out votes, weighted to the classes' true rates, calibrates the votes.
+
+Null and empty texts, and texts without a word of any example, get the calibrated rate of such examples. Equal cosines go
 to the example earlier in the index. Without examples of both classes every score is the rate of toxic labels,
 0 without labels. Repeated rows get a row each; of repeated labels the largest counts. Only text is used for a
 score; other columns are ignored.
@@ -28,10 +29,6 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import is_held_out, slices, texts
 
 PER_CLASS = 2048
-TERMS = 1024
-#: Chi-squared with one degree of freedom that chance exceeds once in a million words.
-CHI_SQUARED = 24.0
-LEAST_DOCUMENTS = 5
 BLOCK = 64
 K = 15
 THRESHOLD = 0.3
@@ -43,18 +40,43 @@ def words(text: str) -> list[str]:
     return _word.findall(text.lower())
 
 
+class Starts:
+    """[block, term]: where the postings of a term in a block start; they end where the next term's start."""
+
+    def __init__(self, cells: np.ndarray, offsets: np.ndarray, blocks: int, terms: int) -> None:
+        self.cells, self.offsets, self.blocks, self.terms = cells, offsets, blocks, terms
+
+    def __len__(self) -> int:
+        return self.blocks
+
+    def __getitem__(self, at: tuple[int, int]) -> int:
+        return self.offsets[np.searchsorted(self.cells, at[0] * self.terms + at[1])]
+
+
+def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, one range after another, and the number of each one's range."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(n)), n)
+
+
 @dataclass
 class Index:
-    """vocabulary: term -> number; weights: its idf; bounds: terms x blocks; starts: blocks x (terms + 1) into rows and values."""
+    """vocabulary: term -> number; weights: of each term; rows (in the block) and values: the postings, block by block and term by term in these.
+
+    A cell is a term in a block: of_term has where each term's cells start in block, largest, first and end."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    weights: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
-    bounds: np.ndarray
-    starts: np.ndarray
+    starts: Starts
     rows: np.ndarray
     values: np.ndarray
+    of_term: np.ndarray
+    block: np.ndarray
+    largest: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
     votes: np.ndarray | None = None
     rates: np.ndarray | None = None
     rate: float = 0.0
@@ -65,27 +87,36 @@ class Index:
         get = self.vocabulary.get
         tf = Counter([t for w in words(text) if (t := get(w)) is not None])
         terms = np.array(sorted(tf), dtype=np.int64)
-        w = np.array([1 + np.log(tf[t]) for t in terms.tolist()]) * self.idf[terms]
+        w = (1 + np.log(np.array([tf[t] for t in terms.tolist()], dtype=float))) * self.weights[terms]
         return terms, w / np.sqrt(w @ w) if len(w) else w
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples whose cosine is above zero."""
         if not len(terms):
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        bound = weights @ self.bounds[terms]
+        cell, of = ranges(self.of_term[terms], self.of_term[terms + 1])
+        block, w = self.block[cell], weights[of]
+        bound = np.bincount(block, weights=w * self.largest[cell], minlength=len(self.starts))
+        order, done, step = np.argsort(-bound, kind="stable"), 0, 2
         at, cosine = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(at) == k and bound[b] < cosine[-1]:
+        while done < len(order):
+            now = order[done : done + step]
+            # sums round in their own order
+            now = now[(bound[now] > 0) & ((bound[now] >= cosine[-1] - 1e-12) if len(at) == k else True)]
+            if not len(now):
                 break
-            s, e = self.starts[b, terms], self.starts[b, terms + 1]
-            n = e - s
-            place = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
-            score = np.bincount(self.rows[place], weights=self.values[place] * np.repeat(weights, n), minlength=BLOCK)
+            done, step = done + step, 2 * step
+            slot = np.full(len(bound), -1)
+            slot[now] = np.arange(len(now))
+            own = np.flatnonzero(slot[block] >= 0)
+            place, i = ranges(self.first[cell[own]], self.end[cell[own]])
+            score = np.bincount(self.rows[place] + BLOCK * slot[block[own]][i], weights=self.values[place] * w[own][i], minlength=BLOCK * len(now))
             new = np.flatnonzero(score > 0)
-            new = new[new + b * BLOCK != without]
-            at, cosine = np.concatenate([at, new + b * BLOCK]), np.concatenate([cosine, score[new]])
-            order = np.lexsort((at, -cosine))[:k]
-            at, cosine = at[order], cosine[order]
+            position = now[new // BLOCK] * BLOCK + new % BLOCK
+            stay = position != without
+            at, cosine = np.concatenate([at, position[stay]]), np.concatenate([cosine, score[new[stay]]])
+            best = np.lexsort((at, -cosine))[:k]
+            at, cosine = at[best], cosine[best]
         return at, cosine
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
@@ -112,37 +143,43 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[2] / p[1] for p in pools]), np.array([(p[0] + 0.5 * weight) / (p[1] + weight) for p in pools])
 
 
-def build(terms: list[tuple[str, int, int]], examples: list[tuple[int, int, dict[str, int]]], rate: float) -> Index:
-    """terms: (term, documents, chi-squared order); examples: (doc_id, toxic, counts of the terms); rate: of toxic labels."""
-    vocabulary = {t: i for i, (t, _, _) in enumerate(terms)}
-    idf = np.log((len(examples) + 1) / (np.array([n for _, n, _ in terms], dtype=float) + 1)) + 1
-    # like examples stand together, so that a block's bounds are tight
-    examples = sorted(examples, key=lambda e: (sorted(((-c * idf[vocabulary[t]], t) for t, c in e[2].items()))[:1], e[0]))
-    blocks = max(1, -(-len(examples) // BLOCK))
-    dense = np.zeros((blocks * BLOCK, len(vocabulary)))
-    for row, (_, _, counts) in enumerate(examples):
-        for t, c in counts.items():
-            dense[row, vocabulary[t]] = (1 + np.log(c)) * idf[vocabulary[t]]
-    length = np.sqrt((dense**2).sum(axis=1))
-    dense /= np.where(length > 0, length, 1)[:, None]
-    cubes = dense.reshape(blocks, BLOCK, -1)
-    starts, rows, values, at = np.zeros((blocks, len(vocabulary) + 1), dtype=np.int64), [], [], 0
-    for b, cube in enumerate(cubes):
-        term, row = np.nonzero(cube.T)
-        starts[b] = at + np.searchsorted(term, np.arange(len(vocabulary) + 1))
-        rows.append(row)
-        values.append(cube[row, term])
-        at += len(row)
-    index = Index(vocabulary, idf, np.array([e[0] for e in examples], dtype=np.int64), np.array([e[1] for e in examples], dtype=float), np.ascontiguousarray(cubes.max(axis=1).T), starts, np.concatenate(rows), np.concatenate(values), rate=rate)
-    n1 = index.toxic.sum()
+def build(examples: list[tuple[int, int, dict[str, int]]], rate: float) -> Index:
+    """examples: (doc_id, toxic, counts of its words); rate: of toxic labels."""
+    df, toxic_df = Counter(t for e in examples for t in e[2]), Counter(t for e in examples if e[1] for t in e[2])
+    vocabulary = {t: i for i, t in enumerate(sorted(df))}
+    n1 = sum(e[1] for e in examples)
     n0 = len(examples) - n1
-    if not n1 or not n0 or not terms:
+    both, a = np.array([df[t] for t in vocabulary], dtype=float), np.array([toxic_df[t] for t in vocabulary], dtype=float)
+    b = both - a
+    chi = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1.0, both * (n1 + n0 - both) * n1 * n0)
+    weights = (np.log((len(examples) + 1) / (both + 1)) + 1) * (1 + chi)
+    # like examples stand together, so that a block's bounds are tight
+    examples = sorted(examples, key=lambda e: (min(((-(1 + np.log(c)) * weights[vocabulary[t]], t) for t, c in e[2].items()), default=(0.0, "")), e[0]))
+    blocks, own = max(1, -(-len(examples) // BLOCK)), []
+    for _, _, counts in examples:
+        terms = np.array(sorted(vocabulary[t] for t in counts), dtype=np.int64)
+        w = (1 + np.log(np.array([c for _, c in sorted((vocabulary[t], c) for t, c in counts.items())], dtype=float))) * weights[terms]
+        own.append((terms, w / np.sqrt(w @ w) if len(w) else w))
+    term = np.concatenate([np.zeros(0, dtype=np.int64), *(o[0] for o in own)])
+    value = np.concatenate([np.zeros(0), *(o[1] for o in own)])
+    row = np.repeat(np.arange(len(own)), [len(o[0]) for o in own])
+    key = row // BLOCK * len(vocabulary) + term
+    order = np.argsort(key, kind="stable")
+    cells, first = np.unique(key[order], return_index=True)
+    rows, values, offsets = row[order] % BLOCK, value[order], np.append(first, len(order))
+    largest = np.maximum.reduceat(values, first) if len(first) else np.zeros(0)
+    by_term = np.argsort(cells % max(1, len(vocabulary)), kind="stable")
+    of_term = np.searchsorted((cells % max(1, len(vocabulary)))[by_term], np.arange(len(vocabulary) + 1))
+    index = Index(
+        vocabulary, weights, np.array([e[0] for e in examples], dtype=np.int64), np.array([e[1] for e in examples], dtype=float), Starts(cells, offsets, blocks, len(vocabulary)), rows, values,
+        of_term, (cells // max(1, len(vocabulary)))[by_term], largest[by_term], offsets[:-1][by_term], offsets[1:][by_term], rate=rate,
+    )
+    if not n1 or not n0 or not vocabulary:
         return index
     share = np.where(index.toxic == 1, rate / n1, (1 - rate) / n0)
     votes, without = np.full(len(examples), np.nan), np.zeros(len(examples), dtype=bool)
     for i in range(len(examples)):
-        own = np.flatnonzero(dense[i])
-        found = index.nearest(own, dense[i, own], K, without=i)
+        found = index.nearest(*own[i], K, without=i)
         without[i] = not len(found[0])
         if not without[i]:
             votes[i] = index.vote(*found)
@@ -156,7 +193,7 @@ def build(terms: list[tuple[str, int, int]], examples: list[tuple[int, int, dict
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Index:
-    """The index of a sample of at most per_class rows of either class; only its bounded statistics reach the driver."""
+    """The index of a sample of at most per_class rows of either class; only the words and counts of these texts reach the driver."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~is_held_out(F.col("doc_id")))
     counted = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     rate = float(counted.toxic / counted.n) if counted.n else 0.0
@@ -166,26 +203,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ind
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                rows = [(d, y, t, n) for d, y, text in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), texts(batch), strict=True) for t, n in Counter(words(text)).items()]
+                rows = [(d, y, t, n) for d, y, text in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), texts(batch), strict=True) for t, n in (Counter(words(text)) or {None: 0}).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "toxic", "term", "n"])
 
     texts_of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    counts = texts_of.mapInArrow(count, "doc_id bigint, toxic int, term string, n bigint").persist()
-    try:
-        sizes = {r.toxic: r.n for r in texts_of.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-        a, b = F.col("a"), F.col("b")  # toxic and other examples that have the term
-        c, d = n1 - a, n0 - b
-        chi = (n1 + n0) * (a * d - b * c) * (a * d - b * c) / F.nullif((a + b) * (c + d) * F.lit(float(max(1, n1 * n0))), F.lit(0.0))
-        table = counts.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b")).where(a + b >= LEAST_DOCUMENTS).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARED)
-        chosen = table.orderBy(F.desc("chi"), "term").limit(TERMS).select("term", (a + b).cast("bigint").alias("n")).collect()
-        terms = [(r.term, r.n, i) for i, r in enumerate(chosen)]
-        vocabulary = counts.sparkSession.createDataFrame([(t[0],) for t in terms], "term string")
-        held = counts.join(F.broadcast(vocabulary), "term").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("counts"))
-        rows = counts.select("doc_id", "toxic").distinct().join(held, "doc_id", "left").collect()
-    finally:
-        counts.unpersist()
-    return build(terms, [(r.doc_id, r.toxic, r.counts or {}) for r in rows], rate)
+    counts: dict[int, dict[str, int]] = {}
+    toxic: dict[int, int] = {}
+    for r in texts_of.mapInArrow(count, "doc_id bigint, toxic int, term string, n bigint").toArrow().to_batches():
+        for doc, y, t, n in zip(*(r.column(i).to_pylist() for i in range(4)), strict=True):
+            toxic[doc] = y
+            if t is not None:
+                counts.setdefault(doc, {})[t] = n
+    return build([(doc, y, counts.get(doc, {})) for doc, y in sorted(toxic.items())], rate)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -311,6 +311,23 @@ def test_nearest_examples_are_exact(spark, sf):
         assert np.allclose(cosine, every[order])
 
 
+def test_every_word_of_the_examples_is_indexed(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    index = toxicity.train(docs, labels)
+    known = set(index.ids.tolist())
+    assert set(index.vocabulary) == {w for r in docs.collect() if r.doc_id in known for w in toxicity.words(r.text)} and (index.weights > 0).all()
+    found = toxicity.score(docs, labels).where("held_out").collect()
+    assert len({r.score for r in found}) > 1 and np.mean([len(r.evidence) > 0 for r in found]) > 0.9
+
+
+def test_a_word_of_one_example_finds_it(spark):
+    docs = spark.createDataFrame([(i, f"common words {'of' if i % 2 else 'and'} rare{'abcdefghijklmnopqrst'[i]}") for i in range(20)], "doc_id bigint, text string")
+    index = toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic"))
+    for i, text in ((i, f"rare{'abcdefghijklmnopqrst'[i]}") for i in index.ids.tolist()):
+        at, _ = index.nearest(*index.vector(text), 3)
+        assert index.ids[at].tolist() == [i]
+
+
 def test_toxicity_of_held_out_documents(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     found = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
