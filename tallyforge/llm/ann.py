@@ -4,7 +4,8 @@ Largest inner product becomes least Euclidean distance by one more component, sq
 (M the largest norm) and 0 for queries. k-means on a bounded, seeded sample gives the lists; every row is put
 into its nearest list, and a query probes its nearest lists. In a list, rotated vectors are scanned in blocks of columns, and a candidate
 is abandoned once a hypothesis test on its partial distance says that it is beyond the kth. Survivors get their
-exact inner product in double precision. A query's 4kth best score in the sample bounds what a list has to return. Lists of more than CELL rows are split, queries of a list likewise, so
+exact inner product in double precision. A query's 4kth best score in the sample bounds what a list has to return; a query that gets
+fewer than k probes every list, without that bound and the test. Lists of more than CELL rows are split, queries of a list likewise, so
 that a list with a third of all rows spreads over many tasks.
 
 Rows without an id, null or zero vectors and vectors with null or non-finite components take no part. Vectors
@@ -21,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.common import saved
 from tallyforge.llm.vectors import best, part, queries_of, ranked, stacked, usable
 
 K, EVERY = 20, 20
@@ -94,8 +96,8 @@ def sample_bounds(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray
     return out
 
 
-def adaptive_scan(blocks: list[np.ndarray], q: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (candidate, query) whose distance may be within the query's radius (squared), by a test after each block of columns.
+def adaptive_scan(blocks: list[np.ndarray], q: np.ndarray, radius: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (candidate, query) whose distance may be within the query's radius (squared), by a test after each block of columns; exact: only what is beyond it for sure is abandoned.
 
     blocks: columns x candidates; q: queries x width. While many pairs are left, a block is one product of matrices over the
     candidates that any query still wants; once few are, it goes on with those pairs alone."""
@@ -106,7 +108,7 @@ def adaptive_scan(blocks: list[np.ndarray], q: np.ndarray, radius: np.ndarray) -
     for block in blocks:
         own = np.ascontiguousarray(q[:, done : done + len(block)])
         done += len(block)
-        slack = 1.0 if done == width else (1 + SURE / np.sqrt(done)) ** 2 * done / width
+        slack = 1.0 if exact or done == width else (1 + SURE / np.sqrt(done)) ** 2 * done / width
         limit = radius * slack * (1 + 1e-9) + 1e-9
         if pairs is None:
             x = block[:, rows]
@@ -129,7 +131,7 @@ def adaptive_scan(blocks: list[np.ndarray], q: np.ndarray, radius: np.ndarray) -
     return pairs
 
 
-def _cell(k: int, largest: float):
+def _cell(k: int, largest: float, exact: bool):
     def run(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         queries, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(candidates) and len(asked):
@@ -145,7 +147,7 @@ def _cell(k: int, largest: float):
                 first[ids[:FIRST, None] == name[None, :]] = -np.inf
                 kth = np.partition(first, len(first) - k, axis=0)[len(first) - k] if len(first) >= k else np.full(len(q), -np.inf)
                 radius = (q * q).sum(axis=1) + largest**2 - 2 * np.maximum(kth, least)
-                i, j = adaptive_scan(blocks, np.column_stack([q, np.zeros(len(q))]) @ r, radius)
+                i, j = adaptive_scan(blocks, np.column_stack([q, np.zeros(len(q))]) @ r, radius, exact)
                 other = ids[i] != name[j]
                 i, j = i[other], j[other]
                 score = np.einsum("ij,ij->i", x[i], q[j])
@@ -177,7 +179,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, recall: float = R
 
 def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    counted = own.agg(F.count("*").alias("n"), F.max(norm).alias("largest")).first()
+    counted = own.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"), F.max(norm).alias("largest")).first()
     sample = own.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).toPandas()
     largest = float(counted.largest)
     lists = min(MOST_LISTS, max(1, counted.n // LIST))
@@ -186,17 +188,6 @@ def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
     probes = probes_for(fit, largest, c, k, recall)
     shared = own.sparkSession.sparkContext.broadcast((fit, sample["vec_id"].to_numpy()))
 
-    @F.pandas_udf("array<int>")
-    def leaders_of(id: pd.Series, e: pd.Series) -> pd.Series:
-        """The sample's k best rows for each query, so that one whose neighbours are in lists it doesn't probe still gets k."""
-        x, names = shared.value
-        out = []
-        for q, name in zip(e, id, strict=True):
-            score = x @ q
-            score[names == name] = -np.inf
-            out.append(best(score, names, min(k, int((names != name).sum()))).astype("int32"))
-        return pd.Series(out, dtype=object)
-
     @F.pandas_udf("double")
     def bound_of(id: pd.Series, e: pd.Series) -> pd.Series:
         return pd.Series(sample_bounds(stacked(e), id.to_numpy(), *shared.value, k)) if len(e) else pd.Series(dtype=float)
@@ -211,7 +202,17 @@ def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
         return pd.Series(list(nearest(np.column_stack([x, np.zeros(len(x))]), c, probes).astype("int32"))) if len(e) else pd.Series(dtype=object)
 
     put = own.withColumn("list", list_of("embedding"))
-    asked = queries_of(own, every).withColumn("bound", bound_of("vec_id", "embedding")).withColumn("list", F.explode(lists_of("embedding")))
+    queries = queries_of(own, every)
+    asked = queries.withColumn("bound", bound_of("vec_id", "embedding")).withColumn("list", F.explode(lists_of("embedding")))
+    found = saved(_probed(put, asked, k, largest))
+    full = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= min(k, counted.ids - 1)).select(F.col("query_id").alias("vec_id"))
+    short = queries.join(full, "vec_id", "left_anti").withColumn("bound", F.lit(float("-inf"))).withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1))))
+    rest = _probed(put, short, k, largest, exact=True)
+    return ranked(found.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+
+
+def _probed(put: DataFrame, asked: DataFrame, k: int, largest: float, exact: bool = False) -> DataFrame:
+    """query_id, vec_id, score: what the lists return. put: rows and their list; asked: vec_id, embedding, bound and a list that is probed."""
     # as many rows as there are lists
     sizes = put.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias("across"))
     askers = asked.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias("down"))
@@ -221,12 +222,4 @@ def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
     right = right.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "bound", F.col("list").alias("at"), F.col("a").alias("qa"), F.col("b").alias("qb"))
     left = left.select("vec_id", "embedding", "list", "a", "b")
     cells = left.groupBy("list", "a", "b").cogroup(right.groupBy("at", "qa", "qb"))
-    found = cells.applyInPandas(_cell(k, largest), "query_id bigint, vec_id bigint, score double")
-
-    @F.pandas_udf("array<struct<vec_id bigint, score double>>")
-    def scored(at: pd.Series, e: pd.Series) -> pd.Series:
-        x, names = shared.value
-        return pd.Series([[{"vec_id": int(names[i]), "score": float(x[i] @ q)} for i in places] for places, q in zip(at, e, strict=True)], dtype=object)
-
-    leaders = queries_of(own, every).select(F.col("vec_id").alias("query_id"), F.explode(scored(leaders_of("vec_id", "embedding"), "embedding")).alias("r")).select("query_id", "r.vec_id", "r.score")
-    return ranked(found.unionByName(leaders).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+    return cells.applyInPandas(_cell(k, largest, exact), "query_id bigint, vec_id bigint, score double")

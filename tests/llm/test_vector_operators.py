@@ -99,6 +99,40 @@ def test_recall_on_the_table(spark):
     assert np.mean(recall) >= 0.9
 
 
+def found_share(df, x, got, every):
+    got = got.toPandas()
+    hit = []
+    for q in range(0, len(x), every):
+        s = x @ x[q]
+        s[q] = -np.inf
+        mine = got[got.query_id == q]
+        assert sorted(mine["rank"]) == list(range(1, 21))
+        hit.append(np.isin(np.lexsort((np.arange(len(x)), -s))[:20], mine.vec_id).mean())
+    return np.mean(hit)
+
+
+def table_of(spark, n, width=16):
+    x = np.random.default_rng(6).standard_normal((n, width))
+    return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>"), x
+
+
+@pytest.mark.parametrize(("size", "sample"), [(1000, 4096), (400, 2048)])
+def test_recall_of_the_probed_lists_beyond_the_sample(spark, monkeypatch, size, sample):
+    monkeypatch.setattr(ann, "LIST", size)
+    monkeypatch.setattr(ann, "SAMPLE", sample)
+    df, x = table_of(spark, 50_000)
+    share = found_share(df, x, ann.search(df, every=1000), 1000)
+    print("recall", size, sample, share)
+    assert share >= 0.9
+
+
+def test_recall_is_that_of_the_lists_even_if_the_sample_is_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 100)
+    monkeypatch.setattr(ann, "probes_for", lambda *a: 2)
+    df, x = table_of(spark, 3000)
+    assert found_share(df, x, ann.search(df, every=100), 100) < 0.99
+
+
 @pytest.mark.parametrize("share", [20, 400])
 def test_an_abandoned_candidate_is_beyond_the_radius(share):
     rng = np.random.default_rng(1)
