@@ -53,16 +53,17 @@ def fingerprint(text: str, shingle: int = SHINGLE, step: int = 1 << 15) -> int:
     return int(np.packbits(2 * total > len(places), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row of docs."""
+def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of each row of docs; key: a bigint column that comes with them."""
+    names = list(dict.fromkeys(["doc_id", key]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 fp = np.array([fingerprint(t) for t in texts(batch)], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fp)], names=[*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(*(F.col(n).cast("bigint").alias(n) for n in names), "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in [*names, "fp"]))
 
 
 def close_pairs(groups: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -169,10 +170,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The row of docs with the least doc_id of each group, all columns as they were; rows without a doc_id stay only if nothing else has their fingerprint."""
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "_none": F.col("doc_id").isNull()}
-    kept = near_duplicates(docs).where("component_id IS NULL OR doc_id = component_id").withColumns(keys).select("_id", "_none").distinct()
-    # the window's keys are the join's, so the texts are shuffled once
-    own = docs.withColumns(keys).join(kept, ["_id", "_none"], "left_semi")
-    ordered = Window.partitionBy("_id", "_none").orderBy(F.xxhash64("text"))
+    """One row of docs for each group of linked fingerprints, all columns as they were: that of the least doc_id, any id before none, then of the least hash.
+
+    Groups are of fingerprints, whatever the doc_ids: rows without one, or of one doc_id with texts that aren't linked, stay for each group. Rows equal in doc_id and text meet in one task."""
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
+    marked = saved(fingerprints(keyed, "_row"))
+    known = saved(marked.select("fp", F.col("fp").alias("rep")).distinct())
+    grouped = marked.join(components(links(known)), F.col("fp") == F.col("node"), "left").withColumn("group", F.coalesce("component", "fp"))
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    # the window's key is the join's, so the texts are shuffled once
+    own = keyed.join(first.select("first._row").distinct(), "_row", "left_semi")
+    ordered = Window.partitionBy("_row").orderBy(F.xxhash64("text"))
     return own.withColumn("_nth", F.row_number().over(ordered)).where("_nth = 1").select(*docs.columns)

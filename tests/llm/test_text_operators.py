@@ -198,6 +198,14 @@ def test_near_duplicates_of_the_table(spark, sf):
     assert sorted(r["doc_id"] for r in rows(simhash.first_of_groups(docs))) == sorted(set(classes.values()))
 
 
+def test_rows_without_an_id_and_texts_of_one_id_stay_for_each_group(spark):
+    a, b, c, d = ("one text about rain and wind over the sea", "quite another on bread and salt at noon", "a third of iron rails that cross the plain", "the last tells how owls hunt by night")
+    given_ = [(None, a), (None, b), (None, b), (None, c), (1, c), (2, d), (2, a + " " + b), (2, d), (None, None), (3, "")]
+    docs = spark.createDataFrame(given_, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in rows(simhash.first_of_groups(docs)))
+    assert got == Counter([(None, a), (None, b), (1, c), (2, d), (2, a + " " + b), (3, "")])
+
+
 # 10
 
 
