@@ -80,7 +80,7 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> LanguageModel:
     return LanguageModel(languages, bits, counts / counts.sum(axis=0))
 
 
-def infer(bags: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray, penalty: float = 4.0, rounds: int = 12, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def infer(bags: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray, penalty: float = 4.0, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """bags: (buckets, counts) of documents, none empty. Returns proportions, and single-language log likelihoods.
 
     The first EM runs over all languages; then sets of its 1, 2, ... leading languages are compared by
@@ -109,7 +109,7 @@ def infer(bags: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray, penalty: flo
     rank = np.argsort(-(full + 2 * best), axis=1, kind="stable")
     reached = alone.max(axis=1) - penalty * np.log(total + 1)
     open_ = np.arange(len(bags))
-    for k in range(2, min(most, p.shape[1]) + 1):
+    for k in range(2, p.shape[1] + 1):
         rows = np.isin(doc, open_)
         sub = np.searchsorted(open_, doc[rows])
         lens = sizes[open_]

@@ -245,6 +245,16 @@ def test_em_equals_a_plain_loop():
         assert np.allclose(own, [(n * np.log(p[u, j])).sum() for j in range(3)])
 
 
+def test_a_mixture_of_four_languages_has_four():
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(np.full(500, 0.2), 5).T + 1e-6
+    p /= p.sum(axis=0)
+    share = [0.45, 0.2, 0.2, 0.15]
+    bag = np.unique(np.concatenate([rng.choice(500, int(4000 * s), p=p[:, i]) for i, s in enumerate(share)]), return_counts=True)
+    theta, _ = language_id.infer([bag], p)
+    assert (theta[0] > 0).tolist() == [True] * 4 + [False] and np.abs(theta[0, :4] - share).max() < 0.04
+
+
 # 2
 
 
