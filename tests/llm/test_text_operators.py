@@ -258,45 +258,99 @@ def test_a_mixture_of_four_languages_has_four():
 # 2
 
 
-def plain_kneser_ney(texts):
-    """Interpolated modified Kneser-Ney with dictionaries; returns log p of a trigram code."""
-    tri = Counter(c for t in texts for c in quality.trigram_codes(t).tolist())
-    bi = Counter(c & 0x3FFF for c in tri)
-    uni = Counter(c & 0x7F for c in bi)
+def grams(text):
+    text = re.sub(r"[\t-\r]", " ", text)
+    padded = " " * (quality.ORDER - 1) + text + " "
+    return [padded[i : i + quality.ORDER] for i in range(len(text) + 1)] if text else []
+
 
-    def level(counts):
-        n = Counter(counts.values())
+def plain_kneser_ney(texts):
+    """Interpolated modified Kneser-Ney with dictionaries; returns log p of the last character of an n-gram."""
+    counts = {quality.ORDER: Counter(g for t in texts for g in grams(t))}
+    for k in range(quality.ORDER - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    levels = {}
+    for k, own in counts.items():
+        n = Counter(own.values())
         y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
         d = {i: max(0.01, min(i, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] and n[i + 1] and n[1] else 0.75 for i in (1, 2, 3)}
         total, taken = Counter(), Counter()
-        for code, c in counts.items():
-            total[code >> 7] += c
-            taken[code >> 7] += d[min(c, 3)]
-        return (lambda code: (counts[code] - d[min(counts[code], 3)]) / total[code >> 7] if code in counts else 0.0), (lambda ctx: taken[ctx] / total[ctx] if ctx in total else 1.0)
-
-    (a3, g3), (a2, g2), (a1, g1) = level(tri), level(bi), level(uni)
-    p1 = lambda c: a1(c) + g1(0) / 128
-    p2 = lambda c: a2(c) + g2(c >> 7) * p1(c & 0x7F)
-    return lambda c: np.log(a3(c) + g3(c >> 7) * p2(c & 0x3FFF))
-
-
-def test_perplexity_equals_a_plain_model(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").limit(60).cache()
+        for g, c in own.items():
+            total[g[:-1]] += c
+            taken[g[:-1]] += d[min(c, 3)]
+        levels[k] = own, d, total, taken
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        own, d, total, taken = levels[len(g)]
+        if g[:-1] not in total:
+            return p(g[1:])
+        return ((own[g] - d[min(own[g], 3)]) if g in own else 0) / total[g[:-1]] + taken[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    return lambda g: np.log(p(g))
+
+
+@pytest.mark.parametrize("head", [1 << 19, 300, 0])
+def test_perplexity_equals_a_plain_model(spark, sf, monkeypatch, head):
+    monkeypatch.setattr(quality, "CHUNK", 5000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' AND doc_id < 90").withColumn("lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang")))
     labels = docs.where("doc_id % 3 <> 0").select("doc_id")
-    given_ = docs.collect()
-    log_p = plain_kneser_ney([r.text for r in given_ if r.doc_id % 3])
-    got = {r["doc_id"]: r for r in rows(quality.classify(docs, labels))}
+    given_ = docs.withColumn("calibrates", quality.calibrates(F.col("doc_id"))).collect()
+    counted = [r for r in given_ if r.doc_id % 3 and not r.calibrates]
+    log_p = {lang: plain_kneser_ney([r.text for r in counted if r.lang == lang]) for lang in ("en", None)}
+    got = {r["doc_id"]: r for r in rows(quality.perplexities(docs, labels, head)[0])}
     for r in given_:
-        codes = quality.trigram_codes(r.text).tolist()
-        assert got[r.doc_id]["symbols"] == len(codes)
-        assert abs(np.log(got[r.doc_id]["perplexity"]) + np.mean([log_p(c) for c in codes])) < 1e-4
+        own = grams(r.text)
+        assert got[r.doc_id]["symbols"] == len(own)
+        assert abs(got[r.doc_id]["nats"] / 1e6 + np.mean([log_p[r.lang](g) for g in own])) < 1e-4
 
 
-def test_quality_tells_junk_from_text(spark, sf):
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    found = quality.classify(docs, quality.trusted_ids(labels)).join(labels, "doc_id")
-    kept, junk = found.agg(F.avg(F.when(F.col("quality") == 1, F.col("keep").cast("int"))), F.avg(F.when(F.col("quality") == 0, F.col("keep").cast("int")))).first()
-    assert kept > 0.97 and junk < 0.5
+def test_languages_without_a_model_are_scored_by_that_of_all(spark):
+    texts_ = {i: f"rain falls on the {'hills' if i % 2 else 'sea'} of {i}" for i in range(40)}
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in texts_.items()] + [(90, "the hills of rain", "xx"), (91, "zqzq", None)], "doc_id bigint, text string, lang string")
+    trusted = docs.where("doc_id < 40").select("doc_id")
+    calibrating = {r.doc_id for r in trusted.where(quality.calibrates(F.col("doc_id"))).collect()}
+    log_p = plain_kneser_ney([t for i, t in texts_.items() if i not in calibrating])
+    got = {r["doc_id"]: r for r in rows(quality.perplexities(docs, trusted)[0])}
+    for i, t in ((90, "the hills of rain"), (91, "zqzq")):
+        assert got[i]["model"] == 0 and abs(got[i]["nats"] / 1e6 + np.mean([log_p(g) for g in grams(t)])) < 1e-4
+
+
+def test_thresholds_are_the_quantile_of_the_calibrating_documents(spark):
+    rng = np.random.default_rng(1)
+    given_ = [(i, 0, 1 + i % 2, int(rng.integers(50, 3000)), int(1_500_000 + 80_000 * rng.standard_normal())) for i in range(3000)]
+    scores = spark.createDataFrame(given_, "doc_id bigint, row_key bigint, model int, symbols bigint, nats bigint")
+    trusted = scores.select("doc_id").where("doc_id % 3 > 0")
+    calibrating = {r.doc_id for r in trusted.where(quality.calibrates(F.col("doc_id"))).collect()}
+    got = {r.model: r for r in quality.thresholds(scores, trusted, {"a": 1, "b": 2}).collect()}
+    for model in (1, 2):
+        own = [(n, x / 1e6) for i, _, m, n, x in given_ if m == model and i in calibrating]
+        median = sorted(x for _, x in own)[-(-len(own) // 2) - 1]
+        surplus = sorted((x - got[model].median) / np.sqrt(1 / n + 1 / quality.FLOOR) for n, x in own)
+        assert abs(got[model].median - median) <= 0.001 and abs(got[model].most - quality.FACTOR * surplus[int(np.ceil(0.99 * len(own))) - 1]) <= 0.02
+    assert got[0].most == max(got[1].most, got[2].most)
+
+
+def test_quality_tells_junk_from_text(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.classify(docs, quality.trusted_ids(labels)).join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    words = F.split("text", " ")
+    repeated = F.size(F.filter(F.arrays_zip(F.slice(words, 1, F.size(words) - 1).alias("a"), F.slice(words, 2, F.size(words)).alias("b")), lambda x: x["a"] == x["b"])) * 2 > F.size(words)
+    kind = F.when(F.col("quality") == 1, "trusted").when(repeated, "repeated").otherwise("junk")
+    kept = {r.kind: r.kept for r in found.where("length(text) > 0").groupBy(kind.alias("kind")).agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()}
+    assert kept["trusted"] > 0.985 and kept["junk"] < 0.03 and kept["repeated"] < 0.4
+
+
+def test_junk_in_a_script_of_many_characters_goes(spark):
+    rng = random.Random(4)
+    words = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    text = lambda: "".join(rng.choice(words) + rng.choice(["", "，", "。"]) for _ in range(150))
+    good = {i: text() for i in range(400)}
+    junk = {1000 + i: "".join(rng.sample(text(), 150)) for i in range(20)}
+    docs = spark.createDataFrame([(i, t, "zh") for i, t in (good | junk).items()], "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"] for r in rows(quality.classify(docs, docs.where("doc_id < 300").select("doc_id"))) if r["keep"]}
+    assert len(kept & set(good)) > 0.97 * len(good) and not kept & set(junk)
 
 
 def test_quality_of_edge_texts(spark, edge_documents, no_documents):
@@ -304,6 +358,7 @@ def test_quality_of_edge_texts(spark, edge_documents, no_documents):
     got = {r["doc_id"]: r for r in rows(quality.classify(edge_documents, trusted))}
     assert set(got) == {1, 2, 3, 4, 5, None, 7, 8, 9}
     assert got[1]["keep"] and got[5]["keep"] and not got[2]["keep"] and not got[3]["keep"] and got[2]["perplexity"] is None
+    assert got[1]["symbols"] == got[5]["symbols"] == 45
     untrusted = {r["doc_id"]: r["keep"] for r in rows(quality.classify(edge_documents, trusted.where("false")))}
     assert untrusted[8] and not untrusted[2]
     assert rows(quality.classify(no_documents, trusted)) == []
