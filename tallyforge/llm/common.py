@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 1_000_000
 
+#: Keys that are joined by broadcast for having many rows, at most.
+HOT = 10_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,6 +58,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_by_key(left: DataFrame, right: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """left with the columns of right, a row for each key whose `n` counts left's rows of that key. Keys with over 1/`hot` of left's rows, fewer than
+    `hot`, are broadcast, so that no task gets all rows of one; the others are joined by a shuffle. Both sides are read twice."""
+    most = (right.agg(F.sum("n").alias("rows")).first().rows or 0) / hot
+    many = F.broadcast(right.where(F.col("n") > most).drop("n"))
+    few = right.where(F.col("n") <= most).drop("n")
+    return left.join(many, key).unionByName(left.join(many.select(key), key, "left_anti").join(few, key))
+
+
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Parts of an Arrow batch, so that what a task holds as Python objects stays small."""
     for at in range(0, batch.num_rows, rows):

@@ -33,7 +33,7 @@ ORDER = 5
 #: Rows of the table of frequent n-grams that is sent to every worker, at most: 12 bytes each.
 HEAD = 1 << 19
 #: N-grams that a worker takes at once, and distinct ones that it gathers before it hands them on.
-CHUNK, GATHERED = 1 << 20, 1 << 20
+CHUNK, GATHERED = 1 << 19, 1 << 19
 CALIBRATION, FEW, FLOOR = 8, 20, 300
 QUANTILE, FACTOR = 0.99, 1.25
 MICRO = 1_000_000

@@ -1,12 +1,17 @@
 """Operator 6: near-duplicate groups by SimHash fingerprints compared bit-sliced.
 
-Fingerprints are collapsed to distinct ones first, so copies cost nothing after the shuffle that counts them.
-With a radius of 2 bits and 4 bands of 16 bits, two linked fingerprints agree in 2 bands at least: the 6 pairs
-of bands are the buckets that share candidates, and no link is lost. Buckets of more than CELL fingerprints are
-split into parts and every pair of parts is one cell, so a task's cell is bounded whatever the bucket. In a cell
-the candidates stand vertically, 64 to a word in 64 bit planes; carry-save counters add the differing
-bits of 64 candidates at a time, and words whose candidates all exceed the radius are abandoned. A cell returns
-a spanning forest of its links, and components are found over all.
+A fingerprint has 64 bits, or more for texts that differ more. Fingerprints are collapsed to distinct ones first, so copies
+cost nothing after the shuffle that counts them. Candidates share a bucket of one of several tables:
+
+* within a radius of 2 of 64 bits (`Exact`), two fingerprints agree in 2 of 4 bands of 16 bits at least, so that the 6 pairs of bands lose no link;
+* for a similarity of shingle sets (`Similar`), the radius is the number of bits in which sets of that similarity differ on average, and a
+  table is a seeded choice of bits: as many bits as keep a bucket small whatever the number of fingerprints, as many tables as make two sets that
+  differ in just the radius meet with the given probability.
+
+Buckets of more than CELL fingerprints are split into parts and every pair of parts is one cell, so a task's cell is bounded whatever the
+bucket. In a cell the candidates stand vertically, 64 to a word in bit planes; carry-save counters add the differing bits of 64 candidates at a
+time, and words whose candidates all exceed the radius are abandoned. What is linked to a cell's first fingerprint isn't compared among itself,
+as it is connected already. A cell returns a spanning forest of its links, and components are found over all.
 
 Null and empty texts have fingerprint zero and are linked as any other. Rows with a null doc_id get the
 component of their fingerprint's other rows, or null. Columns other than doc_id and text are ignored.
@@ -15,101 +20,218 @@ component of their fingerprint's other rows, or null. Columns other than doc_id
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from tallyforge.llm.common import WORD, saved, slices, texts
+from tallyforge.llm.common import WORD, join_by_key, saved, slices, small, texts
 from tallyforge.llm.components import components
 
 SEED = 42
-SHINGLE = 3
-RADIUS = 2
-BANDS = 4
 #: Fingerprints of a part of a bucket; a cell has two parts at most.
 CELL = 1024
 _word = re.compile(WORD)
 _lower = {c: c + 32 for c in range(65, 91)}
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, step: int = 1 << 15) -> int:
-    """64 bits; each is 1 if set in more than half of the shingles' hashes."""
+@dataclass(frozen=True)
+class Exact:
+    """Shingles with their repeats; all links within 2 of 64 bits."""
+
+    shingle: int = 3
+    distinct: bool = False
+    words: int = 1
+    radius: int = 2
+    bands: int = 4
+
+    def keys(self, fp: np.ndarray, n: int) -> np.ndarray:
+        width = 64 // self.bands
+        masks = [sum(((1 << width) - 1) << band * width for band in pair) for pair in itertools.combinations(range(self.bands), self.bands - self.radius)]
+        return (fp[:, :1] & np.array(masks, dtype=np.uint64)[None, :]).view(np.int64)
+
+
+@dataclass(frozen=True)
+class Similar:
+    """Sets of shingles; links of sets whose similarity (Jaccard), as 64 * words bits tell it, is at least `similarity`."""
+
+    shingle: int = 5
+    distinct: bool = True
+    words: int = 4
+    similarity: float = 0.8
+    found: float = 0.97
+
+    @property
+    def share(self) -> float:
+        """Of the bits, how many differ on average: the angle between two sets over a half turn."""
+        return math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+
+    @property
+    def radius(self) -> int:
+        return round(64 * self.words * self.share)
+
+    def tables(self, n: int) -> tuple[int, int]:
+        """Bits of a table's key, and the number of tables, for n fingerprints."""
+        bits = min(48, max(16, math.ceil(math.log2(max(2, n))) - 2))
+        return bits, math.ceil(math.log(1 - self.found) / math.log(1 - (1 - self.share) ** bits))
+
+    def keys(self, fp: np.ndarray, n: int) -> np.ndarray:
+        bits, tables = self.tables(n)
+        rng, out = np.random.default_rng(SEED), np.zeros((len(fp), tables), dtype=np.int64)
+        for t in range(tables):
+            for i in rng.permutation(64 * self.words)[:bits].tolist():
+                out[:, t] = out[:, t] << 1 | ((fp[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(np.int64)
+        return out
+
+
+Kind = Exact | Similar
+
+
+def more_words(h: np.ndarray, words: int) -> np.ndarray:
+    """The hashes (n x 1), and others made from each."""
+    out = [h]
+    for i in range(1, words):
+        x = h + np.uint64(0x9E3779B97F4A7C15 * i % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ (x >> np.uint64(31)))
+    return np.column_stack(out)
+
+
+def fingerprint(text: str, kind: Kind = Exact(), step: int = 1 << 15) -> np.ndarray:
+    """`words` x 64 bits; each is 1 if set in more than half of the shingles' hashes."""
     words = [w.encode("utf-8", "surrogatepass") for w in _word.findall(text.translate(_lower) if not text.isascii() else text.lower())]
     if not words:
-        return 0
-    joined, size = b" ".join(words), min(shingle, len(words))
+        return np.zeros(kind.words, dtype=np.uint64)
+    joined, size = b" ".join(words), min(kind.shingle, len(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    total, digest = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
-    places = list(zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True))
-    for at in range(0, len(places), step):
-        h = np.array([digest(joined[s:e], SEED) for s, e in places[at : at + step]], dtype="<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(places), bitorder="little").view("<u8")[0])
+    total, digest = np.zeros(64 * kind.words, dtype=np.int64), xxhash.xxh64_intdigest
+    h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], dtype="<u8")
+    if kind.distinct:
+        h = np.unique(h)
+    for at in range(0, len(h), step):
+        some = more_words(h[at : at + step], kind.words)
+        total += np.unpackbits(some.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(h), bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row of docs; key: a bigint column that comes with them."""
+def fingerprints(docs: DataFrame, kind: Kind = Exact(), key: str = "doc_id") -> DataFrame:
+    """doc_id, fp (the words' bytes, largest first) of each row of docs; key: a bigint column that comes with them."""
     names = list(dict.fromkeys(["doc_id", key]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                fp = np.array([fingerprint(t) for t in texts(batch)], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fp)], names=[*names, "fp"])
+                fp = [fingerprint(t, kind).astype(">u8").tobytes() for t in texts(batch)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fp, pa.binary())], names=[*names, "fp"])
+
+    return docs.select(*(F.col(n).cast("bigint").alias(n) for n in names), "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in names) + ", fp binary")
+
+
+def words_of(fp: pa.Array, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(fp.to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, words)
 
-    return docs.select(*(F.col(n).cast("bigint").alias(n) for n in names), "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in [*names, "fp"]))
 
+def added(counters: list[np.ndarray], over: np.ndarray, planes: list[np.ndarray]) -> np.ndarray:
+    """Adds bit planes of equal weight to vertical counters by carry-save adders; returns `over` with what the counters can't hold."""
+    for level in range(len(counters)):
+        sum_, carries = counters[level], []
+        while len(planes) > 1:
+            a, b = planes.pop(), planes.pop()
+            both = a ^ b
+            carries.append((a & b) | (both & sum_))
+            sum_ = both ^ sum_
+        if planes:
+            a = planes.pop()
+            carries.append(a & sum_)
+            sum_ = a ^ sum_
+        counters[level], planes = sum_, carries
+        if not planes:
+            return over
+    for p in planes:
+        over = over | p
+    return over
 
-def close_pairs(groups: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j (over the groups one after another) of fingerprints of one group that differ in at most `radius` (1 to 3) bits."""
+
+def beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Where the counters are above the radius."""
+    above, equal = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
+    for level in range(len(counters) - 1, -1, -1):
+        if radius >> level & 1:
+            equal = equal & counters[level]
+        else:
+            above = above | (equal & counters[level])
+            equal = equal & ~counters[level]
+    return above
+
+
+def close_pairs(groups: list[np.ndarray], radius: int, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (over the groups one after another) of fingerprints (n x words) of one group that differ in at most `radius` bits. asks: which fingerprints are
+    compared with all of their group; without it, each pair comes once."""
     sizes = np.array([len(g) for g in groups])
-    words_of = -(-sizes // 64)
-    first_word = np.concatenate([[0], np.cumsum(words_of)[:-1]])
+    words_in = -(-sizes // 64)
+    first_word = np.concatenate([[0], np.cumsum(words_in)[:-1]])
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    n, n_words = int(sizes.sum()), int(words_of.sum())
+    n, n_words, width = int(sizes.sum()), int(words_in.sum()), groups[0].shape[1]
     fp = np.concatenate(groups).astype(np.uint64)
     group = np.repeat(np.arange(len(groups)), sizes)
     lane = np.arange(n) - first[group] + 64 * first_word[group]
-    lanes = np.zeros(64 * n_words, dtype=np.uint64)
+    lanes = np.zeros((64 * n_words, width), dtype=np.uint64)
     lanes[lane] = fp
     empty = np.ones(64 * n_words, dtype=bool)
     empty[lane] = False
     owner = np.zeros(64 * n_words, dtype=np.int64)
     owner[lane] = np.arange(n)
-    planes = np.stack([np.packbits((lanes >> np.uint64(b)).astype(np.uint8) & 1, bitorder="little").view(np.uint64) for b in range(64)])
     void = np.packbits(empty, bitorder="little").view(np.uint64)
-    # each fingerprint meets the words of its group from its own on
-    own_word = lane // 64
-    meets = words_of[group] - (own_word - first_word[group])
-    query = np.repeat(np.arange(n), meets)
-    word = np.arange(len(query)) - np.repeat(np.cumsum(meets) - meets, meets) + own_word[query]
-    # only candidates after the query itself, within its own word
-    over = void[word] | np.where(word == own_word[query], (np.uint64(2) << (lane[query] % 64).astype(np.uint64)) - np.uint64(1), np.uint64(0))
-    ones = np.zeros(len(query), dtype=np.uint64)
-    twos = np.zeros(len(query), dtype=np.uint64)
+    own_word, bit_of = lane // 64, (lane % 64).astype(np.uint64)
+    start = own_word if asks is None else first_word[group]
+    who = np.arange(n) if asks is None else np.flatnonzero(asks)
+    meets = (words_in[group] - (start - first_word[group]))[who]
+    query = np.repeat(who, meets)
+    word = np.arange(len(query)) - np.repeat(np.cumsum(meets) - meets, meets) + start[query]
+    one = np.uint64(1)
+    # not the query itself, nor in its own word those before it
+    skipped = (one << bit_of[query]) if asks is not None else (np.uint64(2) << bit_of[query]) - one
+    over = void[word] | np.where(word == own_word[query], skipped, np.uint64(0))
+    counters = [np.zeros(len(query), dtype=np.uint64) for _ in range(radius.bit_length())]
     full = ~np.uint64(0)
-    for b in range(64):
-        bit = (fp[query] >> np.uint64(b)) & np.uint64(1)
-        x = planes[b][word] ^ (np.uint64(0) - bit)
-        carry = ones & x
-        ones ^= x
-        over |= twos & carry
-        twos ^= carry
-        if b % 8 == 7:
-            beyond = {1: twos, 2: ones & twos, 3: np.zeros_like(ones)}[radius]
-            open_ = (over | beyond) != full
-            query, word, over, ones, twos = query[open_], word[open_], over[open_] | beyond[open_], ones[open_], twos[open_]
+    for at in range(0, 64 * width, 8):
+        planes = []
+        for b in range(at, at + 8):
+            plane = np.packbits((lanes[:, b // 64] >> np.uint64(b % 64)).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+            planes.append(plane[word] ^ (np.uint64(0) - ((fp[query, b // 64] >> np.uint64(b % 64)) & one)))
+        over = added(counters, over, planes)
+        over |= beyond(counters, radius)
+        open_ = over != full
+        if not open_.all():
+            query, word, over, counters = query[open_], word[open_], over[open_], [c[open_] for c in counters]
             if not len(query):
-                break
-    near = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool) if len(query) else np.zeros((0, 64), dtype=bool)
-    row, at = np.nonzero(near)
-    return query[row], owner[word[row] * 64 + at]
+                return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    near = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+    row, bit = np.nonzero(near)
+    return query[row], owner[word[row] * 64 + bit]
+
+
+def connecting(groups: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius that connect what all such pairs connect: those of each group's first, and all of what isn't linked to it."""
+    sizes = np.array([len(g) for g in groups])
+    firsts = np.zeros(sizes.sum(), dtype=bool)
+    firsts[np.cumsum(sizes) - sizes] = True
+    i, j = close_pairs(groups, radius, firsts)
+    rest = ~firsts
+    rest[j] = False
+    if not rest.any():
+        return i, j
+    more_i, more_j = close_pairs(groups, radius, rest)
+    return np.concatenate([i, more_i]), np.concatenate([j, more_j])
 
 
 def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,27 +247,36 @@ def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
             return ids[moved], label[moved]
 
 
-def links(reps: DataFrame, cell: int = CELL) -> DataFrame:
+def links(reps: DataFrame, kind: Kind = Exact(), cell: int = CELL) -> DataFrame:
     """reps: fp, rep (distinct fp, an id of each). Returns a, b: links of ids that connect whatever lies within the radius."""
-    width = 64 // BANDS
-    masks = [sum(((1 << width) - 1) << band * width for band in pair) for pair in itertools.combinations(range(BANDS), BANDS - RADIUS)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    bucketed = reps.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("table", "bucket"))
-    shared = bucketed.groupBy("table", "bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("table").alias("t"), F.col("bucket").alias("k"), F.ceil(F.col("n") / cell).cast("int").alias("parts"))
-    met = bucketed.join(shared, (F.col("table") == F.col("t")) & (F.col("bucket") == F.col("k")))
+    n = reps.count()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 4096):
+                keys = kind.keys(words_of(batch.column("fp"), kind.words), n)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("rep"), lists], names=["fp", "rep", "buckets"])
+
+    tabled = saved(reps.select("fp", F.col("rep").cast("bigint").alias("rep")).mapInArrow(keyed, "fp binary, rep bigint, buckets array<bigint>"))
+    bucketed = tabled.select("fp", "rep", F.posexplode("buckets").alias("table", "bucket"))
+    # a row for `cell` candidates and more; the others aren't split
+    large = tabled.select(F.posexplode("buckets").alias("table", "bucket")).groupBy("table", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    large = small(saved(large.select(F.col("table").alias("t"), F.col("bucket").alias("k"), F.ceil(F.col("n") / cell).cast("int").alias("of"))))
+    met = bucketed.join(large, (F.col("table") == F.col("t")) & (F.col("bucket") == F.col("k")), "left").withColumn("parts", F.coalesce("of", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     celled = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("table", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "rep")
-    cells = celled.groupBy("table", "bucket", "low", "high").agg(F.collect_list(F.struct("fp", "rep")).alias("members")).select("members")
+    cells = celled.groupBy("table", "bucket", "low", "high").agg(F.collect_list(F.struct("fp", "rep")).alias("members")).where(F.size("members") > 1).select("members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(fps: list[np.ndarray], reps: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = forest(np.concatenate(reps), *close_pairs(fps)) if fps else (np.zeros(0, np.int64),) * 2
+            a, b = forest(np.concatenate(reps), *connecting(fps, kind.radius)) if fps else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             column = batch.column("members")
             flat, at = column.flatten(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
-            fp, rep = flat.field("fp").to_numpy(zero_copy_only=False).view(np.uint64), flat.field("rep").to_numpy(zero_copy_only=False)
+            fp, rep = words_of(flat.field("fp"), kind.words), flat.field("rep").to_numpy(zero_copy_only=False)
             fps, reps_, load = [], [], 0
             for s, e in itertools.pairwise(at.tolist()):
                 fps.append(fp[s:e])
@@ -159,26 +290,24 @@ def links(reps: DataFrame, cell: int = CELL) -> DataFrame:
     return cells.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, kind: Kind = Exact()) -> DataFrame:
     """doc_id, fingerprint, component_id: one row for each row of docs."""
-    marked = saved(fingerprints(docs))
-    reps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    known = saved(reps)
-    found = components(links(known.where("rep IS NOT NULL")))
-    classes = known.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("own_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(classes, F.col("fp") == F.col("own_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def first_of_groups(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group of linked fingerprints, all columns as they were: that of the least doc_id, any id before none, then of the least hash.
-
-    Groups are of fingerprints, whatever the doc_ids: rows without one, or of one doc_id with texts that aren't linked, stay for each group. Rows equal in doc_id and text meet in one task."""
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
-    marked = saved(fingerprints(keyed, "_row"))
-    known = saved(marked.select("fp", F.col("fp").alias("rep")).distinct())
-    grouped = marked.join(components(links(known)), F.col("fp") == F.col("node"), "left").withColumn("group", F.coalesce("component", "fp"))
-    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
-    # the window's key is the join's, so the texts are shuffled once
-    own = keyed.join(first.select("first._row").distinct(), "_row", "left_semi")
-    ordered = Window.partitionBy("_row").orderBy(F.xxhash64("text"))
-    return own.withColumn("_nth", F.row_number().over(ordered)).where("_nth = 1").select(*docs.columns)
+    marked = saved(fingerprints(docs, kind))
+    known = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    found = components(links(known.where("rep IS NOT NULL"), kind))
+    classes = known.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n")
+    return join_by_key(marked, saved(classes), "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, kind: Kind = Similar()) -> DataFrame:
+    """One row of docs for each group of linked fingerprints, all columns as they were: that of the least doc_id, any id before none, then of the least hash of the row.
+
+    Groups are of fingerprints, whatever the doc_ids: rows without one, or of one doc_id with texts that aren't linked, stay for each group. Equal rows are one
+    before the shuffle."""
+    keyed = docs.withColumn("_row", F.xxhash64(*[f.name for f in docs.schema if not isinstance(f.dataType, MapType)]))
+    marked = saved(fingerprints(keyed, kind, "_row"))
+    known = saved(marked.groupBy("fp").agg(F.min("_row").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")))
+    grouped = known.join(components(links(known, kind)), F.col("rep") == F.col("node"), "left")
+    first = grouped.groupBy(F.coalesce("component", "rep")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    # the rows' key is the join's, so the texts are shuffled once
+    return keyed.dropDuplicates(["_row"]).join(first, "_row", "left_semi").select(*docs.columns)

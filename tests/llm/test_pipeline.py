@@ -21,7 +21,7 @@ def test_stages_and_their_decisions(spark, sf, tmp_path):
             kept = {r.doc_id for r in quality.classify(before, quality.trusted_ids(spark.read.parquet(f"{sf}/labels.parquet"))).where("keep").collect()}
             assert {r.doc_id for r in docs.collect()} == kept and len(kept) < before.count()
         if name == "near_dedup":
-            first = {r.component_id for r in simhash.near_duplicates(before).collect()}
+            first = {r.component_id for r in simhash.near_duplicates(before, simhash.Similar()).collect()}
             assert sorted(r.doc_id for r in docs.collect()) == sorted(first)
         if name == "mixing":
             taken = {r.doc_id: r.whole + (r.part > 0 and 2 * r.part >= r.size) for r in mixing.mix(before).collect()}

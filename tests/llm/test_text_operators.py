@@ -157,25 +157,31 @@ def test_fingerprints_of_edge_texts(edge_documents):
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.integers(0, 2**32), st.integers(1, 3))
-def test_bit_sliced_pairs_are_all_pairs_within_the_radius(seed, radius):
+@given(st.integers(0, 2**32), st.integers(1, 39), st.sampled_from([1, 4]))
+def test_bit_sliced_pairs_are_all_pairs_within_the_radius(seed, radius, words):
     rng = random.Random(seed)
-    groups = []
+    bits, groups = 64 * words, []
     for _ in range(rng.randint(1, 5)):
-        base = rng.getrandbits(64)
-        groups.append(np.array([base ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (2**64 - 1) if rng.random() < 0.8 else rng.getrandbits(64) for _ in range(rng.randint(1, 150))], dtype=np.uint64))
+        base = rng.getrandbits(bits)
+        near = lambda: base ^ sum({1 << rng.randrange(bits) for _ in range(rng.randint(0, 2 * radius))})  # noqa: E731, B023
+        groups.append([near() if rng.random() < 0.8 else rng.getrandbits(bits) for _ in range(rng.randint(1, 150))])
     expected, at = set(), 0
     for g in groups:
-        expected |= {(at + i, at + j) for i in range(len(g)) for j in range(i + 1, len(g)) if (int(g[i]) ^ int(g[j])).bit_count() <= radius}
+        expected |= {(at + i, at + j) for i in range(len(g)) for j in range(i + 1, len(g)) if (g[i] ^ g[j]).bit_count() <= radius}
         at += len(g)
-    assert set(zip(*(x.tolist() for x in simhash.close_pairs(groups, radius)))) == expected
+    split = [np.array([[x >> 64 * w & (2**64 - 1) for w in range(words)] for x in g], dtype=np.uint64) for g in groups]
+    assert set(zip(*(x.tolist() for x in simhash.close_pairs(split, radius)), strict=True)) == expected
+    ids = np.arange(at)
+    connected = lambda i, j: dict(zip(*(x.tolist() for x in simhash.forest(ids, i, j)), strict=True))
+    every = np.array(sorted(expected), dtype=np.int64).reshape(-1, 2).T
+    assert connected(*simhash.connecting(split, radius)) == connected(*every)
 
 
 def test_split_buckets_lose_no_link(spark):
     rng = random.Random(3)
     base = rng.getrandbits(64)
     fps = sorted({base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(120)} | {rng.getrandbits(64) for _ in range(80)})
-    reps = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp bigint, rep bigint")
+    reps = spark.createDataFrame([(f.to_bytes(8, "big"), i) for i, f in enumerate(fps)], "fp binary, rep bigint")
     found = simhash.components(simhash.links(reps, cell=16))
     got = {i: i for i in range(len(fps))} | {r["node"]: r["component"] for r in rows(found)}
     assert got == brute_components(list(range(len(fps))), fps)
@@ -195,7 +201,60 @@ def test_near_duplicates_of_the_table(spark, sf):
     given_ = docs.select("doc_id", "text").collect()
     classes = brute_components([r.doc_id for r in given_], [brute_fingerprint(r.text) for r in given_])
     assert {r["doc_id"]: r["component_id"] for r in rows(simhash.near_duplicates(docs))} == classes
-    assert sorted(r["doc_id"] for r in rows(simhash.first_of_groups(docs))) == sorted(set(classes.values()))
+    assert sorted(r["doc_id"] for r in rows(simhash.first_of_groups(docs, simhash.Exact()))) == sorted(set(classes.values()))
+
+
+def shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def test_similar_texts_are_found_and_others_left_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 0")
+    own = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    ids, where = sorted(own), {}
+    for i in ids:
+        for s in own[i]:
+            where.setdefault(s, []).append(i)
+    pairs = {(a, b) for found in where.values() for k, a in enumerate(found) for b in found[k + 1 :]}
+    jaccard = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a, b in pairs}
+    classes = {r["doc_id"]: r["component_id"] for r in rows(simhash.near_duplicates(docs, simhash.Similar()))}
+    alike = [p for p, j in jaccard.items() if j >= 0.85]
+    assert len(alike) > 5 and np.mean([classes[a] == classes[b] for a, b in alike]) > 0.9
+    linked = {i: i for i in ids}
+    for (a, b), j in sorted(jaccard.items()):
+        if j >= 0.65:
+            low, high = sorted((linked[a], linked[b]))
+            linked = {i: low if c == high else c for i, c in linked.items()}
+    assert all(linked[i] == linked[c] for i, c in classes.items())
+
+
+def test_texts_of_the_stated_similarity_meet_in_a_table():
+    kind, rng = simhash.Similar(), random.Random(5)
+    assert 38 <= kind.radius <= 40
+    for n, tried in ((1000, 200), (10**9, 100)):
+        met = []
+        for _ in range(tried):
+            words = [str(rng.random()) for _ in range(400)]
+            other = [*words[:356], *(str(rng.random()) for _ in range(44))]
+            fps = np.stack([simhash.fingerprint(" ".join(w), kind) for w in (words, other)])
+            if np.bitwise_count(fps[0] ^ fps[1]).sum() <= kind.radius:
+                met.append((kind.keys(fps, n)[0] == kind.keys(fps, n)[1]).any())
+        assert len(met) > 0.3 * tried and np.mean(met) >= 0.9
+
+
+def test_many_near_copies_and_their_cells(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    copies = []
+    for i in range(400):
+        own = list(words)
+        own[rng.randrange(300)] = f"x{i}"
+        copies.append((i, " ".join(own)))
+    others = [(1000 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))) for i in range(50)]
+    docs = spark.createDataFrame(copies + others, "doc_id bigint, text string").repartition(5)
+    kept = sorted(r["doc_id"] for r in rows(simhash.first_of_groups(docs)))
+    assert kept == [0, *(i for i, _ in others)]
 
 
 def test_rows_without_an_id_and_texts_of_one_id_stay_for_each_group(spark):
