@@ -1,8 +1,10 @@
 """Operator 3: byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are cut where no match of the splitting pattern can span: between an ASCII letter or digit and a
-following blank or line feed. Matches are runs that hold white space at their start only, and what a match
-takes before such a place doesn't depend on what follows it, so the parts give the ids of the whole.
+Long texts are cut where no match of the splitting pattern can span: between a letter or digit of any script and a following blank, tab or
+line break, or between a letter of a common script and a punctuation mark. Matches are runs of one kind that hold white space at their start only,
+and what a match takes before such a place doesn't depend on what follows it, so the parts give the ids of the whole.
+A long run of white space is one match, but for its last character if anything follows; it is encoded as one piece, past the pattern,
+as the library's matcher would exceed its stack.
 
 Null texts are empty texts, and an empty text has no ids. Repeated rows and ties give a row each. Columns
 other than doc_id and text are ignored.
@@ -13,20 +15,22 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import public_tokenizers
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import slices, texts
 
-#: Characters of a part of a long text.
-PART = 1 << 16
-SAFE = re.compile(r"[A-Za-z0-9](?=[ \n])")
+#: Characters of a part of a long text, and of a run of white space that is encoded past the pattern.
+PART, LONG_RUN = 1 << 16, 1 << 12
+SAFE = regex.compile(r"[\p{L}\p{N}](?=[ \t\r\n])|[A-Za-zА-яぁ-ゖァ-ヺ一-龥가-힣](?=[.,;:!?()、。，！？])")
+SPACE = r"[\t-\r \x85\xA0  -     　]"
+_runs = regex.compile(SPACE + "{%d,}" % LONG_RUN)
 
 
 @functools.cache
@@ -49,9 +53,18 @@ def parts(text: str, size: int = PART) -> Iterator[str]:
 
 
 def encode(enc: tiktoken.Encoding, text: str) -> list[int]:
-    if len(text) <= PART:
+    if len(text) <= LONG_RUN:
         return enc.encode_ordinary(text)
-    return [i for part in parts(text) for i in enc.encode_ordinary(part)]
+    ids, at = [], 0
+    for run in _runs.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        for part in parts(text[at : run.start()]):
+            ids += enc.encode_ordinary(part)
+        ids += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    for part in parts(text[at:]):
+        ids += enc.encode_ordinary(part)
+    return ids
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
