@@ -1,8 +1,9 @@
 """Operator 9: token counts by a map-side two-tier lookup.
 
-Tier one is a compact table of the lengths of frequent pre-tokens, broadcast: the vocabulary entries that are a
-whole pre-token, at most as many as the tokenizer has ids. Tier two encodes what misses with the library and
-keeps it in a cache of bounded size in each worker. Nothing is shuffled.
+Tier one is a compact table of the lengths of the corpus's frequent pre-tokens (pieces between blanks, with the blank), broadcast: the FREQUENT
+most frequent ones of about SAMPLE documents, chosen by a hash. It decides only what is looked up where, not what is
+counted. Tier two encodes what misses with the library and keeps it in a cache of bounded size in each worker. No pre-token of the
+corpus is shuffled, but the counts of the sample's.
 
 Null texts are empty texts, and an empty text has 0 tokens. Repeated rows give a row each. Columns other than
 doc_id and text are ignored.
@@ -11,6 +12,8 @@ doc_id and text are ignored.
 from __future__ import annotations
 
 import functools
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import slices, texts
-from tallyforge.llm.pretokens import PreTokenEncoder, frequent_lengths
+from tallyforge.llm.pretokens import PieceEncoder, pieces
 
 LIMIT = 512
-_workers: dict[str, PreTokenEncoder] = {}
+#: Entries of the table, at most of CACHED_LENGTH characters each; documents that it is made from.
+FREQUENT, SAMPLE = 1 << 16, 4096
+_workers: dict[str, PieceEncoder] = {}
 
 
 @functools.cache
@@ -31,15 +36,34 @@ def _pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def frequent_lengths(docs: DataFrame, path: str, most: int = FREQUENT, sample: int = SAMPLE) -> dict[str, int]:
+    """The numbers of ids of the most frequent pieces, each with a blank before it, in about `sample` documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                total = sum((pieces(t) for t in texts(batch)), Counter())
+                yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["piece", "n"])
+
+    one_of = max(1, docs.count() // sample)
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(one_of)) == 0).select("text")
+    top = some.mapInArrow(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
+    encoder = PieceEncoder(path, len)
+    found = [r.piece for r in top.select("piece").collect()] if encoder.splits else []
+    return dict(zip(found, encoder.encoded([" " + t for t in found]), strict=True))
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs. path: a .json (tokenizers) or .model (sentencepiece) file that every executor has."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(path) if path.endswith(".json") else {})
+    frequent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, frequent_lengths(docs, path) if path.endswith(".json") else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path.endswith(".json"):
-            if path not in _workers:
-                _workers[path] = PreTokenEncoder(path, len, frequent.value)
-            values = _workers[path].values
+            name, known = frequent.value
+            if name not in _workers:
+                _workers.clear()
+                _workers[name] = PieceEncoder(path, len, known)
+            values = _workers[name].values
             count = lambda text: sum(values(text))
         else:
             count = lambda text: len(_pieces(path).encode(text, num_threads=1)) if text else 0

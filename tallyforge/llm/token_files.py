@@ -7,8 +7,8 @@ its documents' ids and lengths and the chunk index (ids, and the offset and leng
 written through Spark's Parquet writer (uncompressed, as planes are), whose commits survive lost executors on any
 store; `index` beside them holds the first id's number of each segment.
 
-Null and empty texts have the end id only. Rows of one doc_id stand in the order of their texts' hashes, and
-null doc_ids first. Columns other than doc_id and text are ignored. An empty table makes empty files.
+Null and empty texts have the end id only. Rows of one doc_id stand in the order of their texts' hashes, which also
+deals them out to the writers, and null doc_ids first. Columns other than doc_id and text are ignored. An empty table makes empty files.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import shared_dir, slices, texts
+from tallyforge.llm.common import shared_dir, slices, small, texts
 from tallyforge.llm.pretokens import encoder
 
 BLOCK = 1 << 16
@@ -50,12 +50,12 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(by).view("<u4").reshape(-1)
 
 
-def pack(ids: np.ndarray, bits: bool = False, level: int = 1) -> tuple[list[int], list[int], list[int], bytes]:
+def pack(ids: np.ndarray, bits: bool = False, level: int = 1, size: int = BLOCK) -> tuple[list[int], list[int], list[int], bytes]:
     """Blocks' ids, offsets and lengths of their planes, and the payload."""
     blocks, offsets, lengths, out, at = [], [], [], [], 0
     press = zstandard.ZstdCompressor(level=level)
-    for start in range(0, len(ids), BLOCK):
-        block = ids[start : start + BLOCK]
+    for start in range(0, len(ids), size):
+        block = ids[start : start + size]
         blocks.append(len(block))
         for plane in to_planes(block, bits):
             data = press.compress(plane)
@@ -74,14 +74,14 @@ def unpack(blocks: list[int], offsets: list[int], lengths: list[int], payload: b
     return np.concatenate([from_planes([press.decompress(view[o : o + n]) for o, n in spans[i * per : (i + 1) * per]], size) for i, size in enumerate(blocks)])
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, bits: bool = False) -> None:
-    """Encodes docs (doc_id, text) and writes `path`/segments and `path`/index."""
+def write(docs: DataFrame, tokenizer: str, path: str, bits: bool = False, block: int = BLOCK, most: int = SEGMENT) -> None:
+    """Encodes docs (doc_id, text) and writes `path`/segments and `path`/index. block: ids of a block; most: ids from which a segment ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ids, docs_, lengths, number = encoder(tokenizer, "ids").values, [], [], [], 0
 
         def segment() -> pa.RecordBatch:
-            blocks, offsets, sizes, payload = pack(np.frombuffer(b"".join(ids), dtype="<u4"), bits)
+            blocks, offsets, sizes, payload = pack(np.frombuffer(b"".join(ids), dtype="<u4"), bits, size=block)
             row = [part, number, docs_, lengths, sum(lengths), blocks, offsets, sizes, payload]
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema=schema)
 
@@ -95,7 +95,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, bits: bool = False) -> Non
                     docs_.append(doc)
                     lengths.append(len(data) // 4)
                     pending += lengths[-1]
-                    if pending >= SEGMENT:
+                    if pending >= most:
                         yield segment()
                         ids, docs_, lengths, pending, number = [], [], [], 0, number + 1
         if docs_:
@@ -104,7 +104,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, bits: bool = False) -> Non
     schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("block_ids", pa.list_(pa.int32())), ("plane_offsets", pa.list_(pa.int64())), ("plane_lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("hash", F.xxhash64("text")).repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
     ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, SEGMENT_SCHEMA).write.option("compression", "none").parquet(f"{path}/segments")
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(f"{path}/segments")
     # one row for each part: as few as the writing tasks
@@ -118,7 +118,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, bits: bool = False) -> Non
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
     index = spark.read.schema("part int, segment int, n_ids bigint, start bigint").parquet(f"{path}/index").select("part", "segment", "start")
-    segments = spark.read.schema(SEGMENT_SCHEMA).parquet(f"{path}/segments")
+    # a row for each segment
+    segments = spark.read.schema(SEGMENT_SCHEMA).parquet(f"{path}/segments").join(small(index), ["part", "segment"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -128,10 +129,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(np.array(row["lengths"], dtype=np.int64))
                 starts = ends - row["lengths"]
                 crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(crc), pa.int32()), pa.array([row["segment"]] * len(crc), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(row["lengths"], pa.int64()), pa.array(crc, pa.int64())], names=["part", "segment", "doc_id", "inside", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + starts), pa.array(row["lengths"], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    decoded = segments.mapInArrow(run, "part int, segment int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
-    return decoded.join(index, ["part", "segment"]).select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return segments.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
