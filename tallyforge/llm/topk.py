@@ -13,6 +13,8 @@ table has no results. Columns other than vec_id and embedding are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,8 +60,17 @@ def threshold_search(x: np.ndarray, ids: np.ndarray, order: np.ndarray, q: np.nd
     return top
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x); as whole numbers of any size where a double could overflow."""
+    if not (np.abs(x) > 2.0**900).any():
+        return np.floor(SCALE * x)
+    return np.frompyfunc(lambda v: int(v) * SCALE if abs(v) >= 2**53 else math.floor(SCALE * v), 1, 1)(x)
+
+
 def exact(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whole numbers in the smallest kind in which no inner product is rounded: single or double precision, or whole numbers of any size."""
+    if x.dtype == object or q.dtype == object:
+        return np.frompyfunc(int, 1, 1)(x), np.frompyfunc(int, 1, 1)(q)
     most = x.shape[1] * max(1.0, np.abs(x).max(initial=0)) * max(1.0, np.abs(q).max(initial=0))
     if most < 2**24:
         return x.astype(np.float32), q.astype(np.float32)
@@ -70,7 +81,7 @@ def _cell(k: int):
     def run(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         queries, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(candidates) and len(asked):
-            x, q = np.floor(SCALE * stacked(candidates["embedding"])), np.floor(SCALE * stacked(asked["embedding"]))
+            x, q = scaled(stacked(candidates["embedding"])), scaled(stacked(asked["embedding"]))
             ids = candidates["vec_id"].to_numpy()
             order = np.argsort(x, axis=0, kind="stable").astype(np.int32)
             x, q = exact(x, q)
