@@ -9,8 +9,8 @@ fewer than k probes every list, without that bound and the test. Lists of more t
 that a list with a third of all rows spreads over many tasks.
 
 Rows without an id, null or zero vectors and vectors with null or non-finite components take no part. Vectors
-meet only those of their own length. Rows that share a vec_id are one result, with the best
-score, ask once, and aren't candidates of their own id. An empty table has no results. Columns other than vec_id and embedding are ignored.
+meet only those of their own length. Rows that share a vec_id are candidates each, but ask once (the least
+vector), and aren't candidates of their own id. An empty table has no results. Columns other than vec_id and embedding are ignored.
 """
 
 from __future__ import annotations
@@ -179,7 +179,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, recall: float = R
 
 def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    counted = own.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"), F.max(norm).alias("largest")).first()
+    counted = own.agg(F.count("*").alias("n"), F.max(norm).alias("largest")).first()
     sample = own.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).toPandas()
     largest = float(counted.largest)
     lists = min(MOST_LISTS, max(1, counted.n // LIST))
@@ -205,10 +205,12 @@ def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
     queries = queries_of(own, every)
     asked = queries.withColumn("bound", bound_of("vec_id", "embedding")).withColumn("list", F.explode(lists_of("embedding")))
     found = saved(_probed(put, asked, k, largest))
-    full = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= min(k, counted.ids - 1)).select(F.col("query_id").alias("vec_id"))
+    # each row is in one list, so it comes once
+    of_own_id = own.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("own"))
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).join(of_own_id, "query_id").where(F.col("n") >= F.least(F.lit(k), counted.n - F.col("own"))).select(F.col("query_id").alias("vec_id"))
     short = queries.join(full, "vec_id", "left_anti").withColumn("bound", F.lit(float("-inf"))).withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1))))
     rest = _probed(put, short, k, largest, exact=True)
-    return ranked(found.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+    return ranked(found.join(full.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi").unionByName(rest), k)
 
 
 def _probed(put: DataFrame, asked: DataFrame, k: int, largest: float, exact: bool = False) -> DataFrame:
