@@ -10,7 +10,7 @@ leave-one-out votes, weighted to the classes' true rates, calibrates the votes.
 
 Null and empty texts, and texts without a word of any example, get the calibrated rate of such examples. Equal cosines go
 to the example earlier in the index. Without examples of both classes every score is the rate of toxic labels,
-0 without labels. Repeated rows get a row each; of repeated labels the largest counts. Only text is used for a
+0 without labels. Repeated rows get a row each; of repeated labels the largest counts, of texts of one labelled doc_id the least. Only text is used for a
 score; other columns are ignored.
 """
 
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ind
                 rows = [(d, y, t, n) for d, y, text in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), texts(batch), strict=True) for t, n in (Counter(words(text)) or {None: 0}).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "toxic", "term", "n"])
 
-    texts_of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    texts_of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     counts: dict[int, dict[str, int]] = {}
     toxic: dict[int, int] = {}
     for r in texts_of.mapInArrow(count, "doc_id bigint, toxic int, term string, n bigint").toArrow().to_batches():
