@@ -13,7 +13,7 @@ The table of sources (one row each) is ordered by one task: it is as small as a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import WORD
@@ -22,8 +22,13 @@ STRATUM = 4096
 SEED = "mix-1"
 
 
+def order_key() -> Column:
+    """The place of a row in the seeded order: by doc_id and text, so that rows without an id are dealt out as well."""
+    return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), order_key().alias("order_key"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -50,32 +55,38 @@ def targets(sized: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, whole, part, taken: one row for each row of docs; taken = whole * size + part words."""
+    return placed(docs).select("doc_id", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, source, order_key, size, source_size, target, whole, part of each row."""
     sized = sizes(docs)
     plan = targets(sized)
-    joined = sized.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).select("d.doc_id", "d.source", "d.size", "p.source_size", "p.documents", "p.target")
-    seeded = joined.withColumn("order_key", F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    joined = sized.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).select("d.doc_id", "d.source", "d.size", "d.order_key", "p.source_size", "p.documents", "p.target")
     strata = F.ceil(F.col("documents") / STRATUM).cast("bigint")
     epochs = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)).cast("double"), F.lit(0.0))
-    salted = seeded.withColumns({"stratum": F.conv(F.substring("order_key", 1, 7), 16, 10).cast("bigint") % strata, "epochs": epochs}).withColumn("whole", F.floor("epochs").cast("bigint"))
+    salted = joined.withColumns({"stratum": F.conv(F.substring("order_key", 1, 7), 16, 10).cast("bigint") % strata, "epochs": epochs}).withColumn("whole", F.floor("epochs").cast("bigint"))
     own = Window.partitionBy("source", "stratum")
     before = own.orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = salted.withColumns({"stratum_size": F.sum("size").over(own), "before": F.coalesce(F.sum("size").over(before), F.lit(0))})
+    summed = salted.withColumns({"stratum_size": F.sum("size").over(own), "before": F.coalesce(F.sum("size").over(before), F.lit(0))})
     bound = F.floor((F.col("epochs") - F.col("whole")) * F.col("stratum_size")).cast("bigint")
     part = F.least(F.greatest(bound - F.col("before"), F.lit(0)), F.col("size"))
-    return placed.select("doc_id", "size", "source_size", "target", "whole", part.alias("part"), (F.col("whole") * F.col("size") + part).alias("taken"))
+    return summed.select("doc_id", "source", "order_key", "size", "source_size", "target", "whole", part.alias("part"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs as often as the mix takes them, all columns as they were. A part of at least half a text is one more whole copy, as no text is cut."""
-    copies = mix(docs).where("size > 0").withColumn("copies", (F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).cast("int"))
-    copies = copies.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_mix_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    """The rows of docs as often as the mix takes them, all columns as they were. A part of at least half a text is one more whole copy, as no text is cut;
+    rows of one doc_id, source and text share their copies evenly."""
+    copies = placed(docs).where("size > 0").withColumn("copies", (F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).cast("int"))
+    copies = copies.groupBy(F.col("source").alias("_of"), F.col("order_key").alias("_key")).agg(F.round(F.sum("copies") / F.count("*")).cast("int").alias("_copies")).where("_copies > 0")
+    keyed = docs.withColumn("_order_key", order_key())
+    return keyed.join(copies, (F.col("_order_key") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_of"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 #: The same rows in DuckDB's SQL.
 MIX_SQL = r"""
 WITH sized AS (
-  SELECT CAST(doc_id AS BIGINT) AS doc_id, source,
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, source, md5('mix-1:' || coalesce(CAST(CAST(doc_id AS BIGINT) AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS order_key,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS documents FROM sized GROUP BY source),
 weighed AS (
@@ -96,9 +107,8 @@ plan AS (
               ELSE CAST(weight * (3 * all_size - 4 * clamped_size) AS DOUBLE) / CAST(nullif(2 * open_weight, 0) AS DOUBLE) END AS target
   FROM settled),
 seeded AS (
-  SELECT d.doc_id, d.source, d.size, p.source_size, p.target,
+  SELECT d.doc_id, d.source, d.size, d.order_key, p.source_size, p.target,
          coalesce(p.target / CAST(nullif(p.source_size, 0) AS DOUBLE), 0.0) AS epochs,
-         md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')) AS order_key,
          CAST(ceil(p.documents / 4096) AS BIGINT) AS strata
   FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
 salted AS (SELECT *, CAST('0x' || substr(order_key, 1, 7) AS BIGINT) % strata AS stratum, CAST(floor(epochs) AS BIGINT) AS whole FROM seeded),
