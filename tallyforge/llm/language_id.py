@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import is_held_out, slices, texts
 
 UNDETERMINED = "und"
-#: languages x buckets stays at or below this, so the model that is sent to every executor has at most 8 MB.
-MAX_CELLS = 1 << 20
-MAX_BUCKET_BITS = 15
+#: A language has as many buckets whatever their number: 128 KB each of the model that is sent to every executor.
+BUCKET_BITS = 15
+#: More values than this in `lang` aren't a set of languages, and are an error; the model has at most 128 MB.
+MOST_LANGUAGES = 1024
+#: Trigrams x languages that are worked on at once.
+CELLS = 1 << 22
 RESULT = "doc_id bigint, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>"
 
 
@@ -56,10 +59,11 @@ class LanguageModel:
 def train(labelled: DataFrame, smoothing: float = 0.5) -> LanguageModel:
     """labelled: text, lang. Counts cover every row with a language; tasks pre-aggregate, so the shuffle has at most languages x buckets rows a task."""
     labelled = labelled.where(F.col("lang").isNotNull()).select("text", "lang")
-    languages = sorted(r.lang for r in labelled.select("lang").distinct().collect())
+    languages, bits = sorted(r.lang for r in labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()), BUCKET_BITS
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not languages:
-        return LanguageModel([], MAX_BUCKET_BITS, np.zeros((1 << MAX_BUCKET_BITS, 0)))
-    bits = min(MAX_BUCKET_BITS, max(1, (MAX_CELLS // len(languages)).bit_length() - 1))
+        return LanguageModel([], bits, np.zeros((1 << bits, 0), dtype=np.float32))
     at = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +81,7 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> LanguageModel:
     counts = np.zeros((1 << bits) * len(at))
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     counts = counts.reshape(1 << bits, len(at)) + smoothing
-    return LanguageModel(languages, bits, counts / counts.sum(axis=0))
+    return LanguageModel(languages, bits, (counts / counts.sum(axis=0)).astype(np.float32))
 
 
 def infer(bags: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray, penalty: float = 4.0, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +92,7 @@ def infer(bags: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray, penalty: flo
     sizes = np.array([len(u) for u, _ in bags])
     starts, doc = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(bags)), sizes)
     n = np.concatenate([c for _, c in bags]).astype(float)
-    like = p[np.concatenate([u for u, _ in bags])]
+    like = p[np.concatenate([u for u, _ in bags])].astype(float)
     total = np.add.reduceat(n, starts)
 
     def em(theta: np.ndarray, like: np.ndarray, n: np.ndarray, starts: np.ndarray, doc: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +130,19 @@ def infer(bags: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray, penalty: flo
     return best, alone
 
 
+def portions(bags: list[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The bags in lists of about `most` distinct trigrams."""
+    some, load = [], 0
+    for bag in bags:
+        some.append(bag)
+        load += len(bag[0])
+        if load >= most:
+            yield some
+            some, load = [], 0
+    if some:
+        yield some
+
+
 def predictor(model: LanguageModel):
     """texts -> (language, score, languages, proportions) of each."""
 
@@ -141,7 +158,7 @@ def predictor(model: LanguageModel):
                 where.append(i)
         if not bags:
             return out
-        theta, alone = infer(bags, model.probabilities)
+        theta = np.concatenate([infer(some, model.probabilities)[0] for some in portions(bags, max(1, CELLS // len(model.languages)))])
         for i, share in zip(where, theta, strict=True):
             order = [j for j in np.argsort(-share, kind="stable") if share[j] > 0]
             out[i] = (model.languages[order[0]], float(min(1.0, share[order[0]])), [model.languages[j] for j in order], [float(share[j]) for j in order])

@@ -59,6 +59,14 @@ def test_scores_beyond_doubles_are_exact(spark):
     assert [g[2] for g in sorted(got)] == [1, 2]
 
 
+def test_components_that_overflow_when_scaled_are_exact(spark):
+    rows = [(0, [1.5e308, 1.0]), (1, [-1.5e308, 2.0]), (2, [1e307, -3.0]), (3, [0.5, 0.5]), (50, [-1e306, 0.25])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    floor = lambda v: [int(x) * 256 if abs(x) > 2**53 else int(np.floor(256 * x)) for x in v]
+    cut = lambda n: min(max(n, -(2**63)), 2**63 - 1)
+    assert got == brute(rows, 5, 50, lambda a, b: cut(sum(x * y for x, y in zip(floor(a), floor(b), strict=True))))
+
+
 def test_threshold_search_equals_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
@@ -84,6 +92,12 @@ def test_neighbours_of_edge_rows(vectors):
     assert all(abs(exact[g[0], g[2]] - g[3]) < 1e-9 for g in got if g[0] != 50 and g[2] != 50)
 
 
+def test_rows_of_one_id_are_neighbours_each(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(29, [50.0, 1.0]), (20, [40.0, 0.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=40, recall=1.0).collect())
+    assert got == brute(rows, 40, 20, lambda a, b: float(np.dot(a, b)))
+
+
 def test_recall_on_the_table(spark):
     path = "/root/testdata/sf0.1/embeddings.parquet"
     got = ann.search(spark.read.parquet(path)).toPandas()
