@@ -1,7 +1,7 @@
 """Amounts and dates in running text, with byte spans, by built-in expressions only.
 
-Matches come from regexp_extract_all, their byte offsets from the pieces that are left between them. What
-surrounds a numeral is captured by groups inside look-arounds, so that neighbours can share characters.
+One regexp_replace marks all matches of a pattern; byte offsets are running sums over the matches and what is left between them, so that work
+grows with the text's length. What surrounds a numeral is captured by groups inside look-arounds, so that neighbours can share characters.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ MONTHS = ["January", "February", "March", "April", "May", "June", "July", "Augus
 #: Bytes between a keyword's end and the value it introduces, at most.
 WINDOW = 40
 ANCHORED, UNANCHORED = 90, 40
-MARK = "\u0001"
+MARK, SEPARATOR, END = "\u0001", "\u0002", "\u0003"
+#: Places in a block of running().
+BLOCK = 256
 
 _BEFORE = r"(?=[0-9])(?:(?<=((?<![A-Za-z0-9])[A-Z]{3}\$|(?<![A-Za-z0-9]|[^\x00-\x7F])US\$|[€£]|(?<![A-Za-z0-9])[A-Z]{3})([  ]?)))?"
 _AFTER = r"(?=([  ]?)([A-Z]{3}\$|US\$|[€£]|[A-Z]{3}(?![A-Za-z0-9]))|)"
@@ -57,16 +59,36 @@ def anchor_pattern(anchors: list[str]) -> str:
     return r"(?i)(?<![A-Za-z])(?:" + "|".join(anchors) + r")(?![A-Za-z])"
 
 
-def gaps_of(text: Column, pattern: str) -> Column:
-    """What stands between the matches. The matches become one mark first, as split() would compile a long pattern for each row anew; a mark
-    that the text has becomes another control character of the same size."""
-    return F.split(F.regexp_replace(F.translate(text, MARK, "\u0002"), F.lit(pattern), F.lit(MARK)), MARK, -1)
+def pieces(text: Column, pattern: str, groups: str = "$0") -> Column:
+    """What stands before the first match, then for each match its groups and what stands between it and the next one, in one pass over the text. The marks
+    between these are control characters; those that the text has become another one of the same size."""
+    return F.split(F.regexp_replace(F.translate(text, MARK + SEPARATOR + END, "\u0004\u0004\u0004"), F.lit(pattern), F.lit(MARK + groups + END)), MARK, -1)
 
 
-def starts(gaps: Column, tokens: Column) -> Column:
-    """Byte offsets of the tokens between the gaps."""
-    upto = lambda pieces, n: F.octet_length(F.array_join(F.slice(pieces, F.lit(1), n), ""))
-    return F.transform(tokens, lambda _, i: upto(gaps, i + 1) + upto(tokens, i))
+def running(first: Column, steps: Column) -> Column:
+    """first, first + steps[0], first + steps[0] + steps[1], ...: as many as there are steps. Blocks of BLOCK keep the copying of arrays linear."""
+    empty = F.array().cast("array<int>")
+    start = F.struct(first.alias("at"), F.array().cast("array<array<int>>").alias("done"), empty.alias("block"))
+
+    def put(acc: Column, step: Column) -> Column:
+        full = F.size(acc["block"]) == BLOCK
+        done = F.when(full, F.array_append(acc["done"], acc["block"])).otherwise(acc["done"])
+        return F.struct((acc["at"] + step).alias("at"), done.alias("done"), F.array_append(F.when(full, empty).otherwise(acc["block"]), acc["at"]).alias("block"))
+
+    return F.aggregate(steps, start, put, lambda acc: F.flatten(F.array_append(acc["done"], acc["block"])))
+
+
+def matches_in(found: Column, names: list[str], token: str) -> tuple[Column, Column]:
+    """Of pieces(): the matches as structs of their groups by name, and the byte offsets of the one called `token`."""
+    each = F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))
+
+    def one(piece: Column) -> Column:
+        groups = F.split(F.substring_index(piece, END, 1), SEPARATOR, -1)
+        return F.struct(*[F.get(groups, F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+    at = names.index(token)
+    steps = F.transform(each, lambda p: F.octet_length(F.get(F.split(F.substring_index(p, END, 1), SEPARATOR, -1), F.lit(at))) + F.octet_length(F.substring_index(p, END, -1)))
+    return F.transform(each, one), running(F.octet_length(F.get(found, F.lit(0))), steps)
 
 
 def minor_units(token: Column) -> Column:
@@ -97,25 +119,33 @@ def calendar_date(token: Column) -> Column:
     return F.try_to_date(iso, "yyyy-MM-dd")
 
 
-def amounts(tokens: Column, begin: Column, before: Column, blank: Column, gap: Column, after: Column) -> Column:
+def amounts(found: Column, starts: Column) -> Column:
     """array<struct<value: money, start, end>> of the numerals with a currency. A marker after a numeral counts before one in front of it, even if it is no currency."""
 
-    def one(token: Column, i: Column) -> Column:
-        start = F.get(begin, i)
+    def one(m: Column, start: Column) -> Column:
+        token, behind, ahead = m["token"], m["after"], m["before"]
         end = start + F.octet_length(token)
-        behind, ahead = F.get(after, i), F.get(before, i)
         code = F.when(behind != "", marker_code(behind)).when(ahead != "", marker_code(ahead))
-        first = F.when((behind == "") & (ahead != ""), start - F.octet_length(F.get(blank, i)) - F.octet_length(ahead)).otherwise(start)
-        last = F.when(behind != "", end + F.octet_length(F.get(gap, i)) + F.octet_length(behind)).otherwise(end)
+        first = F.when((behind == "") & (ahead != ""), start - F.octet_length(m["blank"]) - F.octet_length(ahead)).otherwise(start)
+        last = F.when(behind != "", end + F.octet_length(m["gap"]) + F.octet_length(behind)).otherwise(end)
         return F.struct(F.struct(minor_units(token).alias("minor_units"), code.alias("currency")).alias("value"), first.alias("start"), last.alias("end"))
 
-    return F.filter(F.transform(tokens, one), lambda m: m["value"]["minor_units"].isNotNull() & m["value"]["currency"].isin(*ISO_4217))
+    return F.filter(F.zip_with(found, starts, one), lambda m: m["value"]["minor_units"].isNotNull() & m["value"]["currency"].isin(*ISO_4217))
+
+
+def anchored(ends: Column, matches: Column, within: int = WINDOW) -> Column:
+    """The first match in the window after the first keyword that has one: a range join inside the row, as one pass over both in order.
+
+    That match is the first one whose nearest keyword before it is near enough: an earlier keyword with a match in its window would have an earlier match."""
+    none = F.get(F.filter(matches, lambda m: F.lit(False)), F.lit(0))
+    last = F.struct(none["start"].alias("end"), none.alias("hit"))
+    events = F.concat(F.transform(ends, lambda a: F.struct(a.alias("at"), F.lit(0).alias("kind"), none.alias("match"))), F.transform(matches, lambda m: F.struct(m["start"].alias("at"), F.lit(1).alias("kind"), m.alias("match"))))
 
+    def step(acc: Column, event: Column) -> Column:
+        near = acc["hit"].isNull() & (event["kind"] == 1) & (event["at"] - acc["end"] <= within)
+        return F.struct(F.when(event["kind"] == 0, event["at"]).otherwise(acc["end"]).alias("end"), F.when(near, event["match"]).otherwise(acc["hit"]).alias("hit"))
 
-def anchored(ends: Column, matches: Column) -> Column:
-    """The first match in the window after the first keyword that has one: a range join inside the row."""
-    near = F.transform(ends, lambda a: F.slice(F.filter(matches, lambda m: m["start"].between(a, a + WINDOW)), 1, 1))
-    return F.get(F.flatten(near), F.lit(0))
+    return F.aggregate(F.array_sort(events), last, step, lambda acc: acc["hit"])
 
 
 def as_field(match: Column, confidence: int, kind: Column, doc: Column, value_type: str) -> Column:
@@ -129,21 +159,18 @@ def scan(df: DataFrame, column: str, out: str, kind: Column | int, doc: Column |
     kind = F.lit(kind) if isinstance(kind, int) else kind
     doc = doc if doc is not None else F.lit(None).cast("int")
     own = lambda name: f"_{out}_{name}"
-    rx, date = F.lit(AMOUNT), F.lit(DATE)
     keys = {"amount": AMOUNT_ANCHORS, "due": DUE_ANCHORS, "issued": ISSUED_ANCHORS}
-    raw = {own(name): F.regexp_extract_all(t, rx, F.lit(group)) for name, group in (("before", 1), ("blank", 2), ("num", 3), ("gap", 4), ("after", 5))}
-    raw |= {own("num_gaps"): gaps_of(t, AMOUNT), own("date"): F.regexp_extract_all(t, date, F.lit(0)), own("date_gaps"): gaps_of(t, DATE)}
-    for name, words in keys.items():
-        raw |= {own(f"{name}_keys"): F.regexp_extract_all(t, F.lit(anchor_pattern(words)), F.lit(0)), own(f"{name}_gaps"): gaps_of(t, anchor_pattern(words))}
+    raw = {own("num"): pieces(t, AMOUNT, SEPARATOR.join(f"${i}" for i in range(1, 6))), own("date"): pieces(t, DATE)} | {own(name): pieces(t, anchor_pattern(words)) for name, words in keys.items()}
     # one projection after another: each intermediate array is computed once
     step = df.withColumns(raw)
-    ends = lambda name: F.zip_with(starts(F.col(own(f"{name}_gaps")), F.col(own(f"{name}_keys"))), F.col(own(f"{name}_keys")), lambda s, k: s + F.octet_length(k))
-    step = step.withColumns({own("num_at"): starts(F.col(own("num_gaps")), F.col(own("num"))), own("date_at"): starts(F.col(own("date_gaps")), F.col(own("date")))} | {own(f"{name}_ends"): ends(name) for name in keys})
-    dates = F.zip_with(own("date"), own("date_at"), lambda d, s: F.struct(calendar_date(d).alias("value"), s.alias("start"), (s + F.octet_length(d)).alias("end")))
-    step = step.withColumns({
-        own("amounts"): amounts(*(F.col(own(n)) for n in ("num", "num_at", "before", "blank", "gap", "after"))),
-        own("dates"): F.filter(dates, lambda d: d["value"].isNotNull()),
-    })
+    parts = {"num": ["before", "blank", "token", "gap", "after"]} | dict.fromkeys(["date", *keys], ["token"])
+    for name, groups in parts.items():
+        found, at = matches_in(F.col(own(name)), groups, "token")
+        step = step.withColumns({own(f"{name}_found"): found, own(f"{name}_at"): at})
+    both = lambda name: (F.col(own(f"{name}_found")), F.col(own(f"{name}_at")))
+    dates = F.zip_with(*both("date"), lambda d, s: F.struct(calendar_date(d["token"]).alias("value"), s.alias("start"), (s + F.octet_length(d["token"])).alias("end")))
+    ends = {own(f"{name}_ends"): F.zip_with(*both(name), lambda k, s: s + F.octet_length(k["token"])) for name in keys}
+    step = step.withColumns({own("amounts"): amounts(*both("num")), own("dates"): F.filter(dates, lambda d: d["value"].isNotNull())} | ends)
     found = F.col(own("amounts"))
     largest = F.array_max(F.transform(found, lambda m: F.struct(m["value"]["minor_units"].alias("n"), m["start"].alias("s"), m.alias("m"))))["m"]
     step = step.withColumns({own("amount_hit"): anchored(F.col(own("amount_ends")), found), own("largest"): largest, own("due_hit"): anchored(F.col(own("due_ends")), F.col(own("dates")))})

@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyforge.functions import validate
+
 
 def raw_hash(content: Column) -> Column:
     return F.unhex(F.sha2(content, 256))
@@ -81,6 +83,20 @@ def bill_json(id: Column, vendor: Column, minor: Column, code: Column, start: Co
 BILL_JSON = "id string, vendor string, amount struct<minor_units:bigint,currency:string>, period struct<start:array<int>,end:array<int>>, issued array<int>, due array<int>, status string"
 
 
+def unbill_json(json: Column) -> Column:
+    """A bill out of JSON as its flat columns, checked as any other: null for what isn't one of these, or couldn't be a bill."""
+    j = F.from_json(json, BILL_JSON)
+    days = {"period_start": unjson_date(j["period"]["start"]), "period_end": unjson_date(j["period"]["end"]), "issued": unjson_date(j["issued"]), "due": unjson_date(j["due"])}
+    given = {"period_start": j["period"]["start"], "period_end": j["period"]["end"], "issued": j["issued"], "due": j["due"]}
+    flat = {"id": j["id"], "vendor": j["vendor"], "amount_minor": j["amount"]["minor_units"], "currency": j["amount"]["currency"], **days, "status": j["status"]}
+    whole_amount = j["amount"].isNull() | (flat["amount_minor"].isNotNull() & flat["currency"].isNotNull())
+    whole_period = j["period"].isNull() | (days["period_start"].isNotNull() & days["period_end"].isNotNull())
+    sound = validate.is_bill_id(flat["id"]) & whole_amount & whole_period & validate.broken_invariant(flat["status"], flat["vendor"], flat["amount_minor"], flat["currency"], days["period_start"], days["period_end"], days["issued"]).isNull()
+    for name, day in days.items():
+        sound &= day.isNotNull() | given[name].isNull()
+    return F.when(F.coalesce(sound, F.lit(False)), F.struct(*[c.alias(n) for n, c in flat.items()]))
+
+
 def strip_fence(reply: Column) -> Column:
     """A reply without the code fence around it, if there is one."""
     bare = F.regexp_replace(reply, r"^\s+|\s+\z", "")
@@ -97,8 +113,8 @@ ENTITIES = {"nbsp": "\u00a0", "euro": "€", "lt": "<", "gt": ">", "quot": '"',
 def strip_html(html: Column) -> Column:
     """Text without tags. The end of a block and a line break are a blank; entities are decoded once; an unclosed tag takes the rest.
 
-    Tags are first marked by control characters, so that what they hold can't pass for an entity or a tag."""
-    closed = F.regexp_replace(html, r"<[^>]*\z", "")
+    Tags are first marked by control characters, so that what they hold can't pass for an entity or a tag; those that the text has are escaped meanwhile."""
+    closed = F.regexp_replace(_escaped(html), r"<[^>]*\z", "")
     marked = F.regexp_replace(closed, r"<([^>]*)>", "\u0001$1\u0002")
     blocks = "|".join(BLOCK_TAGS)
     spaced = F.regexp_replace(marked, rf"(?i)\u0001\s*(?:/\s*(?:{blocks})|br(?:[\s/][^\u0002]*)?)\s*\u0002", " ")
@@ -106,7 +122,23 @@ def strip_html(html: Column) -> Column:
     # a numeric reference is a piece of its own, so that decoded text isn't decoded again
     pieces = F.split(F.regexp_replace(bare, "(&#[0-9]{1,9};)", "\u0001$1\u0001"), "\u0001", -1)
     decoded = F.transform(pieces, lambda p: F.when(p.rlike("^&#[0-9]{1,9};$"), _numeric(p)).otherwise(_named(p)))
-    return F.replace(F.array_join(decoded, ""), F.lit("\u0003"), F.lit(""))
+    return _unescaped(F.replace(F.array_join(decoded, ""), F.lit("\u0003"), F.lit("")))
+
+
+#: The marks, and the escape itself, as they stand in escaped text.
+_ESCAPES = {"\u0004": "\u0004\u0008", "\u0001": "\u0004\u0005", "\u0002": "\u0004\u0006", "\u0003": "\u0004\u0007"}
+
+
+def _escaped(text: Column) -> Column:
+    for mark, pair in _ESCAPES.items():
+        text = F.replace(text, F.lit(mark), F.lit(pair))
+    return text
+
+
+def _unescaped(text: Column) -> Column:
+    for mark, pair in reversed(_ESCAPES.items()):
+        text = F.replace(text, F.lit(pair), F.lit(mark))
+    return text
 
 
 def _named(piece: Column) -> Column:
@@ -119,7 +151,7 @@ def _numeric(piece: Column) -> Column:
     """The code point of &#N;, or the reference as it is. UTF-32 bytes make any code point."""
     n = F.regexp_extract(piece, "([0-9]+)", 1).cast("int")
     real = (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    return F.when(real, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(piece)
+    return F.when(real, _escaped(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))).otherwise(piece)
 
 
 def mail_query(label: str, after: datetime.date | None = None, before: datetime.date | None = None) -> str:

@@ -1,8 +1,8 @@
-"""Amounts and dates of PDF attachments, by the scanner over their text layers."""
+"""Amounts and dates of PDF attachments, by the scanner over their text layers. Rows without a PDF pass through; only the others are joined with what was found."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +13,7 @@ from tallyforge.operators.extract import Extractor
 from tallyforge.operators.merge import extraction, merge_rows
 from tallyforge.schemas import ATTACHMENT, NOTES
 from tallyforge.sources.pdf import PDF_TYPE, text_layer
+from tallyforge.sources.shared import saved
 
 NO_TEXT = "NoTextLayer"
 
@@ -20,30 +21,32 @@ NO_TEXT = "NoTextLayer"
 def pdf_extractor(read: Callable[[bytes], str | None] = text_layer) -> Extractor:
     """read: the text layer of a file, None if it has none; what it raises is the row's error."""
 
-    def layers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 16):
-                some = batch.slice(at, 16)
-                text, error = [], []
-                for data in some.column("bytes").to_pylist():
-                    try:
-                        text.append(read(data or b""))
-                        error.append(None)
-                    except Exception as e:  # any bytes may come in
-                        text.append(None)
-                        error.append(f"pdf: {e}")
-                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("doc"), pa.array(text, pa.string()), pa.array(error, pa.string())], names=["id", "doc", "layer", "failed"])
+    def layers(files: pa.Array) -> pa.Array:
+        out = []
+        for each in files:
+            rows = []
+            for f in each.as_py() or []:
+                row = {"doc": f["doc"], "layer": None, "failed": None}
+                try:
+                    row["layer"] = read(f["bytes"] or b"")
+                except Exception as e:  # any bytes may come in
+                    row["failed"] = f"pdf: {e}"
+                rows.append(row)
+            out.append(rows)
+        return pa.array(out, pa.list_(pa.struct([("doc", pa.int32()), ("layer", pa.string()), ("failed", pa.string())])))
 
     def run(envelopes: DataFrame, out: str) -> DataFrame:
-        each = envelopes.select("id", F.posexplode("documents").alias("doc", "document")).where(F.col("document.mime") == PDF_TYPE)
-        read_ = each.select("id", "doc", F.col("document.bytes").alias("bytes")).mapInArrow(layers, "id string, doc int, layer string, failed string").persist()
-        found = scan(read_, "layer", "found", F.lit(ATTACHMENT), F.col("doc"))
+        df = envelopes if "error" in envelopes.columns else envelopes.withColumn("error", F.lit(None).cast("string"))
+        numbered = F.transform("documents", lambda d, i: F.struct(i.cast("int").alias("doc"), d["mime"].alias("mime"), d["bytes"].alias("bytes")))
+        files = F.transform(F.filter(numbered, lambda d: d["mime"] == PDF_TYPE), lambda d: F.struct(d["doc"].alias("doc"), d["bytes"].alias("bytes")))
+        has = F.coalesce(F.exists("documents", lambda d: d["mime"] == PDF_TYPE), F.lit(False))
+        texts = saved(df.where(has).select("id", F.arrow_udf(layers, "array<struct<doc:int,layer:string,failed:string>>")(files).alias("layers")).dropDuplicates(["id"]))
+        found = scan(texts.select("id", F.inline("layers")), "layer", "found", F.lit(ATTACHMENT), F.col("doc"))
         note = F.when(F.col("layer").isNull() & F.col("failed").isNull(), F.array(F.struct(F.lit(NO_TEXT).alias("kind"), F.col("doc").alias("document")))).otherwise(F.array().cast(NOTES))
-        parts = found.select("id", extraction(note, amount=F.col("found.amount"), due=F.col("found.due"), issued=F.col("found.issued")).alias("extraction"))
+        parts = found.select("id", "doc", "failed", extraction(note, amount=F.col("found.amount"), due=F.col("found.due"), issued=F.col("found.issued")).alias("extraction"))
         merged = merge_rows(parts, ["id"]).withColumnRenamed("extraction", out)
-        errors = read_.where("failed IS NOT NULL").groupBy("id").agg(F.min(F.struct("doc", "failed")).alias("first")).select("id", F.format_string("attachment %d: %s", "first.doc", "first.failed").alias("_error"))
-        df = envelopes if "error" in envelopes.columns else envelopes.withColumn("error", F.lit(None).cast("string"))
-        joined = df.join(merged, "id", "left").join(errors, "id", "left")
-        return joined.withColumns({out: F.coalesce(out, extraction()), "error": F.coalesce("error", "_error")}).drop("_error")
+        errors = texts.select("id", F.get(F.filter("layers", lambda x: x["failed"].isNotNull()), F.lit(0)).alias("first")).select("id", F.when(F.col("first").isNotNull(), F.format_string("attachment %d: %s", "first.doc", "first.failed")).alias("_error"))
+        joined = df.where(has).join(merged.join(errors, "id"), "id").withColumn("error", F.coalesce("error", "_error")).drop("_error")
+        return df.where(~has).withColumn(out, extraction()).unionByName(joined)
 
     return run

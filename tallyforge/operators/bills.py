@@ -13,9 +13,16 @@ CREATED, DUPLICATE, UPDATED, UNCHANGED, FAILED = "created", "duplicate", "update
 
 
 def first_of_each_hash(rows: DataFrame, order: Column) -> DataFrame:
-    """rows with `first`: whether a row is the first of its hash. Only the order and the hash are compared before the shuffle's result is joined back."""
-    firsts = rows.groupBy("hash").agg(F.min(order).alias("_first"))
-    return rows.join(firsts, "hash").withColumn("first", order == F.col("_first")).drop("_first")
+    """rows with `first`: whether a row is the first of its hash. Joined by hash and order, so that a message that came often is dealt out."""
+    return _marked(rows, order, rows.groupBy("hash").agg(F.min(order).alias("_order")), "first")
+
+
+def _marked(rows: DataFrame, order: Column, some: DataFrame, name: str) -> DataFrame:
+    """rows with whether their hash and order are among `some` (hash, _order)."""
+    keyed = rows.withColumn("_place", order)
+    found = some.select(F.col("hash").alias("_hash"), "_order", F.lit(True).alias(name))
+    joined = keyed.join(found, F.col("hash").eqNullSafe(F.col("_hash")) & (F.col("_place") == F.col("_order")), "left")
+    return joined.withColumn(name, F.coalesce(name, F.lit(False))).drop("_place", "_hash", "_order")
 
 
 def new_messages(messages: DataFrame, stored: DataFrame) -> DataFrame:
@@ -25,9 +32,8 @@ def new_messages(messages: DataFrame, stored: DataFrame) -> DataFrame:
 
 def outcomes(messages: DataFrame, stored: DataFrame, order: Column) -> DataFrame:
     """messages with outcome: created for the first of a hash that isn't stored, else duplicate."""
-    known = stored.select(F.col("hash").alias("_known")).distinct()
-    marked = first_of_each_hash(messages, order).join(known, F.col("hash") == F.col("_known"), "left")
-    return marked.withColumn("outcome", F.when(F.col("_known").isNull() & F.col("first"), CREATED).otherwise(DUPLICATE)).drop("_known", "first")
+    new = messages.groupBy("hash").agg(F.min(order).alias("_order")).join(stored.select("hash"), "hash", "left_anti")
+    return _marked(messages, order, new, "_new").withColumn("outcome", F.when(F.col("_new"), CREATED).otherwise(DUPLICATE)).drop("_new")
 
 
 def numbered(new: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:

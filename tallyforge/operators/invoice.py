@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import datetime
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import xml
 from tallyforge.functions.validate import ISO_4217, trimmed
-from tallyforge.operators.merge import extraction, merge_rows
-from tallyforge.schemas import ATTACHMENT, NOTES, field
+from tallyforge.operators.merge import extraction, merge_array
+from tallyforge.schemas import ATTACHMENT, MONEY, NOTES, PERIOD, field
 from tallyforge.sources import archive
 
 CONFIDENCE = 100
@@ -80,51 +80,54 @@ _types = {
     "amount": pa.struct([("minor_units", pa.int64()), ("currency", pa.string()), *_span]), "issued": pa.struct([("value", pa.date32()), *_span]), "due": pa.struct([("value", pa.date32()), *_span]),
     "period": pa.struct([("from", pa.date32()), ("to", pa.date32()), *_span]), "vendor": pa.struct([("value", pa.string()), *_span]),
 }
-_ddl = "id string, doc int, status string, amount struct<minor_units:bigint,currency:string,start:int,end:int>, issued struct<value:date,start:int,end:int>, due struct<value:date,start:int,end:int>, period struct<`from`:date,`to`:date,start:int,end:int>, vendor struct<value:string,start:int,end:int>"
+_ddl = "array<struct<doc:int,status:string,amount:struct<minor_units:bigint,currency:string,start:int,end:int>,issued:struct<value:date,start:int,end:int>,due:struct<value:date,start:int,end:int>,period:struct<`from`:date,`to`:date,start:int,end:int>,vendor:struct<value:string,start:int,end:int>>>"
+_schema = pa.list_(pa.struct([("doc", pa.int32()), ("status", pa.string()), *_types.items()]))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row, found = {"id": batch.column("id")[i].as_py(), "doc": batch.column("doc")[i].as_py(), "status": "none"}, None
-            try:
-                for name, data in archive.entries(batch.column("bytes")[i].as_py() or b""):
-                    if name.lower().endswith(".xml") and (found := pluck(data.decode("utf-8", "replace"))):
-                        row["status"] = "invoice"
-                        break
-            except archive.Unsupported:
-                row["status"] = "unsupported"
-            except archive.Malformed as e:
-                row["status"] = f"malformed: {e}"
-            row |= found or dict.fromkeys(_types)
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("id", pa.string()), ("doc", pa.int32()), ("status", pa.string()), *_types.items()]))
+def read_archive(doc: int, content: bytes) -> dict:
+    """doc, status and the plucked fields of an archive's first invoice."""
+    row, found = {"doc": doc, "status": "none"}, None
+    try:
+        for name, data in archive.entries(content):
+            if name.lower().endswith(".xml") and (found := pluck(data.decode("utf-8", "replace"))):
+                row["status"] = "invoice"
+                break
+    except archive.Unsupported:
+        row["status"] = "unsupported"
+    except archive.Malformed as e:
+        row["status"] = f"malformed: {e}"
+    return row | (found or dict.fromkeys(_types))
+
 
+def read_archives(zips: pa.Array) -> pa.Array:
+    return pa.array([[read_archive(z["doc"], z["bytes"] or b"") for z in each.as_py() or []] for each in zips], _schema)
 
-def archives(envelopes: DataFrame) -> DataFrame:
-    """id, doc, status and plucked fields of each zip attachment. Only ids and archives go to Python."""
-    each = envelopes.select("id", F.posexplode("documents").alias("doc", "document")).where(is_zip(F.col("document.mime"), F.col("document.filename")))
-    return each.select("id", "doc", F.col("document.bytes").alias("bytes")).mapInArrow(_read, _ddl)
+
+def archives(documents: Column) -> Column:
+    """doc, status and plucked fields of each zip attachment. Only archives go to Python, and nothing is shuffled."""
+    numbered = F.transform(documents, lambda d, i: F.struct(i.cast("int").alias("doc"), d["mime"].alias("mime"), d["filename"].alias("filename"), d["bytes"].alias("bytes")))
+    zips = F.transform(F.filter(numbered, lambda d: is_zip(d["mime"], d["filename"])), lambda d: F.struct(d["doc"].alias("doc"), d["bytes"].alias("bytes")))
+    return F.arrow_udf(read_archives, _ddl)(zips)
 
 
 def xml_extractor(envelopes: DataFrame, out: str) -> DataFrame:
     """An unsupported archive is a note, a broken one an error; what holds no invoice counts for nothing."""
-    read = archives(envelopes)
-    kind = F.struct(F.lit(ATTACHMENT).alias("kind"), F.col("doc").alias("doc"))
-
-    def own(name: str, value, ddl: str):
-        c = F.col(name)
-        return F.when(c.isNotNull(), F.struct(value.alias("value"), F.lit(CONFIDENCE).alias("confidence"), F.struct(kind.alias("source"), c["start"].alias("start"), c["end"].alias("end")).alias("span"))).cast(field(ddl))
-
-    note = F.when(F.col("status") == "unsupported", F.array(F.struct(F.lit(UNREADABLE).alias("kind"), F.col("doc").alias("document")))).otherwise(F.array().cast(NOTES))
-    parts = read.select(
-        "id", "status", "doc",
-        extraction(
-            note, amount=own("amount", F.struct("amount.minor_units", "amount.currency"), "struct<minor_units:bigint,currency:string>"), issued=own("issued", F.col("issued.value"), "date"), due=own("due", F.col("due.value"), "date"),
-            period=own("period", F.struct(F.col("period.from").alias("start"), F.col("period.to").alias("end")), "struct<start:date,end:date>"), vendor=own("vendor", trimmed(F.col("vendor.value")), "string"),
-        ).alias("extraction"),
-    ).persist()
-    merged = merge_rows(parts, ["id"]).withColumnRenamed("extraction", out)
-    errors = parts.where(F.col("status").startswith("malformed")).groupBy("id").agg(F.min(F.struct("doc", "status")).alias("first")).select("id", F.format_string("zip attachment %d: %s", "first.doc", "first.status").alias("_error"))
-    df = envelopes if "error" in envelopes.columns else envelopes.withColumn("error", F.lit(None).cast("string"))
-    joined = df.join(merged, "id", "left").join(errors, "id", "left")
-    return joined.withColumns({out: F.coalesce(out, extraction()), "error": F.coalesce("error", "_error")}).drop("_error")
+
+    def found(read: Column) -> Column:
+        kind = F.struct(F.lit(ATTACHMENT).alias("kind"), read["doc"].alias("doc"))
+
+        def own(name: str, value: Callable[[Column], Column], ddl: str) -> Column:
+            c = read[name]
+            return F.when(c.isNotNull(), F.struct(value(c).alias("value"), F.lit(CONFIDENCE).alias("confidence"), F.struct(kind.alias("source"), c["start"].alias("start"), c["end"].alias("end")).alias("span"))).cast(field(ddl))
+
+        note = F.when(read["status"] == "unsupported", F.array(F.struct(F.lit(UNREADABLE).alias("kind"), read["doc"].alias("document")))).otherwise(F.array().cast(NOTES))
+        return extraction(
+            note, amount=own("amount", lambda c: F.struct(c["minor_units"].alias("minor_units"), c["currency"].alias("currency")), MONEY), issued=own("issued", lambda c: c["value"], "date"), due=own("due", lambda c: c["value"], "date"),
+            period=own("period", lambda c: F.struct(c["from"].alias("start"), c["to"].alias("end")), PERIOD), vendor=own("vendor", lambda c: trimmed(c["value"]), "string"),
+        )
+
+    read = envelopes.withColumn("_read", archives(F.col("documents"))).withColumn("_each", F.transform("_read", found))
+    broken = F.get(F.filter("_read", lambda r: r["status"].startswith("malformed")), F.lit(0))
+    error = F.when(broken.isNotNull(), F.format_string("zip attachment %d: %s", broken["doc"], broken["status"]))
+    before = F.col("error") if "error" in envelopes.columns else F.lit(None).cast("string")
+    return read.withColumns({out: merge_array(F.col("_each")), "error": F.coalesce(before, error)}).drop("_read", "_each")

@@ -24,6 +24,14 @@ def merge_columns(candidates: list[Column]) -> Column:
     return F.struct(*fields, notes.cast(NOTES).alias("notes"))
 
 
+def merge_array(candidates: Column) -> Column:
+    """One extraction out of an array of them; none of an empty or null array."""
+    ranked = {name: F.transform(candidates, (lambda name: lambda c: rank(c[name]))(name)) for name in FIELDS}
+    fields = [unranked(F.array_min(ranked[name]), kind).alias(name) for name, kind in FIELDS.items()]
+    notes = F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(candidates, lambda c: c["notes"])))), F.array().cast(NOTES))
+    return F.struct(*fields, notes.cast(NOTES).alias("notes")).cast(EXTRACTION)
+
+
 def merge_rows(candidates: DataFrame, by: list[str], column: str = "extraction") -> DataFrame:
     """One extraction for each key out of any number of rows. Partial minima are taken before the shuffle."""
     x = F.col(column)

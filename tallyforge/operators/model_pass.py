@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import shutil
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -16,6 +17,7 @@ from tallyforge.functions.validate import clamped, currency, iso_date, period, v
 from tallyforge.operators.extract import Extractor
 from tallyforge.operators.merge import extraction
 from tallyforge.schemas import MODEL, NOTES
+from tallyforge.sources.pages import rasterize
 from tallyforge.sources.pdf import PDF_TYPE, text_layer
 
 UNAVAILABLE, MALFORMED = "LlmUnavailable", "LlmMalformed"
@@ -28,8 +30,23 @@ class Unreachable(Exception):
     """The client could not be asked; the message keeps what else was found."""
 
 
+@dataclass(frozen=True)
+class Image:
+    """A page as a PNG file."""
+
+    data: bytes
+
+
+@dataclass(frozen=True)
+class Pdf:
+    data: bytes
+
+
+Part = str | Image | Pdf
+
+
 class Client(Protocol):
-    def complete(self, instructions: str, parts: list[str | bytes], keys: list[str]) -> str: ...
+    def complete(self, instructions: str, parts: list[Part], keys: list[str]) -> str: ...
 
 
 @dataclass(frozen=True)
@@ -65,7 +82,7 @@ def well_formed(reply: str) -> str | None:
 
 def map_reply(reply: Column, most: int = 70) -> Column:
     """A reply as an extraction; each bad field is left out, a bad reply is a note. One confidence, capped, for all fields."""
-    checked = F.udf(lambda r: None if r is None else well_formed(r), "string")
+    checked = F.arrow_udf(lambda given: pa.array([None if r is None else well_formed(r) for r in given.to_pylist()], pa.string()), "string")
     json_ = F.from_json(checked(strip_fence(reply)), REPLY)
     confidence = clamped(F.least(json_["confidence"], F.lit(most)))
     nowhere = F.struct(F.struct(F.lit(MODEL).alias("kind"), F.lit(None).cast("int").alias("doc")).alias("source"), F.lit(0).alias("start"), F.lit(0).alias("end"))
@@ -78,40 +95,48 @@ def map_reply(reply: Column, most: int = 70) -> Column:
     return extraction(notes, amount=of(money), vendor=of(vendor(json_["vendor"])), issued=of(iso_date(json_["issued"])), due=of(iso_date(json_["due"])), period=of(period(iso_date(json_["period_start"]), iso_date(json_["period_end"]))))
 
 
-def model_extractor(client: Client, rasterize: Callable[[bytes, int], list[bytes]] | None = None, options: Options = Options()) -> Extractor:
-    """Asks the client once for each row; rows with nothing to send aren't asked. Meant for the second half of escalate()."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            replies, notes, errors = [], [], []
-            for row in batch.to_pylist():
-                reply = note = error = None
-                try:
-                    parts: list[str | bytes] = [row["body"]] if row["body"] else []
-                    for data in row["pdfs"] or []:
-                        if options.whole_files:
-                            parts.append(data)
-                        elif rasterize is not None:
-                            parts += rasterize(data, options.pages)
-                        layer = text_layer(data)
-                        parts += [layer] if layer else []
-                    reply = client.complete(INSTRUCTIONS, parts, options.keys) if parts else None
-                    note = None if parts else "none"
-                except Unreachable:
-                    note = UNAVAILABLE
-                except Exception as e:  # a file that can't be read or drawn is the row's error
-                    error = f"model: {e}"
-                replies.append(reply)
-                notes.append(note)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(replies, pa.string()), pa.array(notes, pa.string()), pa.array(errors, pa.string())], names=["id", "reply", "note", "_error"])
+def drawn() -> Callable[[bytes, int], list[bytes]] | None:
+    """The rasterizer, where its program is installed."""
+    return rasterize if shutil.which("pdftoppm") else None
+
+
+def model_extractor(client: Client, draw: Callable[[bytes, int], list[bytes]] | None = None, options: Options = Options()) -> Extractor:
+    """Asks the client once for each row; rows with nothing to send aren't asked. Meant for the second half of escalate(). Only the body and the PDFs go to Python,
+    and nothing is shuffled. draw: pages as PNG files; where the program for these is installed, it is used unless another one is given."""
+
+    def parts_of(body: str | None, files: list[bytes]) -> list[Part]:
+        pages = draw or drawn()
+        parts: list[Part] = [body] if body else []
+        for data in files:
+            if options.whole_files:
+                parts.append(Pdf(data))
+            elif pages is not None:
+                parts += [Image(p) for p in pages(data, options.pages)]
+            layer = text_layer(data)
+            parts += [layer] if layer else []
+        return parts
+
+    def ask(bodies: pa.Array, pdfs: pa.Array) -> pa.Array:
+        rows = []
+        for body, files in zip(bodies, pdfs, strict=True):
+            row = dict.fromkeys(("reply", "note", "failed"))
+            try:
+                parts = parts_of(body.as_py(), files.as_py() or [])
+                row["reply"] = client.complete(INSTRUCTIONS, parts, options.keys) if parts else None
+            except Unreachable:
+                row["note"] = UNAVAILABLE
+            except Exception as e:  # a file that can't be read or drawn, or a part that the provider doesn't take, is the row's error
+                row["failed"] = f"model: {e}"
+            rows.append(row)
+        return pa.array(rows, pa.struct([("reply", pa.string()), ("note", pa.string()), ("failed", pa.string())]))
 
     def run(envelopes: DataFrame, out: str) -> DataFrame:
-        sent = envelopes.select("id", body_text(F.col("text"), F.col("html"), options.body).alias("body"), F.transform(F.filter("documents", lambda d: d["mime"] == PDF_TYPE), lambda d: d["bytes"]).alias("pdfs"))
-        answers = sent.mapInArrow(ask, "id string, reply string, note string, _error string")
-        down = F.array(F.struct(F.col("note").alias("kind"), F.lit(None).cast("int").alias("document")))
-        mapped = answers.select("id", "_error", F.when(F.col("reply").isNotNull(), map_reply(F.col("reply"), options.most_confidence)).when(F.col("note") == UNAVAILABLE, extraction(down)).otherwise(extraction()).alias(out))
-        df = envelopes if "error" in envelopes.columns else envelopes.withColumn("error", F.lit(None).cast("string"))
-        return df.join(mapped, "id").withColumn("error", F.coalesce("error", "_error")).drop("_error")
+        files = F.transform(F.filter("documents", lambda d: d["mime"] == PDF_TYPE), lambda d: d["bytes"])
+        answer = F.arrow_udf(ask, "struct<reply:string,note:string,failed:string>")(body_text(F.col("text"), F.col("html"), options.body), files)
+        asked = envelopes.withColumn("_answer", answer)
+        down = F.array(F.struct(F.col("_answer.note").alias("kind"), F.lit(None).cast("int").alias("document")))
+        mapped = F.when(F.col("_answer.reply").isNotNull(), map_reply(F.col("_answer.reply"), options.most_confidence)).when(F.col("_answer.note") == UNAVAILABLE, extraction(down)).otherwise(extraction())
+        before = F.col("error") if "error" in envelopes.columns else F.lit(None).cast("string")
+        return asked.withColumns({out: mapped, "error": F.coalesce(before, "_answer.failed")}).drop("_answer")
 
     return run

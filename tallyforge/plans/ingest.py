@@ -14,9 +14,12 @@ from tallyforge.operators.extract import Extractor, bill_rows, chain, escalate,
 from tallyforge.operators.invoice import xml_extractor
 from tallyforge.schemas import EXTRACTION
 from tallyforge.sources import mime
+from tallyforge.sources.files import within_limit
 from tallyforge.sources.shared import saved
 from tallyforge.sources.tables import BillTable
 
+TOO_LARGE = "message too large"
+
 
 def default_extractor(second: Extractor | None = None) -> Extractor:
     """Invoices, text, PDF; then the second pass, if there is one, for what is incomplete."""
@@ -37,6 +40,7 @@ def ingest(messages: DataFrame, table: BillTable, extractor: Extractor | None =
 
     Messages that are stored, and later ones of the same bytes, are set aside before anything is decoded. An error
     stores nothing."""
+    messages, beyond = within_limit(messages.withColumn("length", F.octet_length("content")))
     given = identified(messages)
     stored = table.read()
     marked = saved(bills.outcomes(given.select(order, "id", "hash"), stored, F.col(order)))
@@ -48,11 +52,13 @@ def ingest(messages: DataFrame, table: BillTable, extractor: Extractor | None =
     errors = fresh.where("error IS NOT NULL").select(F.col("hash").alias("_hash"), "error")
     done = marked.join(errors, F.col("hash") == F.col("_hash"), "left")
     # a failed message stores nothing, so a later copy of it fails as well
-    return done.select("id", F.when(F.col("error").isNotNull(), bills.FAILED).otherwise(F.col("outcome")).alias("outcome"), "error")
+    refused = identified(beyond).select("id", F.lit(bills.FAILED).alias("outcome"), F.lit(TOO_LARGE).alias("error"))
+    return done.select("id", F.when(F.col("error").isNotNull(), bills.FAILED).otherwise(F.col("outcome")).alias("outcome"), "error").unionByName(refused)
 
 
 def reextract(messages: DataFrame, table: BillTable, extractor: Extractor | None = None, order: str = "path") -> DataFrame:
     """Extracts again, stored or not, and replaces what differs exactly. Returns id, outcome, error."""
+    messages, beyond = within_limit(messages.withColumn("length", F.octet_length("content")))
     given = identified(messages)
     first = saved(bills.first_of_each_hash(given.select(order, "id", "hash"), F.col(order)).where("first").drop("first"))
     contents = given.select(order, "hash", "content").join(first, ["hash", order]).select("id", "hash", "content")
@@ -63,4 +69,5 @@ def reextract(messages: DataFrame, table: BillTable, extractor: Extractor | None
     created = judged.where(F.col("outcome") == bills.CREATED).drop("outcome").join(first.select("hash", order), "hash")
     table.write(after.unionByName(bills.insert(stored, created, [order]).select(*after.columns)))
     failed = fresh.where("error IS NOT NULL").select("id", F.lit(bills.FAILED).alias("outcome"), "error")
-    return judged.select("id", "outcome", F.lit(None).cast("string").alias("error")).unionByName(failed)
+    refused = identified(beyond).select("id", F.lit(bills.FAILED).alias("outcome"), F.lit(TOO_LARGE).alias("error"))
+    return judged.select("id", "outcome", F.lit(None).cast("string").alias("error")).unionByName(failed).unionByName(refused)

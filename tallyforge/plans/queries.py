@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text, validate
-from tallyforge.functions.scan import minor_units, scan
+from tallyforge.functions.scan import anchored, minor_units, scan
 from tallyforge.operators import bills, model_pass
 from tallyforge.operators.extract import bill_rows, escalate, text_extractor, vendor_of
 from tallyforge.operators.invoice import is_zip, xml_extractor
@@ -151,12 +151,15 @@ near AS (
   FROM sent a JOIN sent b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'click' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 40 MINUTE)
 SELECT event_id, hit FROM near WHERE n = 1""")
 def range_anchor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The anchor window between rows: for each error the user's first click within 40 minutes. Time buckets make it an equi-join with at most two buckets a row."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (40 * 60)).alias("slot"))
-    anchors = e.where("event_type = 'error'").select("event_id", "user_id", F.col("ts").alias("from"), F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    clicks = e.where("event_type = 'click'").select(F.col("event_id").alias("hit"), "user_id", "ts", "slot")
-    met = anchors.join(clicks, ["user_id", "slot"]).where((F.col("ts") >= F.col("from")) & (F.col("ts") <= F.col("from") + F.expr("INTERVAL 40 MINUTE")))
-    return met.groupBy("event_id").agg(F.min(F.struct("ts", "hit")).alias("first")).select("event_id", F.col("first.hit").alias("hit"))
+    """The anchor window over rows: for each error the user's first click within 40 minutes. An error meets the clicks of its own 40 minutes and of the next ones, each as one array."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp")).cast("int")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", seconds.alias("at"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.floor(seconds / (40 * 60)).alias("slot"))
+    errors = e.where("event_type = 'error'").select("user_id", "event_id", "micros", F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
+    clicks = e.where("event_type = 'click'").groupBy("user_id", "slot").agg(F.sort_array(F.collect_list(F.struct("micros", F.col("event_id").alias("hit")))).alias("clicks"))
+    met = errors.join(clicks, ["user_id", "slot"])
+    relative = F.transform("clicks", lambda c: F.struct((c["micros"] - F.col("micros")).alias("start"), c["hit"].alias("hit")))
+    hit = anchored(F.array(F.lit(0).cast("bigint")), relative, 40 * 60 * 1_000_000)
+    return met.select("event_id", hit.alias("found")).where("found IS NOT NULL").groupBy("event_id").agg(F.min("found").alias("first")).select("event_id", F.col("first.hit").alias("hit"))
 
 
 _CLOSERS = "|".join(text.BLOCK_TAGS)
@@ -174,9 +177,11 @@ def strip_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Validated types
 
 
-@query("SELECT doc_id, code, code IN (" + ", ".join(f"'{c}'" for c in validate.ISO_4217) + ") AS valid FROM (SELECT doc_id, upper(substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 3)) AS code FROM documents)")
+@query("SELECT code, count(*) AS n, code IN (" + ", ".join(f"'{c}'" for c in validate.ISO_4217) + ") AS valid FROM (SELECT upper(unnest(regexp_extract_all(text, '[A-Za-z]{3}'))) AS code FROM documents) GROUP BY code")
 def currency_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.upper(F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 3)).alias("code")).withColumn("valid", validate.is_currency(F.col("code")))
+    """Every three letters in a row of the whole texts, and how often they stand there."""
+    codes = table(spark, sf_dir, "documents").select(F.upper(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3}"), F.lit(0)))).alias("code"))
+    return codes.groupBy("code").agg(F.count("*").alias("n")).withColumn("valid", validate.is_currency(F.col("code")))
 
 
 def _money_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,9 +237,12 @@ def bill_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", reason.alias("reason"))
 
 
-@query(r"SELECT doc_id, regexp_full_match(substr(text, 1, 40), '[!-~]{1,128}') AS valid FROM documents")
+@query(r"SELECT doc_id, regexp_full_match(text, '[!-~]{1,128}') AS valid FROM documents UNION ALL SELECT o_orderkey, length(sha256(CAST(o_orderkey AS VARCHAR)) || '-' || repeat('x', CAST(o_orderkey % 80 AS INTEGER))) <= 128 FROM orders")
 def bill_id_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", validate.is_bill_id(F.substring("text", 1, 40)).alias("valid"))
+    """Whole texts, and ids of 65 to 144 characters made for orders."""
+    made = F.concat(F.sha2(F.col("o_orderkey").cast("string"), 256), F.lit("-"), F.repeat(F.lit("x"), (F.col("o_orderkey") % 80).cast("int")))
+    ids = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("id")).unionByName(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), made.alias("id")))
+    return ids.select("doc_id", validate.is_bill_id(F.col("id")).alias("valid"))
 
 
 _MIMES = {"Text/HTML": "text/html", "text": None, "a/b/c": None, "/b": None, "a/": None, "a b/c": None, "a/b;c": None, "é/b": None, "application/x-Zip": "application/x-zip"}
@@ -522,12 +530,17 @@ def bill_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bills(spark, sf_dir).select("seq", text.bill_json(*[F.col(c) for c in columns]).alias("json"))
 
 
-@query(f"WITH {BILLS} SELECT seq, id, vendor, amount_minor, currency, issued, due, status FROM held")
+@query(f"WITH {BILLS} SELECT seq, seq % 5 < 4 AS sound, CASE WHEN seq % 5 < 4 THEN id END AS id, CASE WHEN seq % 5 < 4 THEN vendor END AS vendor, CASE WHEN seq % 5 < 4 THEN amount_minor END AS amount_minor, CASE WHEN seq % 5 < 4 THEN currency END AS currency, CASE WHEN seq % 5 < 4 THEN issued END AS issued, CASE WHEN seq % 5 < 4 THEN due END AS due, CASE WHEN seq % 5 < 4 THEN status END AS status FROM held")
 def bill_json_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("id", "vendor", "amount_minor", "currency", "period_start", "period_end", "issued", "due", "status")
-    j = F.from_json(text.bill_json(*[F.col(c) for c in columns]), text.BILL_JSON)
-    back = _bills(spark, sf_dir).select("seq", j.alias("j"))
-    return back.select("seq", "j.id", "j.vendor", F.col("j.amount.minor_units").alias("amount_minor"), F.col("j.amount.currency").alias("currency"), text.unjson_date(F.col("j.issued")).alias("issued"), text.unjson_date(F.col("j.due")).alias("due"), "j.status")
+    # every fifth one is broken, in one of four ways
+    broken = {0: ('"vendor":"', '"vendor":" \t","was":"'), 1: ('"status":"', '"status":"un'), 2: ('"id":"', '"id":"é'), 3: ('"due":', '"due":[2023,366],"was":')}
+    json, way = text.bill_json(*[F.col(c) for c in columns]), F.floor(F.col("seq") / 5) % 4
+    spoilt = json
+    for n, (old, new) in broken.items():
+        spoilt = F.when(way == n, F.replace(json, F.lit(old), F.lit(new))).otherwise(spoilt)
+    back = _bills(spark, sf_dir).select("seq", text.unbill_json(F.when(F.col("seq") % 5 == 4, spoilt).otherwise(json)).alias("j"))
+    return back.select("seq", F.col("j").isNotNull().alias("sound"), "j.id", "j.vendor", "j.amount_minor", "j.currency", "j.issued", "j.due", "j.status")
 
 
 @query("""
@@ -561,6 +574,10 @@ def percent_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.percent_encode(F.col("text")).alias("encoded"))
 
 
-@query(None)
+@query("""
+WITH steps AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+coded AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+bytes AS (SELECT doc_id, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS b FROM coded)
+SELECT doc_id, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b), lambda c, x: xor(t[CAST((xor(c, x) & 255) + 1 AS BIGINT)], c >> 8))) AS crc FROM bytes, steps""")
 def crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))

@@ -45,7 +45,7 @@ def bodies(rows: DataFrame) -> DataFrame:
         F.concat(F.lit("Fecha: "), on(issued, "yyyy-MM-dd"), F.lit("\nTotal a pagar COP "), whole, F.lit("\nvencimiento "), on(due, "yyyy-MM-dd"), F.lit("\n")),
         F.concat(F.lit("Total: $ "), grouped(m, ",", "."), F.lit("\nDue: "), on(due, "yyyy-MM-dd"), F.lit("\n")),
         F.concat(F.lit("You paid "), grouped(m, ",", "."), F.lit(" GBP on "), on(issued, "d MMMM yyyy"), F.lit(". Thank you.\n")),
-        F.concat(F.lit("NIT 860063875-0\nFecha: "), on(issued, "dd/MM/yyyy"), F.lit("\nTotal: "), grouped(m, ".", ","), F.lit(" EUR\n")),
+        F.concat(F.lit("NIT 901234567-3\nFecha: "), on(issued, "dd/MM/yyyy"), F.lit("\nTotal: "), grouped(m, ".", ","), F.lit(" EUR\n")),
         F.lit(None).cast("string"),
     ]
     text = texts[-1]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 Get = Callable[[str], str | None]
 POLL_SECONDS = 1800
@@ -23,8 +23,8 @@ def _required(get: Get, name: str) -> str:
 @dataclass(frozen=True)
 class MailSettings:
     client_id: str
-    secret: str
-    refresh: str
+    secret: str = field(repr=False)
+    refresh: str = field(repr=False)
     label: str
     poll_seconds: int = POLL_SECONDS
 
@@ -44,12 +44,16 @@ def mail_settings(get: Get) -> MailSettings | None:
 class ModelSettings:
     provider: str
     model: str
-    key: str | None
-    base_url: str | None
+    key: str | None = field(repr=False)
+    base_url: str
 
 
-#: Variables of each provider: its key (None if it needs none) and its address.
-PROVIDERS = {"ollama": (None, "OLLAMA_API_BASE_URL"), "anthropic": ("ANTHROPIC_API_KEY", "ANTHROPIC_BASE_URL"), "openai": ("OPENAI_API_KEY", "OPENAI_BASE_URL")}
+#: Variables of each provider: its key (None if it needs none) and its address; the address where that is unset.
+PROVIDERS = {
+    "ollama": (None, "OLLAMA_API_BASE_URL", "http://localhost:11434"),
+    "anthropic": ("ANTHROPIC_API_KEY", "ANTHROPIC_BASE_URL", "https://api.anthropic.com"),
+    "openai": ("OPENAI_API_KEY", "OPENAI_BASE_URL", "https://api.openai.com/v1"),
+}
 
 
 def model_settings(get: Get) -> ModelSettings | None:
@@ -60,5 +64,5 @@ def model_settings(get: Get) -> ModelSettings | None:
     model = _required(get, "MODEL_NAME")
     if provider not in PROVIDERS:
         raise MissingSetting("MODEL_PROVIDER")
-    key, url = PROVIDERS[provider]
-    return ModelSettings(provider, model, _required(get, key) if key else None, get(url))
+    key, url, address = PROVIDERS[provider]
+    return ModelSettings(provider, model, _required(get, key) if key else None, (get(url) or address).rstrip("/"))

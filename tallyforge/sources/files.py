@@ -22,4 +22,4 @@ def message_stream(spark: SparkSession, path: str, pattern: str = "*.eml", files
 def within_limit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages of a size that is taken, and the others."""
     small = F.col("length") <= MAX_MESSAGE
-    return df.where(small), df.where(~small)
+    return df.where(F.coalesce(small, F.lit(True))), df.where(~small)

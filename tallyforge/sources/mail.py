@@ -1,9 +1,12 @@
-"""A mailbox as a Spark data source: ids are listed on the driver in pages, messages are fetched by the executors."""
+"""A mailbox as a Spark data source: executors list the ids of a day in pages and fetch its messages."""
 
 from __future__ import annotations
 
 import base64
+import datetime
 import json
+import os
+import re
 import time
 import urllib.error
 import urllib.parse
@@ -15,6 +18,10 @@ from typing import Protocol
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tallyforge.functions.text import mail_query
+from tallyforge.functions.validate import date_range
+from tallyforge.sources.config import MissingSetting, mail_settings
+
 PAGE = 500
 API = "https://gmail.googleapis.com/gmail/v1/users/me/messages"
 TOKEN = "https://oauth2.googleapis.com/token"
@@ -41,13 +48,14 @@ class Mailbox(Protocol):
 
 
 class FolderMailbox:
-    """A folder of .eml files as a mailbox; the query is ignored. For replays and tests."""
+    """A folder of .eml files as a mailbox; a message is of the time when its file was last changed, and labels are ignored. For replays and tests."""
 
     def __init__(self, folder: str, page: int = PAGE) -> None:
         self.folder, self.page = folder, page
 
     def list(self, query: str, page: str | None) -> tuple[list[str], str | None]:
-        names = sorted(p.name for p in Path(self.folder).glob("*.eml"))
+        ends = {side: int(at) for side, at in re.findall(r"\b(after|before):(\d+)", query)}
+        names = sorted(p.name for p in Path(self.folder).glob("*.eml") if ends.get("after", 0) <= p.stat().st_mtime < ends.get("before", 1 << 62))
         at = int(page or 0)
         return names[at : at + self.page], str(at + self.page) if at + self.page < len(names) else None
 
@@ -131,38 +139,53 @@ def all_ids(mailbox: Mailbox, query: str) -> list[str]:
     return ids
 
 
-class Batch(InputPartition):
-    def __init__(self, ids: list[str]) -> None:
-        self.ids = ids
+class Window(InputPartition):
+    """Messages of a query; with after and before (days), those of that part of it."""
+
+    def __init__(self, query: str) -> None:
+        self.query = query
 
 
 class Reader(DataSourceReader):
-    def __init__(self, mailbox: Mailbox, query: str, batch: int) -> None:
-        self.mailbox, self.query, self.batch = mailbox, query, batch
+    """A partition for each day, whose task lists and fetches it; what one message fails with is its row's error. Refused credentials end the job."""
 
-    def partitions(self) -> list[Batch]:
-        ids = all_ids(self.mailbox, self.query)
-        return [Batch(ids[at : at + self.batch]) for at in range(0, len(ids), self.batch)] or [Batch([])]
+    def __init__(self, mailbox: Mailbox, label: str, after: datetime.date | None, before: datetime.date | None) -> None:
+        self.mailbox, self.label, self.after, self.before = mailbox, label, after, before
 
-    def read(self, partition: Batch) -> Iterator[tuple]:
-        for id in partition.ids:
-            yield id, self.mailbox.fetch(id)
+    def partitions(self) -> list[Window]:
+        if not self.after or not self.before:
+            return [Window(mail_query(self.label, self.after, self.before))]
+        days = [self.after + datetime.timedelta(days=n) for n in range((self.before - self.after).days)]
+        return [Window(mail_query(self.label, day, day + datetime.timedelta(days=1))) for day in days]
+
+    def read(self, partition: Window) -> Iterator[tuple]:
+        for id in all_ids(self.mailbox, partition.query):
+            try:
+                yield id, self.mailbox.fetch(id), None
+            except (TransportError, MalformedReply) as e:
+                yield id, None, f"{type(e).__name__}: {e}"
 
 
 class MailSource(DataSource):
-    """spark.read.format("mailbox") with the options query and batch, and either folder or client_id, secret and refresh."""
+    """spark.read.format("mailbox") with the options label, after and before (days; before doesn't count), and folder for a folder of files. Credentials come from
+    the driver's environment, never from options, as plans show these."""
 
     @classmethod
     def name(cls) -> str:
         return "mailbox"
 
     def schema(self) -> str:
-        return "message_id string, content binary"
+        return "message_id string, content binary, error string"
 
     def reader(self, schema) -> Reader:
         o = self.options
-        mailbox = FolderMailbox(o["folder"], int(o.get("page", PAGE))) if "folder" in o else RestMailbox(o["client_id"], o["secret"], o["refresh"])
-        return Reader(mailbox, o.get("query", ""), int(o.get("batch", 100)))
+        after, before = date_range(o.get("after"), o.get("before"))
+        if "folder" in o:
+            return Reader(FolderMailbox(o["folder"], int(o.get("page", PAGE))), o.get("label", ""), after, before)
+        settings = mail_settings(os.environ.get)
+        if settings is None:
+            raise MissingSetting("MAIL_CLIENT_ID")
+        return Reader(RestMailbox(settings.client_id, settings.secret, settings.refresh), o.get("label", settings.label), after, before)
 
 
 def register(spark: SparkSession) -> None:

@@ -1,4 +1,4 @@
-"""A Parquet table with whole versions: a write makes a new folder, and readers take the newest finished one."""
+"""A Parquet table with whole versions and appended parts: a write makes a new folder, an append one in the newest version; readers take the finished parts of the newest version."""
 
 from __future__ import annotations
 
@@ -22,32 +22,51 @@ class BillTable:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
 
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+
+    def _numbers(self, mark: str, *parts: str) -> list[int]:
+        """The finished folders of that mark, in order."""
+        fs, _ = self._folder()
+        at = self._path(*parts)
+        found = [int(m[1]) for s in fs.listStatus(at) if (m := re.fullmatch(mark + r"(\d+)", s.getPath().getName()))] if fs.exists(at) else []
+        return sorted(n for n in found if fs.exists(self._path(*parts, f"{mark}{n}", "_SUCCESS")))
+
     def version(self) -> int | None:
-        """The newest version whose write ended."""
+        """The newest version whose first part was written to its end."""
         fs, root = self._folder()
         if not fs.exists(root):
             return None
-        found = [int(m[1]) for s in fs.listStatus(root) if (m := re.fullmatch(r"v(\d+)", s.getPath().getName()))]
-        done = [v for v in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}/_SUCCESS"))]
-        return max(done, default=None)
+        whole = [int(m[1]) for s in fs.listStatus(root) if (m := re.fullmatch(r"v(\d+)", s.getPath().getName())) and fs.exists(self._path(s.getPath().getName(), "a0", "_SUCCESS"))]
+        return max(whole, default=None)
 
     def read(self) -> DataFrame:
         """Columns that an older version lacks are null."""
         at = self.version()
         if at is None:
             return self.spark.createDataFrame([], BILLS)
-        return self.spark.read.schema(BILLS).parquet(f"{self.path}/v{at}")
+        return self.spark.read.schema(BILLS).parquet(*[f"{self.path}/v{at}/a{n}" for n in self._numbers("a", f"v{at}")])
 
     def write(self, rows: DataFrame) -> None:
-        """The whole table anew."""
+        """The whole table anew. The version before stays, for readers that have begun; older ones go."""
         if self.read_only:
             raise PermissionError("the table is read-only")
         at = self.version()
-        rows.select(*self.read().columns).write.parquet(f"{self.path}/v{0 if at is None else at + 1}")
+        rows.select(*self.read().columns).write.parquet(f"{self.path}/v{0 if at is None else at + 1}/a0")
+        fs, root = self._folder()
+        for s in fs.listStatus(root):
+            found = re.fullmatch(r"v(\d+)", s.getPath().getName())
+            if found and at is not None and int(found[1]) < at:
+                fs.delete(s.getPath(), True)
 
     def append(self, rows: DataFrame) -> None:
-        """The table with more rows; the version before stays readable."""
+        """More rows, in files of their own; nothing that was written before is read or touched."""
         if self.read_only:
             raise PermissionError("the table is read-only")
-        stored = self.read()
-        self.write(stored.unionByName(rows.select(*stored.columns)))
+        at = self.version()
+        if at is None:
+            return self.write(rows)
+        # a part that didn't end keeps its number
+        fs, _ = self._folder()
+        taken = [int(m[1]) for s in fs.listStatus(self._path(f"v{at}")) if (m := re.fullmatch(r"a(\d+)", s.getPath().getName()))]
+        rows.select(*self.read().columns).write.parquet(f"{self.path}/v{at}/a{max(taken) + 1}")

@@ -132,3 +132,23 @@ def scan(text):
     other = [d for d in days if due is None or d[1:] != due[1:]]
     issued = anchored(text, ISSUED_ANCHORS, other)
     return best, (*due, 90) if due else None, (*issued, 90) if issued else (*other[0], 40) if other else None
+
+
+def strip_html(html, blocks, entities):
+    """Tag by tag; what stands between two tags is decoded by itself, once."""
+    html = re.sub(r"<[^>]*\Z", "", html)
+    tags = re.compile(rf"\s*(?:/\s*(?:{'|'.join(blocks)})|br(?:[\s/].*)?)\s*", re.I | re.S | re.A)
+
+    def entity(m):
+        if m[1]:
+            return entities[m[1]]
+        n = int(m[2])
+        return chr(n) if n <= 0x10FFFF and not 0xD800 <= n <= 0xDFFF else m[0]
+
+    out = []
+    for piece in re.split(r"(<[^>]*>)", html):
+        if piece.startswith("<") and piece.endswith(">"):
+            out.append(" " if tags.fullmatch(piece[1:-1]) else "")
+        else:
+            out.append(re.sub(rf"&({'|'.join(entities)});|&#([0-9]{{1,9}});", entity, piece))
+    return "".join(out)

@@ -34,7 +34,7 @@ def plain_merge(parts):
     out = {}
     for name in ("amount", "issued", "due", "period", "vendor"):
         found = [p[name] for p in parts if p[name]]
-        key = lambda f: (-f["confidence"], tuple(f["value"].values()) if isinstance(f["value"], dict) else f["value"], f["span"]["source"]["kind"], f["span"]["start"], f["span"]["end"])
+        key = lambda f: (-f["confidence"], tuple(f["value"][k] for k in ("minor_units", "currency", "start", "end") if k in f["value"]) if isinstance(f["value"], dict) else f["value"], f["span"]["source"]["kind"], f["span"]["start"], f["span"]["end"])
         out[name] = min(found, key=key) if found else None
     out["notes"] = sorted({(n["kind"], n["document"]) for p in parts for n in p["notes"]})
     return out

@@ -18,7 +18,10 @@ def test_mail_settings():
 
 def test_model_settings():
     assert config.model_settings({}.get) is None
-    assert config.model_settings({"MODEL_PROVIDER": "ollama", "MODEL_NAME": "m"}.get).key is None
+    local = config.model_settings({"MODEL_PROVIDER": "ollama", "MODEL_NAME": "m"}.get)
+    assert local.key is None and local.base_url == "http://localhost:11434"
+    keyed = config.model_settings({"MODEL_PROVIDER": "openai", "MODEL_NAME": "m", "OPENAI_API_KEY": "hidden", "OPENAI_BASE_URL": "http://x/"}.get)
+    assert keyed.base_url == "http://x" and "hidden" not in repr(keyed)
     for bad in ({"MODEL_PROVIDER": "ollama"}, {"MODEL_PROVIDER": "x", "MODEL_NAME": "m"}, {"MODEL_PROVIDER": "openai", "MODEL_NAME": "m"}):
         with pytest.raises(config.MissingSetting):
             config.model_settings(bad.get)
