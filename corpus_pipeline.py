@@ -22,7 +22,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group of near duplicates stays."""
+    """The document of the least doc_id of each group of near duplicates (sets of five words, similarity of 0.8 or more) stays."""
     return simhash.first_of_groups(docs)
 
 
