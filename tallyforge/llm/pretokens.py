@@ -1,9 +1,9 @@
-"""Encoding of whole texts, piece by piece, with worker-wide caches.
+"""Encoding of whole texts, pre-token by pre-token, with worker-wide caches.
 
-A byte-level BPE tokenizer encodes each pre-token on its own, and no pre-token goes on after a blank, which can only be its first
-character. So a text's ids are those of its pieces between blanks, each with the blank before it, one after another. Only a blank that stands
-between white space and white space (or the end) belongs to a longer pre-token; a text that has one goes to the library as a whole.
-Special strings end a piece and are ids of their own, as the library has it.
+A byte-level BPE tokenizer encodes each pre-token on its own, so a text's ids are those of its pre-tokens one
+after another. Texts of Latin-1 characters are split here by the same pattern with its classes written out;
+other texts are split by the library. A pre-token encodes alone as it does inside a text. Special strings end a piece and are ids of their own, as the
+library has it.
 """
 
 from __future__ import annotations
@@ -12,29 +12,21 @@ import functools
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-_inside_white_space = re.compile(r"\s (?:\s|\Z)")
-_before_blank = ["  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x1c ", "\x1d ", "\x1e ", "\x1f "]
-#: Entries of a worker's cache; it is emptied when full. Longer pieces are encoded anew each time.
-CACHE = 1 << 19
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN1 = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Entries of a worker's cache; it is emptied when full. Longer pre-tokens are encoded anew each time.
+CACHE = 300_000
 CACHED_LENGTH = 64
 
 
-def splits_at_blanks(text: str) -> bool:
-    """Whether every blank begins a pre-token."""
-    if text.isascii() and not any(b in text for b in _before_blank):
-        return True
-    return _inside_white_space.search(text) is None
-
-
-class PieceEncoder:
-    """Values of whole texts as sequences of values of pieces; of: ids -> the value of a piece; known: values of pieces without their blank, kept whatever comes."""
+class PreTokenEncoder:
+    """Values of whole texts as sequences of values of pre-tokens; of: ids -> the value of a pre-token."""
 
     def __init__(self, path: str, of: Callable[[list[int]], object], known: dict[str, object] | None = None) -> None:
         self.library = Tokenizer.from_file(path)
@@ -49,8 +41,15 @@ class PieceEncoder:
         self.known = known or {}
         self.cache: dict[str, object] = dict(self.known)
 
-    def encoded(self, pieces: list[str]) -> list[object]:
-        return [self.of(e.ids) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+    def pre_tokens(self, piece: str) -> list[str]:
+        try:
+            piece.encode("latin-1")
+        except UnicodeEncodeError:
+            return [piece[s:e] for _, (s, e) in self.library.pre_tokenizer.pre_tokenize_str(piece)]
+        return LATIN1.findall(piece)
+
+    def encoded(self, tokens: list[str]) -> list[object]:
+        return [self.of(e.ids) for e in self.library.encode_batch_fast(tokens, add_special_tokens=False)]
 
     def _learn(self, misses: Iterable[str]) -> None:
         new = [t for t in misses if len(t) <= CACHED_LENGTH]
@@ -58,43 +57,33 @@ class PieceEncoder:
             self.cache = dict(self.known)
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            self.cache.update(zip(some, self.encoded([" " + t for t in some]), strict=True))
+            self.cache.update(zip(some, self.encoded(some), strict=True))
 
     def values(self, text: str) -> list[object]:
-        """The values of the text's pieces, in order."""
-        if not text:
-            return []
+        """The values of the text's pre-tokens, in order."""
         if not self.splits:
-            return self.encoded([text])
+            return self.encoded([text]) if text else []
         if self.special and any(s in text for s in self.special):
             out: list[object] = []
-            for i, section in enumerate(self.piece.split(text)):
-                out += [self.of([self.special[section]])] if i % 2 else self._of_section(section)
+            for i, piece in enumerate(self.piece.split(text)):
+                out += [self.of([self.special[piece]])] if i % 2 else self._of_piece(piece)
             return out
-        return self._of_section(text)
-
-    def _of_section(self, text: str) -> list[object]:
-        if not text:
-            return []
-        if not splits_at_blanks(text):
-            return self.encoded([text])
-        first, *rest = text.split(" ")
-        got = [*map(self.cache.get, rest)]
+        return self._of_piece(text)
+
+    def _of_piece(self, piece: str) -> list[object]:
+        tokens = self.pre_tokens(piece)
+        got = [*map(self.cache.get, tokens)]
         if None in got:
-            self._learn(dict.fromkeys(t for t, v in zip(rest, got, strict=True) if v is None))
+            self._learn(dict.fromkeys(t for t, v in zip(tokens, got, strict=True) if v is None))
             cache = self.cache
-            got = [v if v is not None else cache[t] if t in cache else self.encoded([" " + t])[0] for t, v in zip(rest, got, strict=True)]
-        return [*self.encoded([first]), *got] if first else got
+            got = [v if v is not None else cache[t] if t in cache else self.encoded([t])[0] for t, v in zip(tokens, got, strict=True)]
+        return got
 
 
 @functools.cache
-def encoder(path: str, kind: str) -> PieceEncoder:
+def encoder(path: str, kind: str) -> PreTokenEncoder:
     """One for each worker process, kept between its tasks. kind: "ids" (4 bytes each, little-endian) or "length"."""
     import numpy as np
 
-    return PieceEncoder(path, (lambda ids: np.array(ids, dtype="<u4").tobytes()) if kind == "ids" else len)
-
+    return PreTokenEncoder(path, (lambda ids: np.array(ids, dtype="<u4").tobytes()) if kind == "ids" else len)
 
-def pieces(text: str) -> Counter:
-    """How often a text has each piece that can be cached."""
-    return Counter(t for t in text.split(" ")[1:] if len(t) <= CACHED_LENGTH)

@@ -1,7 +1,7 @@
 """Operator 9: token counts by a map-side two-tier lookup.
 
-Tier one is a compact table of the lengths of the corpus's frequent pre-tokens (pieces between blanks, with the blank), broadcast: the FREQUENT
-most frequent ones of about SAMPLE documents, chosen by a hash. It decides only what is looked up where, not what is
+Tier one is a compact table of the lengths of the corpus's frequent pre-tokens, broadcast: the FREQUENT
+most frequent ones of about SAMPLE documents, chosen by a hash of id and length. It decides only what is looked up where, not what is
 counted. Tier two encodes what misses with the library and keeps it in a cache of bounded size in each worker. No pre-token of the
 corpus is shuffled, but the counts of the sample's.
 
@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import slices, texts
-from tallyforge.llm.pretokens import PieceEncoder, pieces
+from tallyforge.llm.pretokens import CACHED_LENGTH, PreTokenEncoder, encoder
 
 LIMIT = 512
 #: Entries of the table, at most of CACHED_LENGTH characters each; documents that it is made from.
 FREQUENT, SAMPLE = 1 << 16, 4096
-_workers: dict[str, PieceEncoder] = {}
+_workers: dict[str, PreTokenEncoder] = {}
 
 
 @functools.cache
@@ -37,20 +37,24 @@ def _pieces(path: str):
 
 
 def frequent_lengths(docs: DataFrame, path: str, most: int = FREQUENT, sample: int = SAMPLE) -> dict[str, int]:
-    """The numbers of ids of the most frequent pieces, each with a blank before it, in about `sample` documents."""
+    """The numbers of ids of the most frequent pre-tokens in about `sample` documents."""
+    made = PreTokenEncoder(path, len)
+    if not made.splits:
+        return {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                total = sum((pieces(t) for t in texts(batch)), Counter())
+                total: Counter[str] = Counter()
+                for text in texts(batch):
+                    total.update(t for t in encoder(path, "length").pre_tokens(text) if len(t) <= CACHED_LENGTH)
                 yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["piece", "n"])
 
     one_of = max(1, docs.count() // sample)
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(one_of)) == 0).select("text")
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.lit(9)), F.lit(one_of)) == 0).select("text")
     top = some.mapInArrow(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
-    encoder = PieceEncoder(path, len)
-    found = [r.piece for r in top.select("piece").collect()] if encoder.splits else []
-    return dict(zip(found, encoder.encoded([" " + t for t in found]), strict=True))
+    found = [r.piece for r in top.select("piece").collect() if r.piece not in made.special]
+    return dict(zip(found, made.encoded(found), strict=True))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -62,7 +66,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             name, known = frequent.value
             if name not in _workers:
                 _workers.clear()
-                _workers[name] = PieceEncoder(path, len, known)
+                _workers[name] = PreTokenEncoder(path, len, known)
             values = _workers[name].values
             count = lambda text: sum(values(text))
         else:

@@ -87,7 +87,7 @@ _cached = []
 
 def _ids():
     if not _cached:
-        _cached.append(pretokens.PieceEncoder(JSON, list))
+        _cached.append(pretokens.PreTokenEncoder(JSON, list))
     return _cached[0]
 
 
@@ -152,8 +152,8 @@ def test_token_files_in_bit_planes_and_many_segments(spark, tmp_path):
 def test_frequent_pieces_are_those_of_the_corpus(spark):
     docs = spark.createDataFrame([(i, "so the zyxwvutsrq came " * 3 + f"and {i}") for i in range(50)], "doc_id bigint, text string")
     got = token_counts.frequent_lengths(docs, JSON, most=4)
-    assert got.keys() == {"the", "zyxwvutsrq", "came", "so"}
-    assert got == {t: len(_ids().library.encode(" " + t).ids) for t in got}
+    assert len(got) == 4 and got.keys() <= {" the", " zyxwvutsrq", " came", "so", " so", " "}
+    assert got == {t: len(_ids().library.encode(t).ids) for t in got} and max(got.values()) > 1
 
 
 # 6
