@@ -180,7 +180,7 @@ def strip_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT code, count(*) AS n, code IN (" + ", ".join(f"'{c}'" for c in validate.ISO_4217) + ") AS valid FROM (SELECT upper(unnest(regexp_extract_all(text, '[A-Za-z]{3}'))) AS code FROM documents) GROUP BY code")
 def currency_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every three letters in a row of the whole texts, and how often they stand there."""
-    codes = table(spark, sf_dir, "documents").select(F.upper(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3}"), F.lit(0)))).alias("code"))
+    codes = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3}"), F.lit(0))).alias("letters")).select(F.upper("letters").alias("code"))
     return codes.groupBy("code").agg(F.count("*").alias("n")).withColumn("valid", validate.is_currency(F.col("code")))
 
 
