@@ -54,7 +54,7 @@ def frequent_lengths(docs: DataFrame, path: str, most: int = FREQUENT, sample: i
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.lit(9)), F.lit(one_of)) == 0).select("text")
     top = some.mapInArrow(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
     found = [r.piece for r in top.select("piece").collect() if r.piece not in made.special]
-    return dict(zip(found, made.encoded(found), strict=True))
+    return {t: made.value(t) for t in found}
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
