@@ -61,7 +61,7 @@ def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """vocabulary: term -> number; weights: of each term; rows (in the block) and values: the postings, block by block and term by term in these.
+    """vocabulary: term -> number; weights: of each term; positions (of the examples) and values: the postings, block by block and term by term in these.
 
     A cell is a term in a block: of_term has where each term's cells start in block, largest, first and end."""
 
@@ -70,7 +70,7 @@ class Index:
     ids: np.ndarray
     toxic: np.ndarray
     starts: Starts
-    rows: np.ndarray
+    positions: np.ndarray
     values: np.ndarray
     of_term: np.ndarray
     block: np.ndarray
@@ -82,12 +82,19 @@ class Index:
     rate: float = 0.0
     none: float = 0.0
 
+    @property
+    def rows(self) -> np.ndarray:
+        """The postings' rows in their blocks."""
+        return self.positions % BLOCK
+
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The terms and their weights, of length one."""
         get = self.vocabulary.get
-        tf = Counter([t for w in words(text) if (t := get(w)) is not None])
-        terms = np.array(sorted(tf), dtype=np.int64)
-        w = (1 + np.log(np.array([tf[t] for t in terms.tolist()], dtype=float))) * self.weights[terms]
+        tf = Counter(words(text))
+        terms, counts = np.array([get(t, -1) for t in tf], dtype=np.int64), np.array([*tf.values()], dtype=float)
+        order = np.argsort(terms)[np.count_nonzero(terms < 0) :]
+        terms = terms[order]
+        w = (1 + np.log(counts[order])) * self.weights[terms]
         return terms, w / np.sqrt(w @ w) if len(w) else w
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +105,15 @@ class Index:
         block, w = self.block[cell], weights[of]
         bound = np.bincount(block, weights=w * self.largest[cell], minlength=len(self.starts))
         order, done, step = np.argsort(-bound, kind="stable"), 0, 2
+        # the cells in the order of their blocks, so that each step takes a run of them
+        rank = np.empty(len(order), dtype=np.int16 if len(order) < 1 << 15 else np.int64)
+        rank[order] = np.arange(len(order))
+        turn = rank[block]
+        by_turn = np.argsort(turn, kind="stable")
+        begin = np.searchsorted(turn[by_turn], np.arange(len(order) + 1))
+        cell, w = cell[by_turn], w[by_turn]
+        first = self.first[cell]
+        n = self.end[cell] - first
         at, cosine = np.zeros(0, dtype=np.int64), np.zeros(0)
         while done < len(order):
             now = order[done : done + step]
@@ -105,16 +121,16 @@ class Index:
             now = now[(bound[now] > 0) & ((bound[now] >= cosine[-1] - 1e-12) if len(at) == k else True)]
             if not len(now):
                 break
+            own = slice(begin[done], begin[done + len(now)])
             done, step = done + step, 2 * step
-            slot = np.full(len(bound), -1)
-            slot[now] = np.arange(len(now))
-            own = np.flatnonzero(slot[block] >= 0)
-            place, i = ranges(self.first[cell[own]], self.end[cell[own]])
-            score = np.bincount(self.rows[place] + BLOCK * slot[block[own]][i], weights=self.values[place] * w[own][i], minlength=BLOCK * len(now))
-            new = np.flatnonzero(score > 0)
-            position = now[new // BLOCK] * BLOCK + new % BLOCK
-            stay = position != without
-            at, cosine = np.concatenate([at, position[stay]]), np.concatenate([cosine, score[new[stay]]])
+            last = np.cumsum(n[own])
+            place = np.repeat(first[own] - last + n[own], n[own]) + np.arange(last[-1])
+            score = np.bincount(self.positions[place], weights=self.values[place] * np.repeat(w[own], n[own]), minlength=BLOCK * len(bound))
+            position = np.flatnonzero(score > 0)
+            position = position[position != without]
+            if len(position) > k:
+                position = position[score[position] >= np.partition(score[position], -k)[-k]]
+            at, cosine = np.concatenate([at, position]), np.concatenate([cosine, score[position]])
             best = np.lexsort((at, -cosine))[:k]
             at, cosine = at[best], cosine[best]
         return at, cosine
@@ -166,12 +182,12 @@ def build(examples: list[tuple[int, int, dict[str, int]]], rate: float) -> Index
     key = row // BLOCK * len(vocabulary) + term
     order = np.argsort(key, kind="stable")
     cells, first = np.unique(key[order], return_index=True)
-    rows, values, offsets = row[order] % BLOCK, value[order], np.append(first, len(order))
+    positions, values, offsets = row[order].astype(np.int32), value[order], np.append(first, len(order))
     largest = np.maximum.reduceat(values, first) if len(first) else np.zeros(0)
     by_term = np.argsort(cells % max(1, len(vocabulary)), kind="stable")
     of_term = np.searchsorted((cells % max(1, len(vocabulary)))[by_term], np.arange(len(vocabulary) + 1))
     index = Index(
-        vocabulary, weights, np.array([e[0] for e in examples], dtype=np.int64), np.array([e[1] for e in examples], dtype=float), Starts(cells, offsets, blocks, len(vocabulary)), rows, values,
+        vocabulary, weights, np.array([e[0] for e in examples], dtype=np.int64), np.array([e[1] for e in examples], dtype=float), Starts(cells, offsets, blocks, len(vocabulary)), positions, values,
         of_term, (cells // max(1, len(vocabulary)))[by_term], largest[by_term], offsets[:-1][by_term], offsets[1:][by_term], rate=rate,
     )
     if not n1 or not n0 or not vocabulary:
