@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import saved
+from tallyforge.llm.common import least_hashed, saved
 from tallyforge.llm.vectors import best, part, queries_of, ranked, stacked, usable
 
 K, EVERY = 20, 20
@@ -180,7 +180,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, recall: float = R
 def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     counted = own.agg(F.count("*").alias("n"), F.max(norm).alias("largest")).first()
-    sample = own.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).toPandas()
+    sample = least_hashed(own, counted.n, SAMPLE, 3, "vec_id", "embedding").toPandas()
     largest = float(counted.largest)
     lists = min(MOST_LISTS, max(1, counted.n // LIST))
     fit = stacked(sample["embedding"])

@@ -58,6 +58,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def least_hashed(df: DataFrame, n: int, most: int, seed: int, *by: str) -> DataFrame:
+    """At most `most` of df's rows, those of the least hash of the columns `by`. n: df's rows, or those of a larger table that df is a random part of. Where `most`
+    would be exceeded, rows go by their hash alone before they are ordered, so that of all tasks little more than `most` rows are brought together."""
+    hashed = F.xxhash64(*by, F.lit(seed))
+    # six standard deviations above what is expected, and at least so many rows
+    share = (most + 6 * most**0.5 + 64) / max(1, n)
+    some = df.where(hashed < int(share * 2**64) - 2**63) if share < 1 else df
+    return some.orderBy(hashed, *by).limit(most)
+
+
 def join_by_key(left: DataFrame, right: DataFrame, key: str, hot: int = HOT) -> DataFrame:
     """left with the columns of right, a row for each key whose `n` counts left's rows of that key. Keys with over 1/`hot` of left's rows, fewer than
     `hot`, are broadcast, so that no task gets all rows of one; the others are joined by a shuffle. Both sides are read twice."""

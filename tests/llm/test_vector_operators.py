@@ -1,8 +1,10 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.llm import ann, topk
+from tallyforge.llm.common import least_hashed
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, rank string, score string, list string, a string, query string"
 
@@ -156,3 +158,12 @@ def test_an_abandoned_candidate_is_beyond_the_radius(share):
     columns = np.ascontiguousarray(x.T)
     i, j = ann.adaptive_scan([columns[n : n + 16] for n in range(0, 65, 16)], q, radius)
     assert (d[i, j] <= radius[j] * (1 + 1e-6)).all() and len(i) >= 0.9 * 7 * share and len(set(zip(i, j))) == len(i)
+
+
+def test_the_rows_of_the_least_hash_are_the_same_without_ordering_all(spark):
+    df = spark.range(20_000).selectExpr("id AS vec_id", "array(cast(id AS double)) AS embedding")
+    hashed = F.xxhash64("vec_id", "embedding", F.lit(3))
+    expected = {r.vec_id for r in df.orderBy(hashed).limit(500).collect()}
+    got = least_hashed(df, 20_000, 500, 3, "vec_id", "embedding")
+    assert {r.vec_id for r in got.collect()} == expected
+    assert least_hashed(df, 20_000, 30_000, 3, "vec_id").count() == 20_000 and least_hashed(df.where("false"), 0, 5, 3, "vec_id").count() == 0
