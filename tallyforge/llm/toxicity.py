@@ -16,6 +16,7 @@ score; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import is_held_out, slices, texts
+from tallyforge.llm.common import is_held_out, least_hashed, slices, texts
 
 PER_CLASS = 2048
 BLOCK = 64
@@ -213,8 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ind
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~is_held_out(F.col("doc_id")))
     counted = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     rate = float(counted.toxic / counted.n) if counted.n else 0.0
-    order = (F.xxhash64("doc_id", F.lit(11)), F.col("doc_id"))
-    picked = known.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(known.where("toxic = 0").orderBy(*order).limit(per_class))
+    of_class = {1: counted.toxic or 0, 0: counted.n - (counted.toxic or 0)}
+    picked = functools.reduce(DataFrame.unionByName, (least_hashed(known.where(F.col("toxic") == y), n, per_class, 11, "doc_id") for y, n in of_class.items()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
