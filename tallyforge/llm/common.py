@@ -43,6 +43,31 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written to the shared folder for a job that knows when it has read them for the last time."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def path(self) -> str:
+        return f"{self.root}/{uuid.uuid4().hex}"
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        path = self.path()
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def release(self, df: DataFrame) -> None:
+        """Deletes what `saved` wrote for df; another table is left alone."""
+        _, path = self.paths.pop(id(df), (None, None))
+        if path:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import ann, bpe, language_id, mixing, quality, simhash, token_counts, token_files, topk, toxicity
+from tallyforge.llm import ann, bpe, codes, language_id, mixing, quality, simhash, token_counts, token_files, topk, toxicity
 from tallyforge.llm.common import table
 
 
@@ -55,10 +55,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.concat_ws(",", "languages").alias("languages"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_quality, op3_bpe, op4_toxicity, op5_mixing, op6_simhash, op7_token_files, op8_ann, op9_token_counts, op10_language_id)
+    own = (op1_topk, op2_quality, op3_bpe, op4_toxicity, op5_mixing, op6_simhash, op7_token_files, op8_ann, op9_token_counts, op10_language_id, op12_codes)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.TOPK_SQL, "op5_mixing": mixing.MIX_SQL}
+    return {"op1_topk": topk.TOPK_SQL, "op5_mixing": mixing.MIX_SQL, "op12_codes": codes.CODES_SQL}
