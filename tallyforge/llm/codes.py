@@ -223,15 +223,15 @@ def encode(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, round
 def _sql() -> str:
     """The same rows for tables whose vectors have one length, a multiple of PARTS."""
     steps = [f"""kept AS MATERIALIZED (
-    SELECT vec_id, label, list_transform(embedding, x -> CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id, embedding) AS rn
-    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    SELECT vec_id, label, [CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v, row_number() OVER (ORDER BY vec_id, embedding) AS rn
+    FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 cut AS MATERIALIZED (
     SELECT rn, p, v[CAST(p * len(v) // {PARTS} + 1 AS BIGINT):CAST((p + 1) * len(v) // {PARTS} AS BIGINT)] AS v FROM kept, (SELECT unnest(range({PARTS})) AS p)),
 book0 AS MATERIALIZED (SELECT p, rn - 1 AS e, v FROM cut WHERE rn <= {ENTRIES})"""]
     for r in range(ROUNDS + 1):
         steps.append(f"""near{r} AS MATERIALIZED (
     SELECT rn, p, min({{'d': d, 'e': e}}) AS m
-    FROM (SELECT rn, p, e, list_sum(list_transform(list_zip(c.v, b.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM cut c JOIN book{r} b USING (p)) GROUP BY rn, p)""")
+    FROM (SELECT rn, p, e, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(c.v, b.v)]) AS d FROM cut c JOIN book{r} b USING (p)) GROUP BY rn, p)""")
         if r < ROUNDS:
             steps.append(f"""book{r + 1} AS MATERIALIZED (
     SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM book{r} b LEFT JOIN (
