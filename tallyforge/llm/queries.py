@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import ann, bpe, codes, language_id, mixing, quality, simhash, token_counts, token_files, topk, toxicity
+from tallyforge.llm import alignment, ann, bpe, codes, language_id, mixing, quality, simhash, token_counts, token_files, topk, toxicity
 from tallyforge.llm.common import table
 
 
@@ -59,8 +59,12 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encode(table(spark, sf_dir, "embeddings"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_quality, op3_bpe, op4_toxicity, op5_mixing, op6_simhash, op7_token_files, op8_ann, op9_token_counts, op10_language_id, op12_codes)
+    own = (op1_topk, op2_quality, op3_bpe, op4_toxicity, op5_mixing, op6_simhash, op7_token_files, op8_ann, op9_token_counts, op10_language_id, op12_codes, op13_alignment)
     return {f.__name__: f for f in own}
 
 
