@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import alignment, ann, bpe, codes, language_id, mixing, quality, simhash, token_counts, token_files, topk, toxicity
+from tallyforge.llm import alignment, ann, bpe, codes, language_id, mixing, quality, setsketch, simhash, token_counts, token_files, topk, toxicity
 from tallyforge.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.concat_ws(",", "languages").alias("languages"))
 
 
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encode(table(spark, sf_dir, "embeddings"))
 
@@ -64,7 +68,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_quality, op3_bpe, op4_toxicity, op5_mixing, op6_simhash, op7_token_files, op8_ann, op9_token_counts, op10_language_id, op12_codes, op13_alignment)
+    own = (op1_topk, op2_quality, op3_bpe, op4_toxicity, op5_mixing, op6_simhash, op7_token_files, op8_ann, op9_token_counts, op10_language_id, op11_setsketch, op12_codes, op13_alignment)
     return {f.__name__: f for f in own}
 
 

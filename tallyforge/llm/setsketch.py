@@ -2,19 +2,14 @@
 
 A document's set is that of its shingles of words (hashes of 64 bits). A sketch has registers of one byte: the least of the set's values of an exponential
 distribution, as the number of the step between powers of BASE that it falls into, cut off at both ends. Sketches of parts of a set merge by the larger
-register, and registers of two sets are equal the oftener the more similar they are, nearly with the probability of their Jaccard similarity. Documents of equal
-sets are one node from the start.
+register, and registers of two sets are equal the oftener the more similar they are, nearly with the probability of their Jaccard similarity.
 
-* Registers stand in bands, and nodes with an equal band share a bucket. A band has as many registers as keep sets of similarity UNLIKE from
+* Registers stand in bands, and sets with an equal band share a bucket. A band has as many registers as keep sets of similarity UNLIKE from
   meeting by chance, whatever their number, and there are as many bands as make two sets at the limit miss each other with a probability of
   LOST at most.
 * Of a pair, the likelihood of how many registers are larger in either and how many are equal, given both sizes, has one maximum in the similarity. Pairs whose
   estimate is more than DEVIATIONS standard deviations below the limit are left.
-* The others are verified: the sets are made anew from the texts of the nodes in question and compared whole.
-
-First each bucket's nodes are paired with its least one, which joins most of a group; then buckets that still hold nodes of several components are
-searched for what that has missed. The nodes outside a bucket's largest component meet all of the bucket in cells of bounded size, and each gives its best pairs between
-components, in rounds of four times as many while any node has more; so no group's pairs are all made, and none that may link is left out.
+* The others are verified on whole sets; `neighbours` says how pairs are found in buckets of any size.
 
 Null texts and texts without a word have an empty set, and are linked with nothing; fewer words than a shingle are one shingle. Rows with a null doc_id get
 their group's component_id, or null, and aren't kept. Rows that share a doc_id have each their text's group. Columns other than doc_id and text are ignored. An
@@ -24,32 +19,22 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import BROADCAST_ROWS, WORD, Scratch, join_by_key, saved, slices, small, texts
-from tallyforge.llm.components import components
+from tallyforge.llm.common import join_by_key, saved
+from tallyforge.llm.neighbours import SEED, linked, nodes_of, sketched
 
-SEED = 11
 BASE, RATE, TOP = 1.1, 20.0, 255
 UNLIKE, LOST, DEVIATIONS = 0.1, 1e-6, 5.0
-#: Nodes of a cell's side, and pairs that a node gives in the first round of the search.
-CELL, MOST = 1024, 8
-#: Nodes whose sets are sent to all workers, at most: those that are in over 1/HOT of the pairs.
-HOT = 128
-_word = re.compile(WORD)
-_lower = {c: c + 32 for c in range(65, 91)}
 
 
 @dataclass(frozen=True)
-class Kind:
+class SetSketch:
     """Words of a shingle, the least similarity of a link in hundredths, registers of a band, and bands."""
 
     shingle: int
@@ -58,36 +43,44 @@ class Kind:
     bands: int
 
     @property
-    def registers(self) -> int:
+    def size(self) -> int:
         return self.width * self.bands
 
     @property
     def bound(self) -> float:
         """The least estimate that is verified."""
         s = self.similar / 100
-        return s - DEVIATIONS * math.sqrt(s * (1 - s) / self.registers)
+        return s - DEVIATIONS * math.sqrt(s * (1 - s) / self.size)
+
+    def sketch(self, hashes: np.ndarray) -> bytes:
+        return registers(hashes, self.size).tobytes()
+
+    def keys(self, sketches: np.ndarray) -> np.ndarray:
+        """A key of 64 bits for each band."""
+        rng = np.random.default_rng(SEED + 1)
+        weight = rng.integers(0, 2**63, (self.bands, self.width), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        key = (sketches.reshape(len(sketches), self.bands, self.width).astype(np.uint64) * weight).sum(axis=2, dtype=np.uint64) + rng.integers(0, 2**63, self.bands, dtype=np.uint64)
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (key ^ (key >> np.uint64(29))).view(np.int64)
 
+    def likely(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        more, less = np.count_nonzero(a > b, axis=1), np.count_nonzero(a < b, axis=1)
+        return estimate(more, less, self.size - more - less, n_a, n_b) - self.bound
 
-def kind_for(n: int, shingle: int = 5, similar: int = 80) -> Kind:
+    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, ask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        right = np.flatnonzero(~ask)
+        for left in np.flatnonzero(ask).tolist():
+            at = right[100 * np.minimum(sizes[right], sizes[left]) >= self.similar * np.maximum(sizes[right], sizes[left])]
+            if len(at):
+                close = self.likely(sketches[left], sketches[at], np.full(len(at), sizes[left]), sizes[at])
+                yield np.full(np.count_nonzero(close >= 0), left), at[close >= 0], close[close >= 0]
+
+
+def kind_for(n: int, shingle: int = 5, similar: int = 80) -> SetSketch:
     """Bands for n sets."""
     width = max(4, math.ceil(math.log(max(2, n)) / math.log(1 / UNLIKE)))
     bands = math.ceil(math.log(LOST) / math.log(1 - (similar / 100) ** width)) if similar < 100 else 1
-    return Kind(shingle, similar, width, bands)
-
-
-def set_of(text: str, shingle: int) -> np.ndarray:
-    """The sorted distinct hashes of the text's shingles."""
-    words = _word.findall(text.translate(_lower) if not text.isascii() else text.lower())
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
-    w = np.array([digest(x.encode("utf-8", "surrogatepass"), SEED) for x in words], dtype=np.uint64)
-    size = min(shingle, len(w))
-    h = np.full(len(w) - size + 1, size, dtype=np.uint64)
-    for i in range(size):
-        h = (h ^ w[i : len(w) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
+    return SetSketch(shingle, similar, width, bands)
 
 
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,15 +98,6 @@ def registers(h: np.ndarray, n: int, step: int = 1024) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / math.log(BASE)), 0, TOP).astype(np.uint8)
 
 
-def band_keys(regs: np.ndarray, kind: Kind) -> np.ndarray:
-    """A key of 64 bits for each band of each row of registers."""
-    rng = np.random.default_rng(SEED + 1)
-    weight = rng.integers(0, 2**63, (kind.bands, kind.width), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    key = (regs.reshape(len(regs), kind.bands, kind.width).astype(np.uint64) * weight).sum(axis=2, dtype=np.uint64) + rng.integers(0, 2**63, kind.bands, dtype=np.uint64)
-    key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (key ^ (key >> np.uint64(29))).view(np.int64)
-
-
 def slope(j: np.ndarray, more: np.ndarray, less: np.ndarray, equal: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The derivative of the log-likelihood at similarity j: falling, and zero at the estimate. more, less, equal: numbers of registers of the first set compared with
     the second's; u, v: the sets' shares of the sum of their sizes."""
@@ -140,183 +124,11 @@ def estimate(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n_a: np.ndar
     return (low + high) / 2
 
 
-def _stack(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
-
-
-def sketched(docs: DataFrame, kind: Kind) -> DataFrame:
-    """doc_id, text_hash, n_shingles, the set's digest and its registers, of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                sets = [set_of(t, kind.shingle) for t in texts(batch)]
-                made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([registers(s, kind.registers).tobytes() if len(s) else b"" for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], names=["doc_id", "text_hash", "n_shingles", "digest", "regs"])
-
-    return _given(docs).mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, regs binary")
-
-
-def _given(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-
-
-def bucket_members(nodes: DataFrame, kind: Kind) -> DataFrame:
-    """key, node, hub (the bucket's least node) of each node in a bucket with others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 1024):
-                keys = band_keys(_stack(batch.column("regs"), kind.registers), kind)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * kind.bands, pa.int32()), pa.array(keys.ravel()))], names=["node", "keys"])
-
-    tabled = saved(nodes.select("node", "regs").mapInArrow(run, "node bigint, keys array<bigint>")).select("node", F.explode("keys").alias("key"))
-    shared = saved(tabled.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    met = tabled.join(F.broadcast(shared.drop("n")), "key") if shared.count() <= BROADCAST_ROWS else join_by_key(tabled, shared, "key")
-    return saved(met.select("key", "node", "hub"))
-
-
-def _of_pairs(pairs: DataFrame, right: DataFrame, names: dict[str, str], hot: int) -> DataFrame:
-    """pairs (a, b) with right's columns (of node) for both sides; names: right's column -> the name that a or b follows."""
-    for side in ("a", "b"):
-        n = pairs.groupBy(side).agg(F.count("*").alias("n"))
-        own = right.select(F.col("node").alias(side), *(F.col(c).alias(f"{to}_{side}") for c, to in names.items())).join(n, side)
-        pairs = join_by_key(pairs, saved(own), side, hot)
-    return pairs
-
-
-def likely(pairs: DataFrame, nodes: DataFrame, kind: Kind) -> DataFrame:
-    """Of pairs (a, b), those whose estimate reaches the bound."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = _stack(batch.column("regs_a"), kind.registers), _stack(batch.column("regs_b"), kind.registers)
-                more, less = np.count_nonzero(a > b, axis=1), np.count_nonzero(a < b, axis=1)
-                found = estimate(more, less, kind.registers - more - less, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-                yield batch.select(["a", "b"]).filter(pa.array(found >= kind.bound))
-
-    # no pair whose sizes differ by more can reach the limit
-    near = _of_pairs(pairs, nodes, {"regs": "regs", "n_shingles": "n"}, HOT).where(100 * F.least("n_a", "n_b") >= kind.similar * F.greatest("n_a", "n_b"))
-    return near.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def sets_of(docs: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
-    """node, hashes of the asked nodes (node, digest, rep_id, rep_hash), made from a text of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for whole in batches:
-            for batch in slices(whole):
-                out = []
-                for node, digest, text in zip(batch.column("node").to_pylist(), batch.column("digest").to_pylist(), texts(batch), strict=True):
-                    if node not in seen and xxhash.xxh128_digest((made := set_of(text, kind.shingle)).tobytes()) == digest:
-                        seen.add(node)
-                        out.append((node, made.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["node", "hashes"])
-
-    rows = _given(docs)
-    asked = small(asked.select("node", "digest", "rep_id", "rep_hash"))
-    met = rows.join(asked, (rows.text_hash == asked.rep_hash) & rows.doc_id.eqNullSafe(asked.rep_id))
-    return met.select("node", "digest", "text").mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
-
-
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, kind: Kind) -> DataFrame:
-    """Of pairs (a, b), those whose whole sets reach the limit."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                keep = []
-                for a, b in zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True):
-                    x, y = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= kind.similar * (len(x) + len(y) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = saved(sets_of(docs, nodes.join(ends, "node", "left_semi"), kind))
-    return _of_pairs(pairs, sets, {"hashes": "hashes"}, HOT).select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def missed(met: DataFrame, nodes: DataFrame, labels: DataFrame, kind: Kind, most: int, cell: int = CELL) -> DataFrame:
-    """a, b: likely pairs between components in buckets that hold several, `most` of each node in a cell at most; more: whether it had others.
-    labels: node, component of linked nodes."""
-    own = met.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    held = own.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("n"))
-    # of each mixed bucket: its largest component, and the parts of what is outside of it and of all
-    mixed = saved(held.where(F.col("n") > F.col("most.c")).select("key", "n", F.col("most.component").alias("largest"), F.ceil((F.col("n") - F.col("most.c")) / cell).cast("int").alias("rows"), F.ceil(F.col("n") / cell).cast("int").alias("columns")))
-    rows = saved(join_by_key(own, mixed, "key"))
-    of = rows.groupBy("node").agg(F.count("*").alias("n_of"))
-    # each node's registers, once for each of its mixed buckets
-    known = saved(nodes.select("node", "regs", F.col("n_shingles").alias("size")).join(of, "node")).withColumnRenamed("n_of", "n")
-    rows = join_by_key(rows, known, "node")
-
-    def to(parts: str) -> F.Column:
-        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-
-    def part(parts: str) -> F.Column:
-        return F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
-
-    asks = rows.where("component <> largest").select("key", part("rows").alias("row"), to("columns").alias("column"), F.lit(True).alias("ask"), "node", "component", "size", "regs")
-    all_ = rows.select("key", to("rows").alias("row"), part("columns").alias("column"), F.lit(False).alias("ask"), "node", "component", "size", "regs")
-    cells = asks.unionByName(all_).groupBy("key", "row", "column").agg(F.collect_list(F.struct("ask", "node", "component", "size", "regs")).alias("members")).select("members")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                flat = batch.column("members").slice(i, 1).flatten()
-                ask = flat.field("ask").to_numpy(zero_copy_only=False)
-                node, component, size = (flat.field(c).to_numpy() for c in ("node", "component", "size"))
-                regs = _stack(flat.field("regs"), kind.registers)
-                right = np.flatnonzero(~ask)
-                a, b, more = [], [], []
-                for left in np.flatnonzero(ask).tolist():
-                    least, largest = np.minimum(size[right], size[left]), np.maximum(size[right], size[left])
-                    at = right[(component[right] != component[left]) & (100 * least >= kind.similar * largest)]
-                    if not len(at):
-                        continue
-                    up, down = np.count_nonzero(regs[left] > regs[at], axis=1), np.count_nonzero(regs[left] < regs[at], axis=1)
-                    guess = estimate(up, down, kind.registers - up - down, np.full(len(at), size[left]), size[at])
-                    at, guess = at[guess >= kind.bound], guess[guess >= kind.bound]
-                    best = at[np.lexsort((node[at], -guess))[:most]]
-                    a.append(np.minimum(node[best], node[left]))
-                    b.append(np.maximum(node[best], node[left]))
-                    more.append(np.full(len(best), len(at) > most))
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(more))], names=["a", "b", "more"])
-
-    return cells.mapInArrow(run, "a bigint, b bigint, more boolean")
-
-
-def linked(docs: DataFrame, nodes: DataFrame, kind: Kind, most: int = MOST) -> DataFrame:
-    """node, component of the nodes that are linked with others."""
-    scratch = Scratch(docs.sparkSession)
-    met = bucket_members(nodes, kind)
-    stars = met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tested = scratch.saved(likely(scratch.saved(stars), nodes, kind))
-    links = scratch.saved(verified(docs, tested, nodes, kind))
-    while True:
-        labels = scratch.saved(components(links))
-        found = scratch.saved(missed(met, nodes, labels, kind, most))
-        new = scratch.saved(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        if new.limit(1).count():
-            links = scratch.saved(links.unionByName(verified(docs, new, nodes, kind)))
-            tested = scratch.saved(tested.unionByName(new))
-            labels = components(links)
-        if not found.where("more").limit(1).count():
-            return labels
-        most *= 4
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, similar: int = 80, kind: Kind | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similar: int = 80, kind: SetSketch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs. Documents are linked whose sets of `shingle` words have a similarity of `similar` hundredths or more."""
     kind = kind or kind_for(docs.count(), shingle, similar)
     marked = saved(sketched(docs, kind))
-    rep = F.min(F.struct("doc_id", "text_hash"))
-    grouped = marked.where("n_shingles > 0").groupBy("digest").agg(F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), rep.alias("rep"), F.max("regs").alias("regs"))
-    # numbers are fixed as they are written
-    nodes = saved(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "n", "n_shingles", "least", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "regs"))
+    nodes = nodes_of(marked.where("n_shingles > 0"), F.min("doc_id").alias("least"))
     labelled = saved(nodes.join(linked(docs, nodes, kind), "node", "left").select("digest", "n", "least", F.coalesce("component", "node").alias("component")))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     classes = saved(join_by_key(labelled.withColumnRenamed("n", "copies"), saved(least), "component").select("digest", "component_id", F.col("copies").alias("n")))

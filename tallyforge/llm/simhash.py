@@ -4,11 +4,11 @@ A fingerprint has 64 bits, or more for texts that differ more. Fingerprints are
 cost nothing after the shuffle that counts them. Candidates share a bucket of one of several tables:
 
 * within a radius of 2 of 64 bits (`Exact`), two fingerprints agree in 2 of 4 bands of 16 bits at least, so that the 6 pairs of bands lose no link;
-* for a similarity of shingle sets (`Similar`), the radius is the number of bits in which sets of that similarity differ on average, and a
-  table is a seeded choice of bits: as many bits as keep a bucket small whatever the number of fingerprints, as many tables as make two sets that
-  differ in just the radius meet with the given probability.
+* for a similarity of shingle sets (`Similar`), the radius is the number of bits in which sets of that similarity differ on average and three standard
+  deviations more, and a table is a seeded choice of bits: as many bits as keep a bucket small whatever the number of fingerprints, as many tables as make two
+  sets of that similarity meet with the given probability. What lies within the radius is a candidate only: `neighbours` verifies the similarity on whole sets.
 
-Buckets of more than CELL fingerprints are split into parts and every pair of parts is one cell, so a task's cell is bounded whatever the
+For `Exact`, buckets of more than CELL fingerprints are split into parts and every pair of parts is one cell, so a task's cell is bounded whatever the
 bucket. In a cell the candidates stand vertically, 64 to a word in bit planes; carry-save counters add the differing bits of 64 candidates at a
 time, and words whose candidates all exceed the radius are abandoned. What is linked to a cell's first fingerprint isn't compared among itself,
 as it is connected already. A cell returns a spanning forest of its links, and components are found over all.
@@ -23,7 +23,7 @@ import itertools
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ from pyspark.sql.types import MapType
 
 from tallyforge.llm.common import WORD, join_by_key, saved, slices, small, texts
 from tallyforge.llm.components import components
+from tallyforge.llm.neighbours import linked, nodes_of, sketched
 
 SEED = 42
 #: Fingerprints of a part of a bucket; a cell has two parts at most.
@@ -47,12 +48,10 @@ class Exact:
     """Shingles with their repeats; all links within 2 of 64 bits."""
 
     shingle: int = 3
-    distinct: bool = False
-    words: int = 1
     radius: int = 2
     bands: int = 4
 
-    def keys(self, fp: np.ndarray, n: int) -> np.ndarray:
+    def keys(self, fp: np.ndarray) -> np.ndarray:
         width = 64 // self.bands
         masks = [sum(((1 << width) - 1) << band * width for band in pair) for pair in itertools.combinations(range(self.bands), self.bands - self.radius)]
         return (fp[:, :1] & np.array(masks, dtype=np.uint64)[None, :]).view(np.int64)
@@ -63,35 +62,56 @@ class Similar:
     """Sets of shingles; links of sets whose similarity (Jaccard), as 64 * words bits tell it, is at least `similarity`."""
 
     shingle: int = 5
-    distinct: bool = True
     words: int = 4
-    similarity: float = 0.8
-    found: float = 0.97
+    similar: int = 80
+    #: The probability that two sets of just that similarity share a bucket, and the number of fingerprints.
+    found: float = 0.999
+    n: int = 1
+
+    @property
+    def size(self) -> int:
+        return 8 * self.words
 
     @property
     def share(self) -> float:
         """Of the bits, how many differ on average: the angle between two sets over a half turn."""
-        return math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+        return math.acos(2 * self.similar / (100 + self.similar)) / math.pi
 
     @property
     def radius(self) -> int:
-        return round(64 * self.words * self.share)
+        bits = 64 * self.words
+        return math.ceil(bits * self.share + 3 * math.sqrt(bits * self.share * (1 - self.share)))
 
-    def tables(self, n: int) -> tuple[int, int]:
-        """Bits of a table's key, and the number of tables, for n fingerprints."""
-        bits = min(48, max(16, math.ceil(math.log2(max(2, n))) - 2))
+    @property
+    def tables(self) -> tuple[int, int]:
+        """Bits of a table's key, and the number of tables."""
+        bits = min(48, max(16, math.ceil(math.log2(max(2, self.n))) - 2))
         return bits, math.ceil(math.log(1 - self.found) / math.log(1 - (1 - self.share) ** bits))
 
-    def keys(self, fp: np.ndarray, n: int) -> np.ndarray:
-        bits, tables = self.tables(n)
-        rng, out = np.random.default_rng(SEED), np.zeros((len(fp), tables), dtype=np.int64)
+    def sketch(self, hashes: np.ndarray) -> bytes:
+        return bits_of(hashes, self.words).tobytes()
+
+    def keys(self, sketches: np.ndarray) -> np.ndarray:
+        bits, tables = self.tables
+        set_ = np.unpackbits(sketches, axis=1, bitorder="little").astype(np.int64)
+        rng, out = np.random.default_rng(SEED), np.zeros((len(sketches), tables), dtype=np.int64)
         for t in range(tables):
             for i in rng.permutation(64 * self.words)[:bits].tolist():
-                out[:, t] = out[:, t] << 1 | ((fp[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(np.int64)
-        return out
+                out[:, t] = out[:, t] << 1 | set_[:, i]
+        # tables of one number of bits share their keys' values, so the table goes into the key
+        return out * np.int64(-7046029254386353131) + np.arange(tables) * np.int64(0x2545F4914F6CDD1D)
 
+    def likely(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        return self.radius - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
-Kind = Exact | Similar
+    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, ask: np.ndarray, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By the bit-sliced comparison: `step` that ask at a time, with all that don't."""
+        asks, others = np.flatnonzero(ask), np.flatnonzero(~ask)
+        for at in range(0, len(asks), step):
+            group = np.concatenate([asks[at : at + step], others])
+            i, j = close_pairs([sketches[group].view("<u8").astype(np.uint64)], self.radius, np.arange(len(group)) < len(group) - len(others))
+            i, j = group[i[j >= len(group) - len(others)]], group[j[j >= len(group) - len(others)]]
+            yield i, j, self.likely(sketches[i], sketches[j], sizes[i], sizes[j])
 
 
 def more_words(h: np.ndarray, words: int) -> np.ndarray:
@@ -105,35 +125,37 @@ def more_words(h: np.ndarray, words: int) -> np.ndarray:
     return np.column_stack(out)
 
 
-def fingerprint(text: str, kind: Kind = Exact(), step: int = 1 << 15) -> np.ndarray:
-    """`words` x 64 bits; each is 1 if set in more than half of the shingles' hashes."""
+def fingerprint(text: str, kind: Exact = Exact()) -> np.ndarray:
+    """64 bits; each is 1 if set in more than half of the shingles' hashes."""
     words = [w.encode("utf-8", "surrogatepass") for w in _word.findall(text.translate(_lower) if not text.isascii() else text.lower())]
     if not words:
-        return np.zeros(kind.words, dtype=np.uint64)
+        return np.zeros(1, dtype=np.uint64)
     joined, size = b" ".join(words), min(kind.shingle, len(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    total, digest = np.zeros(64 * kind.words, dtype=np.int64), xxhash.xxh64_intdigest
-    h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], dtype="<u8")
-    if kind.distinct:
-        h = np.unique(h)
-    for at in range(0, len(h), step):
-        some = more_words(h[at : at + step], kind.words)
+    digest = xxhash.xxh64_intdigest
+    return bits_of(np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], dtype="<u8"))
+
+
+def bits_of(hashes: np.ndarray, words: int = 1, step: int = 1 << 15) -> np.ndarray:
+    """`words` x 64 bits; each is 1 if set in more than half of the hashes, or others made from them."""
+    total = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(hashes), step):
+        some = more_words(hashes[at : at + step].astype("<u8"), words)
         total += np.unpackbits(some.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > len(h), bitorder="little").view("<u8")
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, kind: Kind = Exact(), key: str = "doc_id") -> DataFrame:
-    """doc_id, fp (the words' bytes, largest first) of each row of docs; key: a bigint column that comes with them."""
-    names = list(dict.fromkeys(["doc_id", key]))
+def fingerprints(docs: DataFrame, kind: Exact = Exact()) -> DataFrame:
+    """doc_id, fp (its bytes, largest first) of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 fp = [fingerprint(t, kind).astype(">u8").tobytes() for t in texts(batch)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fp, pa.binary())], names=[*names, "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.binary())], names=["doc_id", "fp"])
 
-    return docs.select(*(F.col(n).cast("bigint").alias(n) for n in names), "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in names) + ", fp binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp binary")
 
 
 def words_of(fp: pa.Array, words: int) -> np.ndarray:
@@ -247,14 +269,12 @@ def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
             return ids[moved], label[moved]
 
 
-def links(reps: DataFrame, kind: Kind = Exact(), cell: int = CELL) -> DataFrame:
+def links(reps: DataFrame, kind: Exact = Exact(), cell: int = CELL) -> DataFrame:
     """reps: fp, rep (distinct fp, an id of each). Returns a, b: links of ids that connect whatever lies within the radius."""
-    n = reps.count()
-
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 4096):
-                keys = kind.keys(words_of(batch.column("fp"), kind.words), n)
+                keys = kind.keys(words_of(batch.column("fp"), 1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("rep"), lists], names=["fp", "rep", "buckets"])
 
@@ -276,7 +296,7 @@ def links(reps: DataFrame, kind: Kind = Exact(), cell: int = CELL) -> DataFrame:
         for batch in batches:
             column = batch.column("members")
             flat, at = column.flatten(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
-            fp, rep = words_of(flat.field("fp"), kind.words), flat.field("rep").to_numpy(zero_copy_only=False)
+            fp, rep = words_of(flat.field("fp"), 1), flat.field("rep").to_numpy(zero_copy_only=False)
             fps, reps_, load = [], [], 0
             for s, e in itertools.pairwise(at.tolist()):
                 fps.append(fp[s:e])
@@ -290,7 +310,7 @@ def links(reps: DataFrame, kind: Kind = Exact(), cell: int = CELL) -> DataFrame:
     return cells.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, kind: Kind = Exact()) -> DataFrame:
+def near_duplicates(docs: DataFrame, kind: Exact = Exact()) -> DataFrame:
     """doc_id, fingerprint, component_id: one row for each row of docs."""
     marked = saved(fingerprints(docs, kind))
     known = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
@@ -299,15 +319,20 @@ def near_duplicates(docs: DataFrame, kind: Kind = Exact()) -> DataFrame:
     return join_by_key(marked, saved(classes), "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def first_of_groups(docs: DataFrame, kind: Kind = Similar()) -> DataFrame:
-    """One row of docs for each group of linked fingerprints, all columns as they were: that of the least doc_id, any id before none, then of the least hash of the row.
-
-    Groups are of fingerprints, whatever the doc_ids: rows without one, or of one doc_id with texts that aren't linked, stay for each group. Equal rows are one
-    before the shuffle."""
-    keyed = docs.withColumn("_row", F.xxhash64(*[f.name for f in docs.schema if not isinstance(f.dataType, MapType)]))
-    marked = saved(fingerprints(keyed, kind, "_row"))
-    known = saved(marked.groupBy("fp").agg(F.min("_row").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")))
-    grouped = known.join(components(links(known, kind)), F.col("rep") == F.col("node"), "left")
-    first = grouped.groupBy(F.coalesce("component", "rep")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+def first_of_groups(docs: DataFrame, kind: Similar = Similar()) -> DataFrame:
+    """One row of docs for each group of documents that are linked by a similarity of their sets of shingles, all columns as they were: that of the least doc_id, any
+    id before none, then of the least hash of the row. Texts without a word are one group.
+
+    Groups are of texts, whatever the doc_ids: rows without one, or of one doc_id with texts that aren't linked, stay for each group. Equal rows are one before the
+    shuffle; rows are told apart by two hashes of all columns, 128 bits."""
+    kind = replace(kind, n=docs.count())
+    # hashes aren't made of maps, but of their sorted entries
+    plain = [F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, MapType) else F.col(f.name) for f in docs.schema]
+    key = ["_first_hash", "_second_hash"]
+    keyed = docs.withColumns({key[0]: F.xxhash64(*plain), key[1]: F.xxhash64(F.lit(SEED), *reversed(plain))})
+    marked = saved(sketched(keyed, kind, *key))
+    nodes = nodes_of(marked, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)).alias("first"))
+    grouped = nodes.join(linked(docs, nodes, kind), "node", "left")
+    first = grouped.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select(*(F.col(f"first.{k}").alias(k) for k in key))
     # the rows' key is the join's, so the texts are shuffled once
-    return keyed.dropDuplicates(["_row"]).join(first, "_row", "left_semi").select(*docs.columns)
+    return keyed.dropDuplicates(key).join(first, key, "left_semi").select(*docs.columns)

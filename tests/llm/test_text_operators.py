@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyforge.llm import bpe, language_id, mixing, pretokens, quality, simhash, token_counts, token_files, toxicity
+from tallyforge.llm.neighbours import set_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -237,7 +238,6 @@ def test_near_duplicates_of_the_table(spark, sf):
     given_ = docs.select("doc_id", "text").collect()
     classes = brute_components([r.doc_id for r in given_], [brute_fingerprint(r.text) for r in given_])
     assert {r["doc_id"]: r["component_id"] for r in rows(simhash.near_duplicates(docs))} == classes
-    assert sorted(r["doc_id"] for r in rows(simhash.first_of_groups(docs, simhash.Exact()))) == sorted(set(classes.values()))
 
 
 def shingles(text, n=5):
@@ -245,38 +245,63 @@ def shingles(text, n=5):
     return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-def test_similar_texts_are_found_and_others_left_alone(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 0")
-    own = {r.doc_id: shingles(r.text) for r in docs.collect()}
-    ids, where = sorted(own), {}
-    for i in ids:
-        for s in own[i]:
+def first_of_each_group(given_, similar=0.8):
+    """given_: doc_id, text; the least ids of groups of all pairs of that similarity, by sets of strings. Texts without a word are a group."""
+    own, where = {i: shingles(t or "") for i, t in given_}, {}
+    for i in own:
+        for s in own[i] or {""}:
             where.setdefault(s, []).append(i)
-    pairs = {(a, b) for found in where.values() for k, a in enumerate(found) for b in found[k + 1 :]}
-    jaccard = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a, b in pairs}
-    classes = {r["doc_id"]: r["component_id"] for r in rows(simhash.near_duplicates(docs, simhash.Similar()))}
-    alike = [p for p, j in jaccard.items() if j >= 0.85]
-    assert len(alike) > 5 and np.mean([classes[a] == classes[b] for a, b in alike]) > 0.9
-    linked = {i: i for i in ids}
-    for (a, b), j in sorted(jaccard.items()):
-        if j >= 0.65:
-            low, high = sorted((linked[a], linked[b]))
-            linked = {i: low if c == high else c for i, c in linked.items()}
-    assert all(linked[i] == linked[c] for i, c in classes.items())
+    parent = {i: i for i in own}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in {(a, b) for found in where.values() for k, a in enumerate(found) for b in found[k + 1 :]}:
+        if len(own[a] & own[b]) >= similar * len(own[a] | own[b]):
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    return sorted({find(i) for i in own})
+
+
+def test_similar_texts_are_found_and_others_left_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = first_of_each_group([(r.doc_id, r.text) for r in docs.collect()])
+    assert len(expected) < docs.count() - 50
+    assert sorted(r["doc_id"] for r in rows(simhash.first_of_groups(docs))) == expected
+
+
+def pair_of_similarity(rng, similar, words=400):
+    """Two texts whose sets of five words have about that similarity: words at the end differ."""
+    own = [str(rng.random()) for _ in range(words)]
+    cut = round((words - 4) * 2 * similar / (1 + similar)) + 4
+    return " ".join(own), " ".join([*own[:cut], *(str(rng.random()) for _ in range(words - cut))])
+
+
+def test_pairs_about_the_limit(spark):
+    rng, made, own = random.Random(11), [], {}
+    for similar in (0.70, 0.75, 0.78, 0.79, 0.80, 0.81, 0.82, 0.85, 0.90):
+        for _ in range(60):
+            a, b = pair_of_similarity(rng, similar)
+            made += [(2 * len(own), a), (2 * len(own) + 1, b)]
+            own[2 * len(own)] = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    kept = {r["doc_id"] for r in rows(simhash.first_of_groups(spark.createDataFrame(made, "doc_id bigint, text string")))}
+    merged = {i for i in own if i + 1 not in kept}
+    above = {i for i, j in own.items() if j >= 0.8}
+    assert merged <= above and len(merged) >= 0.97 * len(above) and len(above) >= 200
 
 
 def test_texts_of_the_stated_similarity_meet_in_a_table():
-    kind, rng = simhash.Similar(), random.Random(5)
-    assert 38 <= kind.radius <= 40
-    for n, tried in ((1000, 200), (10**9, 100)):
-        met = []
+    rng = random.Random(5)
+    for n, tried in ((1000, 200), (10**9, 60)):
+        kind, near, met = simhash.Similar(n=n), 0, 0
+        assert 55 <= kind.radius <= 57
         for _ in range(tried):
-            words = [str(rng.random()) for _ in range(400)]
-            other = [*words[:356], *(str(rng.random()) for _ in range(44))]
-            fps = np.stack([simhash.fingerprint(" ".join(w), kind) for w in (words, other)])
-            if np.bitwise_count(fps[0] ^ fps[1]).sum() <= kind.radius:
-                met.append((kind.keys(fps, n)[0] == kind.keys(fps, n)[1]).any())
-        assert len(met) > 0.3 * tried and np.mean(met) >= 0.9
+            sketches = np.stack([np.frombuffer(kind.sketch(set_of(t, 5)), dtype=np.uint8) for t in pair_of_similarity(rng, 0.8)])
+            near += kind.likely(sketches[:1], sketches[1:], None, None)[0] >= 0
+            met += (kind.keys(sketches)[0] == kind.keys(sketches)[1]).any()
+        assert near >= 0.97 * tried and met >= 0.97 * tried
 
 
 def test_many_near_copies_and_their_cells(spark):
@@ -301,6 +326,12 @@ def test_rows_without_an_id_and_texts_of_one_id_stay_for_each_group(spark):
     assert got == Counter([(None, a), (None, b), (1, c), (2, d), (2, a + " " + b), (3, "")])
 
 
+def test_rows_that_differ_in_a_map_only_are_rows(spark):
+    docs = spark.sql("SELECT * FROM VALUES (1, 'some text of six words here', map('k', 1)), (CAST(NULL AS BIGINT), 'an altogether different text of words', map('k', 2)), (NULL, 'an altogether different text of words', map('k', 3)) AS t(doc_id, text, m)")
+    got = rows(simhash.first_of_groups(docs))
+    assert len(got) == 2 and all(isinstance(r["m"], dict) for r in got)
+
+
 # 10
 
 
