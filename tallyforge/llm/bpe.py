@@ -30,7 +30,8 @@ from tallyforge.llm.common import slices, texts
 PART, LONG_RUN = 1 << 16, 1 << 12
 SAFE = regex.compile(r"[\p{L}\p{N}](?=[ \t\r\n])|[A-Za-zА-яぁ-ゖァ-ヺ一-龥가-힣](?=[.,;:!?()、。，！？])")
 SPACE = r"[\t-\r \x85\xA0  -     　]"
-_runs = regex.compile(SPACE + "{%d,}" % LONG_RUN)
+#: From where a run begins only: tried at each of its characters, shorter runs would cost the square of their length.
+_runs = regex.compile("(?<!" + SPACE + ")" + SPACE + "{%d,}" % LONG_RUN)
 
 
 @functools.cache

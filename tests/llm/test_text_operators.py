@@ -69,6 +69,16 @@ def test_long_texts_without_safe_places_and_of_white_space(text):
     assert bpe.encode(enc, text) == expected and enc.decode_bytes(expected) == text.encode()
 
 
+def test_white_space_runs_below_the_long_ones_take_linear_time():
+    import time
+
+    enc, text = bpe.encoding(RANKS, public_tokenizers.PATTERN), ("x" + " " * 4000) * 300
+    began = time.process_time()
+    ids = bpe.encode(enc, text)
+    assert time.process_time() - began < 2 and ids[: len(ids) // 300] == bpe.encode(enc, text[: 4001 * 2])[: len(ids) // 300]
+    assert bpe.encode(enc, text[: 4001 * 20]) == enc.encode_ordinary(text[: 4001 * 20])
+
+
 def test_texts_of_other_scripts_are_cut():
     for text in ("天地玄黄。宇宙洪荒，" * 20_000, "слово и дело " * 20_000):
         assert max(map(len, bpe.parts(text))) < 1.1 * bpe.PART
