@@ -201,15 +201,19 @@ def _search(own: DataFrame, k: int, every: int, recall: float) -> DataFrame:
         x = stacked(e)
         return pd.Series(list(nearest(np.column_stack([x, np.zeros(len(x))]), c, probes).astype("int32"))) if len(e) else pd.Series(dtype=object)
 
-    put = own.withColumn("list", list_of("embedding"))
+    # every use of the lists, and a second pass, read what was put once
+    put = saved(own.withColumn("list", list_of("embedding")))
     queries = queries_of(own, every)
     asked = queries.withColumn("bound", bound_of("vec_id", "embedding")).withColumn("list", F.explode(lists_of("embedding")))
     found = saved(_probed(put, asked, k, largest))
     # each row is in one list, so it comes once
     of_own_id = own.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("own"))
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).join(of_own_id, "query_id").where(F.col("n") >= F.least(F.lit(k), counted.n - F.col("own"))).select(F.col("query_id").alias("vec_id"))
-    short = queries.join(full, "vec_id", "left_anti").withColumn("bound", F.lit(float("-inf"))).withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1))))
-    rest = _probed(put, short, k, largest, exact=True)
+    short = saved(queries.join(full, "vec_id", "left_anti"))
+    if not short.limit(1).count():
+        return ranked(found, k)
+    again = short.withColumn("bound", F.lit(float("-inf"))).withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1))))
+    rest = _probed(put, again, k, largest, exact=True)
     return ranked(found.join(full.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi").unionByName(rest), k)
 
 

@@ -132,13 +132,13 @@ def table_of(spark, n, width=16):
     return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>"), x
 
 
-@pytest.mark.parametrize(("size", "sample"), [(1000, 4096), (400, 2048)])
-def test_recall_of_the_probed_lists_beyond_the_sample(spark, monkeypatch, size, sample):
+@pytest.mark.parametrize(("size", "sample", "width"), [(1000, 4096, 16), (400, 2048, 16), (1000, 4096, 64)])
+def test_recall_of_the_probed_lists_beyond_the_sample(spark, monkeypatch, size, sample, width):
     monkeypatch.setattr(ann, "LIST", size)
     monkeypatch.setattr(ann, "SAMPLE", sample)
-    df, x = table_of(spark, 50_000)
+    df, x = table_of(spark, 50_000, width)
     share = found_share(df, x, ann.search(df, every=1000), 1000)
-    print("recall", size, sample, share)
+    print("recall", size, sample, width, share)
     assert share >= 0.9
 
 
