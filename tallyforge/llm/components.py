@@ -1,7 +1,7 @@
 """Connected components of a graph of row ids by alternating large-star and small-star rounds.
 
-Every round groups with a map-side minimum and joins it back, by broadcast for nodes with many links, so that a hub's links are never
-gathered in one task, and ends in a checkpoint in the shared folder.
+Every round groups with a map-side minimum and joins it back. The joined side has one row for each node, so a hub's links are read as a stream, and adaptive
+execution splits them over several tasks. A round ends in a checkpoint in the shared folder.
 """
 
 from __future__ import annotations
@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import checkpointed, join_by_key
+from tallyforge.llm.common import checkpointed
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """links: u, v, u > v, distinct. Large: links each node's larger neighbours with its least one; small: the node and its smaller ones."""
     around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
-    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    moved = join_by_key(around, least, "u")
+    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    moved = around.join(least, "u")
     if large:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -19,16 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import BROADCAST_ROWS, WORD, Scratch, join_by_key, saved, slices, small, texts
+from tallyforge.llm.common import WORD, Scratch, join_by_key, saved, slices, small, texts
 from tallyforge.llm.components import components
 
 SEED = 11
-#: Nodes of a cell's side, and pairs that a node gives in the first round of the search.
-CELL, MOST = 1024, 8
-#: Nodes whose sets are sent to all workers, at most: those that are in over 1/HOT of the pairs.
-HOT = 128
-_word = re.compile(WORD)
-_lower = {c: c + 32 for c in range(65, 91)}
+#: Nodes of a cell's side, and pairs that a node gives in the first round of the search; pairs that are looked at together.
+CELL, MOST, LOAD = 1024, 32, 1 << 18
+#: Rows of what is broadcast here, at most.
+SENT = 100_000
+_word = re.compile(WORD.encode())
 
 
 class Kind(Protocol):
@@ -46,17 +45,17 @@ class Kind(Protocol):
     def likely(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
         """Of pairs of sketches and sizes, a closeness, and below zero where they can't be similar."""
 
-    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, ask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Positions of likely pairs of those that ask and those that don't, and their closeness; all pairs of one that asks come together."""
+    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, ask: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of pairs of one that asks and one that doesn't, in cells that end at `ends`, and their closeness: likely ones between components."""
 
 
 def set_of(text: str, shingle: int) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles."""
-    words = _word.findall(text.translate(_lower) if not text.isascii() else text.lower())
+    # of bytes, lower() changes A-Z only
+    words = _word.findall(text.encode("utf-8", "surrogatepass").lower())
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
-    w = np.array([digest(x.encode("utf-8", "surrogatepass"), SEED) for x in words], dtype=np.uint64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
     size = min(shingle, len(w))
     h = np.full(len(w) - size + 1, size, dtype=np.uint64)
     for i in range(size):
@@ -106,16 +105,15 @@ def bucket_members(nodes: DataFrame, kind: Kind) -> DataFrame:
 
     tabled = saved(nodes.where("n_shingles > 0").select("node", "sketch").mapInArrow(run, "node bigint, keys array<bigint>")).select("node", F.explode("keys").alias("key"))
     shared = saved(tabled.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    met = tabled.join(F.broadcast(shared.drop("n")), "key") if shared.count() <= BROADCAST_ROWS else join_by_key(tabled, shared, "key")
+    met = tabled.join(F.broadcast(shared.drop("n")), "key") if shared.count() <= SENT else join_by_key(tabled, shared, "key")
     return saved(met.select("key", "node", "hub"))
 
 
-def _of_pairs(pairs: DataFrame, right: DataFrame, names: dict[str, str], hot: int) -> DataFrame:
-    """pairs (a, b) with right's columns (of node) for both sides; names: right's column -> the name that a or b follows."""
+def _of_pairs(pairs: DataFrame, right: DataFrame, names: dict[str, str]) -> DataFrame:
+    """pairs (a, b) with right's columns (of node) for both sides; names: right's column -> the name that a or b follows. A node of many pairs has one row in right, so
+    that adaptive execution can split its pairs."""
     for side in ("a", "b"):
-        n = pairs.groupBy(side).agg(F.count("*").alias("n"))
-        own = right.select(F.col("node").alias(side), *(F.col(c).alias(f"{to}_{side}") for c, to in names.items())).join(n, side)
-        pairs = join_by_key(pairs, saved(own), side, hot)
+        pairs = pairs.join(right.select(F.col("node").alias(side), *(F.col(c).alias(f"{to}_{side}") for c, to in names.items())), side)
     return pairs
 
 
@@ -130,7 +128,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, kind: Kind) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(found))
 
     # no pair whose sizes differ by more can reach the limit
-    near = _of_pairs(pairs, nodes, {"sketch": "sketch", "n_shingles": "n"}, HOT).where(100 * F.least("n_a", "n_b") >= kind.similar * F.greatest("n_a", "n_b"))
+    near = _of_pairs(pairs, nodes, {"sketch": "sketch", "n_shingles": "n"}).where(100 * F.least("n_a", "n_b") >= kind.similar * F.greatest("n_a", "n_b"))
     return near.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -149,7 +147,7 @@ def sets_of(docs: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["node", "hashes"])
 
     rows = _given(docs)
-    asked = small(asked.select("node", "digest", "rep_id", "rep_hash"))
+    asked = small(asked.select("node", "digest", "rep_id", "rep_hash"), SENT)
     met = rows.join(asked, (rows.text_hash == asked.rep_hash) & rows.doc_id.eqNullSafe(asked.rep_id))
     return met.select("node", "digest", "text").mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
 
@@ -169,7 +167,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, kind: Kind) ->
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = saved(sets_of(docs, nodes.join(ends, "node", "left_semi"), kind))
-    return _of_pairs(pairs, sets, {"hashes": "hashes"}, HOT).select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a bigint, b bigint")
+    return _of_pairs(pairs, sets, {"hashes": "hashes"}).select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def missed(met: DataFrame, nodes: DataFrame, labels: DataFrame, kind: Kind, most: int, cell: int = CELL) -> DataFrame:
@@ -197,22 +195,25 @@ def missed(met: DataFrame, nodes: DataFrame, labels: DataFrame, kind: Kind, most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                flat = batch.column("members").slice(i, 1).flatten()
-                ask = flat.field("ask").to_numpy(zero_copy_only=False)
-                node, component, size = (flat.field(c).to_numpy() for c in ("node", "component", "size"))
-                a, b, more = [], [], []
-                for left, right, close in kind.pairs(_stack(flat.field("sketch"), kind.size), size, ask):
-                    fits = (component[left] != component[right]) & (100 * np.minimum(size[left], size[right]) >= kind.similar * np.maximum(size[left], size[right]))
-                    order = np.lexsort((node[right[fits]], -close[fits], left[fits]))
-                    left, right = left[fits][order], right[fits][order]
-                    nth = np.arange(len(left)) - np.searchsorted(left, left)
-                    left, right, others = left[nth < most], right[nth < most], np.isin(left[nth < most], left[nth >= most])
-                    a.append(np.minimum(node[left], node[right]))
-                    b.append(np.maximum(node[left], node[right]))
-                    more.append(others)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(more))], names=["a", "b", "more"])
+            column = batch.column("members")
+            ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            flat = column.flatten()
+            ask = flat.field("ask").to_numpy(zero_copy_only=False)
+            asking = np.concatenate([[0], np.cumsum(ask)])[np.concatenate([[0], ends])]
+            sizes = np.diff(asking) * (np.diff(ends, prepend=0) - np.diff(asking))
+            # cells are looked at together until they have LOAD pairs
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // LOAD, prepend=-1)) if len(sizes) else []
+            for first, last in zip(cuts, [*cuts[1:], len(ends)], strict=True):
+                start = ends[first - 1] if first else 0
+                own = flat.slice(start, ends[last - 1] - start)
+                node, component, size = (own.field(c).to_numpy() for c in ("node", "component", "size"))
+                left, right, close = kind.pairs(_stack(own.field("sketch"), kind.size), size, component, ask[start : ends[last - 1]], ends[first:last] - start)
+                order = np.lexsort((node[right], -close, left))
+                left, right = left[order], right[order]
+                nth = np.arange(len(left)) - np.searchsorted(left, left)
+                kept = nth < most
+                a, b = node[left[kept]], node[right[kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.isin(left[kept], left[~kept]))], names=["a", "b", "more"])
 
     return cells.mapInArrow(run, "a bigint, b bigint, more boolean")
 
@@ -222,16 +223,34 @@ def linked(docs: DataFrame, nodes: DataFrame, kind: Kind, most: int = MOST) -> D
     scratch = Scratch(docs.sparkSession)
     met = bucket_members(nodes, kind)
     stars = met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tested = scratch.saved(likely(scratch.saved(stars), nodes, kind))
+    tested = scratch.saved(likely(stars, nodes, kind))
     links = scratch.saved(verified(docs, tested, nodes, kind))
+    labels = scratch.saved(components(links))
     while True:
-        labels = scratch.saved(components(links))
         found = scratch.saved(missed(met, nodes, labels, kind, most))
         new = scratch.saved(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        more = found.where("more").limit(1).count()
         if new.limit(1).count():
-            links = scratch.saved(links.unionByName(verified(docs, new, nodes, kind)))
+            linking = scratch.saved(verified(docs, new, nodes, kind))
             tested = scratch.saved(tested.unionByName(new))
-            labels = components(links)
-        if not found.where("more").limit(1).count():
+            if linking.limit(1).count():
+                # what was connected is so by its labels
+                labels = scratch.saved(components(linking.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        if not more:
             return labels
         most *= 4
+
+
+def between(sizes: np.ndarray, component: np.ndarray, ask: np.ndarray, ends: np.ndarray, similar: int, load: int = LOAD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one that asks and one that doesn't in each cell, of two components and of sizes that allow the similarity, about `load` of them at a time."""
+    cell = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    others = np.flatnonzero(~ask)
+    first, last = np.searchsorted(cell[others], np.arange(len(ends))), np.searchsorted(cell[others], np.arange(len(ends)), side="right")
+    asks = np.flatnonzero(ask)
+    n = (last - first)[cell[asks]]
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // load, prepend=-1)) if len(n) else []
+    for s, e in zip(cuts, [*cuts[1:], len(asks)], strict=True):
+        left = np.repeat(asks[s:e], n[s:e])
+        right = others[np.arange(len(left)) - np.repeat(np.cumsum(n[s:e]) - n[s:e], n[s:e]) + np.repeat(first[cell[asks[s:e]]], n[s:e])]
+        fits = (component[left] != component[right]) & (100 * np.minimum(sizes[left], sizes[right]) >= similar * np.maximum(sizes[left], sizes[right]))
+        yield left[fits], right[fits]

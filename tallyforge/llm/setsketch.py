@@ -18,8 +18,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import join_by_key, saved
-from tallyforge.llm.neighbours import SEED, linked, nodes_of, sketched
+from tallyforge.llm.neighbours import SEED, between, linked, nodes_of, sketched
 
 BASE, RATE, TOP = 1.1, 20.0, 255
 UNLIKE, LOST, DEVIATIONS = 0.1, 1e-6, 5.0
@@ -65,15 +65,19 @@ class SetSketch:
 
     def likely(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
         more, less = np.count_nonzero(a > b, axis=1), np.count_nonzero(a < b, axis=1)
-        return estimate(more, less, self.size - more - less, n_a, n_b) - self.bound
+        equal, u, v = self.size - more - less, n_a / (n_a + n_b), n_b / (n_a + n_b)
+        # the likelihood has one maximum, so its slope tells on which side of the bound the estimate is
+        close = np.full(len(more), -1.0)
+        at = np.flatnonzero(slope(np.full(len(more), self.bound), more, less, equal, u, v) >= 0)
+        close[at] = np.maximum(0.0, estimate(more[at], less[at], equal[at], n_a[at], n_b[at]) - self.bound)
+        return close
 
-    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, ask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        right = np.flatnonzero(~ask)
-        for left in np.flatnonzero(ask).tolist():
-            at = right[100 * np.minimum(sizes[right], sizes[left]) >= self.similar * np.maximum(sizes[right], sizes[left])]
-            if len(at):
-                close = self.likely(sketches[left], sketches[at], np.full(len(at), sizes[left]), sizes[at])
-                yield np.full(np.count_nonzero(close >= 0), left), at[close >= 0], close[close >= 0]
+    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, ask: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        for i, j in between(sizes, component, ask, ends, self.similar):
+            close = self.likely(sketches[i], sketches[j], sizes[i], sizes[j])
+            out.append((i[close >= 0], j[close >= 0], close[close >= 0]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def kind_for(n: int, shingle: int = 5, similar: int = 80) -> SetSketch:
@@ -83,6 +87,7 @@ def kind_for(n: int, shingle: int = 5, similar: int = 80) -> SetSketch:
     return SetSketch(shingle, similar, width, bands)
 
 
+@functools.cache
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
     return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)

@@ -104,14 +104,13 @@ class Similar:
     def likely(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
         return self.radius - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
-    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, ask: np.ndarray, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By the bit-sliced comparison: `step` that ask at a time, with all that don't."""
-        asks, others = np.flatnonzero(ask), np.flatnonzero(~ask)
-        for at in range(0, len(asks), step):
-            group = np.concatenate([asks[at : at + step], others])
-            i, j = close_pairs([sketches[group].view("<u8").astype(np.uint64)], self.radius, np.arange(len(group)) < len(group) - len(others))
-            i, j = group[i[j >= len(group) - len(others)]], group[j[j >= len(group) - len(others)]]
-            yield i, j, self.likely(sketches[i], sketches[j], sizes[i], sizes[j])
+    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, ask: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By the bit-sliced comparison of those that ask with all of their cell."""
+        words = sketches.view("<u8").astype(np.uint64)
+        i, j = close_pairs(np.split(words, ends[:-1]), self.radius, ask)
+        fits = ~ask[j] & (component[i] != component[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= self.similar * np.maximum(sizes[i], sizes[j]))
+        i, j = i[fits], j[fits]
+        return i, j, self.likely(sketches[i], sketches[j], sizes[i], sizes[j])
 
 
 def more_words(h: np.ndarray, words: int) -> np.ndarray:
