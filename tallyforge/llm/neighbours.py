@@ -9,7 +9,6 @@ verified: the sets are made anew from the texts of the nodes in question and com
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -19,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import WORD, Scratch, join_by_key, saved, slices, small, texts
+from tallyforge.llm.common import Scratch, join_by_key, saved, slices, small, texts
 from tallyforge.llm.components import components
 
 SEED = 11
@@ -27,7 +26,6 @@ SEED = 11
 CELL, MOST, LOAD = 1024, 32, 1 << 18
 #: Rows of what is broadcast here, at most.
 SENT = 100_000
-_word = re.compile(WORD.encode())
 
 
 class Kind(Protocol):
@@ -51,8 +49,8 @@ class Kind(Protocol):
 
 def set_of(text: str, shingle: int) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles."""
-    # of bytes, lower() changes A-Z only
-    words = _word.findall(text.encode("utf-8", "surrogatepass").lower())
+    # of bytes, lower() changes A-Z only, and split() takes the six blanks of ASCII, as WORD does
+    words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
     w = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
@@ -61,7 +59,8 @@ def set_of(text: str, shingle: int) -> np.ndarray:
     for i in range(size):
         h = (h ^ w[i : len(w) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return np.unique(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _stack(column: pa.Array, width: int) -> np.ndarray:
