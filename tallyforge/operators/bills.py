@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.validate import broken_invariant, is_bill_id, page_size
 from tallyforge.schemas import BILL_COLUMNS, NEEDS_REVIEW
 from tallyforge.sources.shared import saved
+from tallyforge.sources.tables import among, updated
 
 CREATED, DUPLICATE, UPDATED, UNCHANGED, FAILED = "created", "duplicate", "updated", "unchanged", "failed"
 
@@ -36,10 +37,9 @@ def outcomes(messages: DataFrame, stored: DataFrame, order: Column) -> DataFrame
     return _marked(messages, order, new, "_new").withColumn("outcome", F.when(F.col("_new"), CREATED).otherwise(DUPLICATE)).drop("_new")
 
 
-def numbered(new: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
-    """new with seq after the last stored one. The numbers within the batch come from per-partition counts, not from one task;
+def numbered(new: DataFrame, last: int, order: list[str]) -> DataFrame:
+    """new with seq after the last one. The numbers within the batch come from per-partition counts, not from one task;
     the rows are written first, as ranges dealt out twice could differ."""
-    last = stored.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n")).first().n
     placed = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     placed = saved(placed)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -47,13 +47,15 @@ def numbered(new: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
     return placed.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("seq", F.lit(last) + F.col("_before") + F.col("_nth") + 1).drop("_part", "_nth", "_before")
 
 
-def insert(stored: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
-    """The rows to append. new: id, hash and a bill's columns. An id that another hash holds is an error."""
-    fresh = new_messages(new, stored)
-    clash = fresh.join(stored.select("id"), "id", "left_semi").select("id").limit(1).collect()
+def insert(stored: DataFrame, new: DataFrame, order: list[str], last: int | None = None) -> DataFrame:
+    """The rows to append. new: id, hash and a bill's columns; last: the last seq, which is looked for if it isn't given. An id that another hash holds is an error."""
+    if last is None:
+        last = stored.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n")).first().n
+    fresh = new_messages(new, among(stored, "hash", new))
+    clash = among(stored, "id", fresh).select("id").limit(1).collect()
     if clash:
         raise ValueError(f"id exists with another hash: {clash[0].id}")
-    return numbered(fresh, stored, order).withColumn("inserted_at", F.current_timestamp())
+    return numbered(fresh, last, order).withColumn("inserted_at", F.current_timestamp())
 
 
 def corrupt_reason(bills: DataFrame) -> Column:
@@ -128,10 +130,7 @@ def replaced(bills: DataFrame, updates: DataFrame) -> DataFrame:
     """bills with the columns of updates' bills, nulls too; id, hash, seq and inserted_at stay. An unknown id is an error."""
     if updates.join(bills.select("id"), "id", "left_anti").limit(1).count():
         raise LookupError("no such bill")
-    new = updates.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in BILL_COLUMNS])
-    hit = F.col("_id").isNotNull()
-    joined = bills.join(new, F.col("id") == F.col("_id"), "left")
-    return joined.select(*[F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in BILL_COLUMNS else F.col(c) for c in bills.columns])
+    return updated(bills, updates)
 
 
 def report(outcomes: DataFrame) -> DataFrame:

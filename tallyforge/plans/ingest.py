@@ -16,7 +16,7 @@ from tallyforge.schemas import EXTRACTION
 from tallyforge.sources import mime
 from tallyforge.sources.files import within_limit
 from tallyforge.sources.shared import saved
-from tallyforge.sources.tables import BillTable
+from tallyforge.sources.tables import BillTable, among
 
 TOO_LARGE = "message too large"
 
@@ -42,18 +42,21 @@ def ingest(messages: DataFrame, table: BillTable, extractor: Extractor | None =
     stores nothing."""
     messages, beyond = within_limit(messages.withColumn("length", F.octet_length("content")))
     given = identified(messages)
-    stored = table.read()
-    marked = saved(bills.outcomes(given.select(order, "id", "hash"), stored, F.col(order)))
+    keys = saved(given.select(order, "id", "hash"))
+    marked = saved(bills.outcomes(keys, among(table.read(), "hash", keys), F.col(order)))
     created = marked.where(F.col("outcome") == bills.CREATED)
     contents = given.select(order, "hash", "content").join(created.select("id", "hash", order), ["hash", order]).select("id", "hash", "content")
     fresh = saved(extracted(contents, extractor or default_extractor()))
-    rows = bill_rows(fresh.where("error IS NULL")).join(created.select("hash", order), "hash")
-    table.append(bills.insert(stored, rows, [order]))
-    errors = fresh.where("error IS NOT NULL").select(F.col("hash").alias("_hash"), "error")
-    done = marked.join(errors, F.col("hash") == F.col("_hash"), "left")
+    rows = saved(bill_rows(fresh.where("error IS NULL")).join(created.select("hash", order), "hash"))
+    # another writer may have stored some of them meanwhile
+    stored = table.append(lambda stored, last: bills.insert(stored, rows, [order], last))
+    lost = rows.join(stored.select("hash"), "hash", "left_anti").select("hash", F.lit(True).alias("_lost"), F.lit(None).cast("string").alias("error"))
+    errors = fresh.where("error IS NOT NULL").select("hash", F.lit(False).alias("_lost"), "error")
+    done = marked.join(lost.unionByName(errors).withColumnRenamed("hash", "_hash"), F.col("hash") == F.col("_hash"), "left")
     # a failed message stores nothing, so a later copy of it fails as well
     refused = identified(beyond).select("id", F.lit(bills.FAILED).alias("outcome"), F.lit(TOO_LARGE).alias("error"))
-    return done.select("id", F.when(F.col("error").isNotNull(), bills.FAILED).otherwise(F.col("outcome")).alias("outcome"), "error").unionByName(refused)
+    outcome = F.when(F.col("error").isNotNull(), bills.FAILED).when(F.col("_lost"), bills.DUPLICATE).otherwise(F.col("outcome"))
+    return done.select("id", outcome.alias("outcome"), "error").unionByName(refused)
 
 
 def reextract(messages: DataFrame, table: BillTable, extractor: Extractor | None = None, order: str = "path") -> DataFrame:
@@ -63,11 +66,11 @@ def reextract(messages: DataFrame, table: BillTable, extractor: Extractor | None
     first = saved(bills.first_of_each_hash(given.select(order, "id", "hash"), F.col(order)).where("first").drop("first"))
     contents = given.select(order, "hash", "content").join(first, ["hash", order]).select("id", "hash", "content")
     fresh = saved(extracted(contents, extractor or default_extractor()))
-    stored = table.read()
-    judged = saved(bills.compared(bill_rows(fresh.where("error IS NULL")), stored))
-    after = bills.replaced(stored, judged.where(F.col("outcome") == bills.UPDATED))
+    rows = saved(bill_rows(fresh.where("error IS NULL")))
+    judged = saved(bills.compared(rows, among(table.read(), "hash", rows)))
+    table.replace(judged.where(F.col("outcome") == bills.UPDATED))
     created = judged.where(F.col("outcome") == bills.CREATED).drop("outcome").join(first.select("hash", order), "hash")
-    table.write(after.unionByName(bills.insert(stored, created, [order]).select(*after.columns)))
+    table.append(lambda stored, last: bills.insert(stored, created, [order], last))
     failed = fresh.where("error IS NOT NULL").select("id", F.lit(bills.FAILED).alias("outcome"), "error")
     refused = identified(beyond).select("id", F.lit(bills.FAILED).alias("outcome"), F.lit(TOO_LARGE).alias("error"))
     return judged.select("id", "outcome", F.lit(None).cast("string").alias("error")).unionByName(failed).unionByName(refused)
