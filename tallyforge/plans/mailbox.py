@@ -19,10 +19,15 @@ from tallyforge.sources.tables import BillTable
 def fetch(spark: SparkSession, table: BillTable, after: str | None = None, before: str | None = None, extractor: Extractor | None = None, **options: str) -> DataFrame:
     """Stores what is new among the messages of the window and returns message_id (null where only the bytes failed), id, outcome, error.
 
-    Messages are fetched once, to the shared folder. One that can't be fetched is a failed row, and the others are stored. options: of the mailbox source."""
+    A message that can't be fetched is a failed row, and the others are stored. options: of the mailbox source."""
     mail.register(spark)
     days = {k: v for k, v in (("after", after), ("before", before)) if v}
-    fetched = saved(spark.read.format("mailbox").options(**days, **options).load())
+    return stored(spark.read.format("mailbox").options(**days, **options).load(), table, extractor)
+
+
+def stored(messages: DataFrame, table: BillTable, extractor: Extractor | None = None) -> DataFrame:
+    """Stores what is new among a mailbox's messages (message_id, content, error). They are written to the shared folder first, so that each is fetched once."""
+    fetched = saved(messages.select("message_id", "content", "error"))
     done = ingest(fetched.where("error IS NULL").select("message_id", "content"), table, extractor, order="message_id")
     lost = fetched.where("error IS NOT NULL").select("message_id", F.lit(None).cast("string").alias("id"), F.lit(bills.FAILED).alias("outcome"), "error")
     return done.select(F.lit(None).cast("string").alias("message_id"), "id", "outcome", "error").unionByName(lost)

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # filters on a mailbox's days and labels reach its query
+    "spark.sql.python.filterPushdown.enabled": "true",
     # bodies and attachments are large: fewer rows to an Arrow batch keep Python workers small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
