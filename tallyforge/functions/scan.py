@@ -20,7 +20,7 @@ MONTHS = ["January", "February", "March", "April", "May", "June", "July", "Augus
 #: Bytes between a keyword's end and the value it introduces, at most.
 WINDOW = 40
 ANCHORED, UNANCHORED = 90, 40
-MARK, SEPARATOR, END = "\u0001", "\u0002", "\u0003"
+MARK, SEPARATOR = "\u0001", "\u0002"
 #: Places in a block of running().
 BLOCK = 256
 
@@ -55,14 +55,19 @@ def _date_pattern() -> str:
 DATE = _date_pattern()
 
 
-def anchor_pattern(anchors: list[str]) -> str:
-    return r"(?i)(?<![A-Za-z])(?:" + "|".join(anchors) + r")(?![A-Za-z])"
+def anchor_pattern(*lists: list[str]) -> str:
+    """Where a keyword of any of the lists stands: matches without width, with a group for each list, so that keywords of several lists can share characters. A keyword
+    inside another one of its list ends where that one does."""
+    words = [rf"(?:{'|'.join(anchors)})(?![A-Za-z])" for anchors in lists]
+    return r"(?i)(?<![A-Za-z])(?=" + "|".join(words) + ")" + "".join(f"(?=({w})|)" for w in words)
 
 
-def pieces(text: Column, pattern: str, groups: str = "$0") -> Column:
-    """What stands before the first match, then for each match its groups and what stands between it and the next one, in one pass over the text. The marks
-    between these are control characters; those that the text has become another one of the same size."""
-    return F.split(F.regexp_replace(F.translate(text, MARK + SEPARATOR + END, "\u0004\u0004\u0004"), F.lit(pattern), F.lit(MARK + groups + END)), MARK, -1)
+def pieces(text: Column, pattern: str, groups: int) -> Column:
+    """What stands before the first match, then for each match its groups (0: the match itself) and what stands between it and the next one, as arrays, in one pass over the text. The
+    marks between these are control characters; those that the text has become another one of the same size."""
+    names = [f"${i}" for i in range(1, groups + 1)] or ["$0"]
+    marked = F.regexp_replace(F.translate(text, MARK + SEPARATOR, "\u0004\u0004"), F.lit(pattern), F.lit(MARK + SEPARATOR.join([*names, ""])))
+    return F.transform(F.split(marked, MARK, -1), lambda p: F.split(p, SEPARATOR, -1))
 
 
 def running(first: Column, steps: Column) -> Column:
@@ -78,17 +83,18 @@ def running(first: Column, steps: Column) -> Column:
     return F.aggregate(steps, start, put, lambda acc: F.flatten(F.array_append(acc["done"], acc["block"])))
 
 
-def matches_in(found: Column, names: list[str], token: str) -> tuple[Column, Column]:
-    """Of pieces(): the matches as structs of their groups by name, and the byte offsets of the one called `token`."""
+def places(found: Column, token: int | None) -> Column:
+    """Of pieces(): the byte offset of each match. token: the group that the match consists of, as it is the only one with a width; None if it has none."""
     each = F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))
+    own = lambda p: F.octet_length(F.element_at(p, -1))
+    steps = F.transform(each, own if token is None else lambda p: F.octet_length(F.get(p, F.lit(token))) + own(p))
+    return running(F.octet_length(F.get(F.get(found, F.lit(0)), F.lit(0))), steps)
 
-    def one(piece: Column) -> Column:
-        groups = F.split(F.substring_index(piece, END, 1), SEPARATOR, -1)
-        return F.struct(*[F.get(groups, F.lit(i)).alias(n) for i, n in enumerate(names)])
 
-    at = names.index(token)
-    steps = F.transform(each, lambda p: F.octet_length(F.get(F.split(F.substring_index(p, END, 1), SEPARATOR, -1), F.lit(at))) + F.octet_length(F.substring_index(p, END, -1)))
-    return F.transform(each, one), running(F.octet_length(F.get(found, F.lit(0))), steps)
+def matches_of(found: Column, names: list[str]) -> Column:
+    """Of pieces(): the matches as structs of their groups by name."""
+    each = F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))
+    return F.transform(each, lambda p: F.struct(*[F.get(p, F.lit(i)).alias(n) for i, n in enumerate(names)]))
 
 
 def minor_units(token: Column) -> Column:
@@ -160,16 +166,16 @@ def scan(df: DataFrame, column: str, out: str, kind: Column | int, doc: Column |
     doc = doc if doc is not None else F.lit(None).cast("int")
     own = lambda name: f"_{out}_{name}"
     keys = {"amount": AMOUNT_ANCHORS, "due": DUE_ANCHORS, "issued": ISSUED_ANCHORS}
-    raw = {own("num"): pieces(t, AMOUNT, SEPARATOR.join(f"${i}" for i in range(1, 6))), own("date"): pieces(t, DATE)} | {own(name): pieces(t, anchor_pattern(words)) for name, words in keys.items()}
+    groups = {"num": ["before", "blank", "token", "gap", "after"], "date": ["token"], "key": list(keys)}
+    # without a digit there is nothing to find
+    given = F.when(t.rlike("[0-9]"), t)
     # one projection after another: each intermediate array is computed once
-    step = df.withColumns(raw)
-    parts = {"num": ["before", "blank", "token", "gap", "after"]} | dict.fromkeys(["date", *keys], ["token"])
-    for name, groups in parts.items():
-        found, at = matches_in(F.col(own(name)), groups, "token")
-        step = step.withColumns({own(f"{name}_found"): found, own(f"{name}_at"): at})
+    step = df.withColumns({own("num"): pieces(given, AMOUNT, 5), own("date"): pieces(given, DATE, 0), own("key"): pieces(given, anchor_pattern(*keys.values()), 3)})
+    step = step.withColumns({own(f"{name}_at"): places(F.col(own(name)), {"num": 2, "date": 0, "key": None}[name]) for name in groups} | {own(f"{name}_found"): matches_of(F.col(own(name)), g) for name, g in groups.items()})
     both = lambda name: (F.col(own(f"{name}_found")), F.col(own(f"{name}_at")))
     dates = F.zip_with(*both("date"), lambda d, s: F.struct(calendar_date(d["token"]).alias("value"), s.alias("start"), (s + F.octet_length(d["token"])).alias("end")))
-    ends = {own(f"{name}_ends"): F.zip_with(*both(name), lambda k, s: s + F.octet_length(k["token"])) for name in keys}
+    ended = lambda name: F.zip_with(*both("key"), lambda k, s: F.when(k[name] != "", s + F.octet_length(k[name])))
+    ends = {own(f"{name}_ends"): F.array_compact(ended(name)) for name in keys}
     step = step.withColumns({own("amounts"): amounts(*both("num")), own("dates"): F.filter(dates, lambda d: d["value"].isNotNull())} | ends)
     found = F.col(own("amounts"))
     largest = F.array_max(F.transform(found, lambda m: F.struct(m["value"]["minor_units"].alias("n"), m["start"].alias("s"), m.alias("m"))))["m"]

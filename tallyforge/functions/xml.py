@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from typing import NamedTuple
 
-_open = re.compile(r"<(?![/?!])([^>]*)>")
 _tag = re.compile(r"<(?![?!])([^>]*)>")
 _entity = re.compile(r"&(amp|lt|gt|apos|quot);")
 # The entities of XML.
@@ -31,38 +31,63 @@ def _name(inner: str) -> tuple[str, str, bool]:
     return local(parts[0] if parts else ""), parts[1].strip() if len(parts) > 1 else "", stripped.endswith("/")
 
 
-def _locate(xml: str, start: int, end: int, name: str) -> tuple[int, int, str] | None:
-    """Body start, body end and attributes of the first such element; same-named elements inside are balanced."""
-    for opened in _open.finditer(xml, start, end):
-        own, attributes, empty = _name(opened[1])
-        if own != name:
-            continue
-        if empty:
-            return opened.end(), opened.end(), attributes
-        depth = 0
-        for tag in _tag.finditer(xml, opened.end(), end):
-            if tag[1].startswith("/"):
-                if local(tag[1][1:].strip()) == name:
-                    if not depth:
-                        return opened.end(), tag.start(), attributes
-                    depth -= 1
+class _Tag(NamedTuple):
+    start: int
+    end: int
+    #: 1 opens an element, 0 is a whole one, -1 closes one.
+    kind: int
+    attributes: str
+
+
+class Document:
+    """The tags of some local names, found in one pass; every look-up is in these lists."""
+
+    def __init__(self, xml: str, names: frozenset[str]) -> None:
+        self.xml, self.ascii = xml, xml.isascii()
+        self.tags: dict[str, list[_Tag]] = {n: [] for n in names}
+        for tag in _tag.finditer(xml):
+            inner = tag[1]
+            if inner.startswith("/"):
+                name, kind, attributes = local(inner[1:].strip()), -1, ""
+            else:
+                name, attributes, empty = _name(inner)
+                kind = 0 if empty else 1
+            if name in self.tags:
+                self.tags[name].append(_Tag(tag.start(), tag.end(), kind, attributes))
+        self.starts = {n: [t.start for t in tags] for n, tags in self.tags.items()}
+
+    def _locate(self, start: int, end: int, name: str) -> tuple[int, int, str] | None:
+        """Body start, body end and attributes of the first such element; same-named elements inside are balanced."""
+        tags, depth, first = self.tags[name], 0, None
+        for at in range(bisect.bisect_left(self.starts[name], start), len(tags)):
+            tag = tags[at]
+            if tag.end > end:
+                return None
+            if first is None:
+                if tag.kind == 0:
+                    return tag.end, tag.end, tag.attributes
+                first = tag if tag.kind == 1 else None
+            elif tag.kind == -1 and not depth:
+                return first.end, tag.start, first.attributes
             else:
-                other, _, closed = _name(tag[1])
-                depth += other == name and not closed
+                depth += tag.kind
         return None
-    return None
+
+    def find(self, parents: list[str], name: str) -> Element | None:
+        """The first `name` inside the first of each parent in turn. Sections of character data are looked into."""
+        start, end, attributes = 0, len(self.xml), ""
+        for step in [*parents, name]:
+            found = self._locate(start, end, step)
+            if found is None:
+                return None
+            start, end, attributes = found
+        body = self.xml[start:end]
+        before = start if self.ascii else len(self.xml[:start].encode("utf-8", "replace"))
+        return Element(text_of(body), before, before + (len(body) if self.ascii else len(body.encode("utf-8", "replace"))), attributes)
 
 
 def find(xml: str, parents: list[str], name: str) -> Element | None:
-    """The first `name` inside the first of each parent in turn. Sections of character data are looked into."""
-    start, end, attributes = 0, len(xml), ""
-    for step in [*parents, name]:
-        found = _locate(xml, start, end, step)
-        if found is None:
-            return None
-        start, end, attributes = found
-    before = len(xml[:start].encode("utf-8", "replace"))
-    return Element(text_of(xml[start:end]), before, before + len(xml[start:end].encode("utf-8", "replace")), attributes)
+    return Document(xml, frozenset([*parents, name])).find(parents, name)
 
 
 def attribute(element: Element, name: str) -> str | None:

@@ -16,6 +16,7 @@ from tallyforge.functions.scan import scan
 from tallyforge.functions.text import hex_id, raw_hash, strip_html
 from tallyforge.operators.merge import extraction, is_complete, merge_columns
 from tallyforge.schemas import EXTRACTED, HTML, NEEDS_REVIEW, TEXT
+from tallyforge.sources.shared import saved
 
 Extractor = Callable[[DataFrame, str], DataFrame]
 VENDOR_CONFIDENCE = 20
@@ -57,13 +58,13 @@ def chain(extractors: Sequence[Extractor]) -> Extractor:
 def escalate(first: Extractor, second: Extractor, least: int = 50) -> Extractor:
     """The second extractor only for rows that the first leaves incomplete; a split and a union, as a conditional would not keep it from the others.
 
-    The first pass is persisted, so that it runs once; the caller may unpersist with the result."""
+    The first pass is written to the shared folder, so that it runs once."""
 
     def run(envelopes: DataFrame, out: str) -> DataFrame:
         passed = first(envelopes, out)
         if "error" not in passed.columns:
             passed = passed.withColumn("error", F.lit(None).cast("string"))
-        passed = passed.persist()
+        passed = saved(passed)
         settled = F.col("error").isNotNull() | (is_complete(F.col(out), least) if least <= 100 else F.lit(False))
         again = second(passed.where(~settled), f"{out}_second")
         again = again.withColumn(out, merge_columns([F.col(out), F.col(f"{out}_second")])).drop(f"{out}_second")

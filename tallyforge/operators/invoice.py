@@ -48,17 +48,24 @@ def leading_date(text: str) -> datetime.date | None:
         return None
 
 
+_vendors = (("PartyTaxScheme", "RegistrationName"), ("PartyLegalEntity", "RegistrationName"), ("PartyName", "Name"))
+_names = frozenset(["Invoice", "LegalMonetaryTotal", "PayableAmount", "IssueDate", "PaymentMeans", "PaymentDueDate", "DueDate", "InvoicePeriod", "StartDate", "EndDate", "AccountingSupplierParty", "Party", *(n for pair in _vendors for n in pair)])
+
+
 def pluck(text: str) -> dict | None:
     """The fields of the first Invoice, each (value..., start, end); None if there is no invoice."""
-    if xml.find(text, [], "Invoice") is None:
+    if "Invoice" not in text:
+        return None
+    document = xml.Document(text, _names)
+    if document.find([], "Invoice") is None:
         return None
     out: dict = dict.fromkeys(("amount", "issued", "due", "period", "vendor"))
-    payable = xml.find(text, ["Invoice", "LegalMonetaryTotal"], "PayableAmount")
+    payable = document.find(["Invoice", "LegalMonetaryTotal"], "PayableAmount")
     if payable is not None and (n := minor_units(payable.text)) is not None and (code := xml.attribute(payable, "currencyID")) in _codes:
         out["amount"] = {"minor_units": n, "currency": code, "start": payable.start, "end": payable.end}
 
     def dated(parents: list[str], name: str) -> dict | None:
-        element = xml.find(text, parents, name)
+        element = document.find(parents, name)
         day = element and leading_date(element.text)
         return {"value": day, "start": element.start, "end": element.end} if day else None
 
@@ -67,8 +74,8 @@ def pluck(text: str) -> dict | None:
     first, last = (dated(["Invoice", "InvoicePeriod"], name) for name in ("StartDate", "EndDate"))
     if first and last and last["value"] >= first["value"]:
         out["period"] = {"from": first["value"], "to": last["value"], "start": first["start"], "end": last["end"]}
-    for parent, name in (("PartyTaxScheme", "RegistrationName"), ("PartyLegalEntity", "RegistrationName"), ("PartyName", "Name")):
-        element = xml.find(text, ["Invoice", "AccountingSupplierParty", "Party", parent], name)
+    for parent, name in _vendors:
+        element = document.find(["Invoice", "AccountingSupplierParty", "Party", parent], name)
         if element is not None and element.text.strip():
             out["vendor"] = {"value": element.text.strip(), "start": element.start, "end": element.end}
             break

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import shutil
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -55,6 +57,12 @@ class Options:
     most_confidence: int = 70
     body: int = BODY
     whole_files: bool = False
+    #: Requests of a task that are under way at once; times that a bill is asked for, the seconds before the second one (each later one waits twice as long), and the seconds from which
+    #: it isn't asked for again.
+    at_once: int = 16
+    tries: int = 3
+    pause: float = 0.5
+    limit: float = 120.0
     keys: list[str] = field(default_factory=lambda: [k.split()[0] for k in REPLY.split(", ")])
 
 
@@ -100,8 +108,22 @@ def drawn() -> Callable[[bytes, int], list[bytes]] | None:
     return rasterize if shutil.which("pdftoppm") else None
 
 
+def asked(client: Client, parts: list[Part], options: Options) -> str:
+    """The client's answer, asked for again while it is Unreachable and there is time."""
+    began, pause = time.monotonic(), options.pause
+    for nth in range(1, options.tries + 1):
+        try:
+            return client.complete(INSTRUCTIONS, parts, options.keys)
+        except Unreachable:
+            if nth == options.tries or time.monotonic() - began + pause > options.limit:
+                raise
+        time.sleep(pause)
+        pause *= 2
+    raise Unreachable("no try")
+
+
 def model_extractor(client: Client, draw: Callable[[bytes, int], list[bytes]] | None = None, options: Options = Options()) -> Extractor:
-    """Asks the client once for each row; rows with nothing to send aren't asked. Meant for the second half of escalate(). Only the body and the PDFs go to Python,
+    """Asks the client for each row, `at_once` rows at a time; rows with nothing to send aren't asked. Meant for the second half of escalate(). Only the body and the PDFs go to Python,
     and nothing is shuffled. draw: pages as PNG files; where the program for these is installed, it is used unless another one is given."""
 
     def parts_of(body: str | None, files: list[bytes]) -> list[Part]:
@@ -117,26 +139,29 @@ def model_extractor(client: Client, draw: Callable[[bytes, int], list[bytes]] |
         return parts
 
     def ask(bodies: pa.Array, pdfs: pa.Array) -> pa.Array:
-        rows = []
-        for body, files in zip(bodies, pdfs, strict=True):
+        def one(given: tuple) -> dict:
             row = dict.fromkeys(("reply", "note", "failed"))
             try:
-                parts = parts_of(body.as_py(), files.as_py() or [])
-                row["reply"] = client.complete(INSTRUCTIONS, parts, options.keys) if parts else None
+                parts = parts_of(given[0].as_py(), given[1].as_py() or [])
+                row["reply"] = asked(client, parts, options) if parts else None
             except Unreachable:
                 row["note"] = UNAVAILABLE
             except Exception as e:  # a file that can't be read or drawn, or a part that the provider doesn't take, is the row's error
                 row["failed"] = f"model: {e}"
-            rows.append(row)
+            return row
+
+        # map keeps the order of the rows
+        with ThreadPoolExecutor(options.at_once) as pool:
+            rows = list(pool.map(one, zip(bodies, pdfs, strict=True)))
         return pa.array(rows, pa.struct([("reply", pa.string()), ("note", pa.string()), ("failed", pa.string())]))
 
     def run(envelopes: DataFrame, out: str) -> DataFrame:
         files = F.transform(F.filter("documents", lambda d: d["mime"] == PDF_TYPE), lambda d: d["bytes"])
         answer = F.arrow_udf(ask, "struct<reply:string,note:string,failed:string>")(body_text(F.col("text"), F.col("html"), options.body), files)
-        asked = envelopes.withColumn("_answer", answer)
+        answered = envelopes.withColumn("_answer", answer)
         down = F.array(F.struct(F.col("_answer.note").alias("kind"), F.lit(None).cast("int").alias("document")))
         mapped = F.when(F.col("_answer.reply").isNotNull(), map_reply(F.col("_answer.reply"), options.most_confidence)).when(F.col("_answer.note") == UNAVAILABLE, extraction(down)).otherwise(extraction())
         before = F.col("error") if "error" in envelopes.columns else F.lit(None).cast("string")
-        return asked.withColumns({out: mapped, "error": F.coalesce(before, "_answer.failed")}).drop("_answer")
+        return answered.withColumns({out: mapped, "error": F.coalesce(before, "_answer.failed")}).drop("_answer")
 
     return run

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from tallyforge.plans import rendered
 from tallyforge.plans.rendered import table
 from tallyforge.schemas import TEXT
 from tallyforge.sources import archive, mime
+from tallyforge.sources.shared import shared_dir
+from tallyforge.sources.tables import BillTable, among
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -71,13 +74,20 @@ SHOWN = ["seq", "id", "vendor", "amount_minor", "currency", "issued", "due", "st
 def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rendered.bodies(rendered.orders(spark, sf_dir))
     hashed = rows.withColumn("hash", text.raw_hash(F.col("o_orderkey").cast("string").cast("binary")))
-    return hashed.select(F.col("o_orderkey").cast("string").alias("id"), "o_orderkey", "hash", "sender", "sender_name", "text", "html").repartition(spark.sparkContext.defaultParallelism)
+    return hashed.select(F.col("o_orderkey").cast("string").alias("id"), "o_orderkey", "hash", "sender", "sender_name", "text", "html")
 
 
 def _bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.bill_table(spark, sf_dir)
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> BillTable:
+    """The bills as a table of their own in the shared folder."""
+    made = BillTable(spark, f"{shared_dir(spark)}/bills/{uuid.uuid4().hex}")
+    made.write(_bills(spark, sf_dir))
+    return made
+
+
 # The scanner
 
 
@@ -125,23 +135,36 @@ def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(o, "text", "found", TEXT).select("o_orderkey", "shape", F.col("found.issued.value").alias("day"))
 
 
-_GRAMMAR = {"1,234.56": 123456, "1.234,56": 123456, "12.5": 12500, "99.50": 9950, "1.234.567": 123456700, "1 234,5": 1234500, "1,2.3": 1230, "1,234.5678": 123456, "2026 1,234.56": 2026123456, "0.05": 5, "007": 700, "92233720368547758.07": 9223372036854775807, "92233720368547758.08": None, "99999999999999999999": None, "1,5 6.7": 15670, "1.5,6 7": None}
-
-
-@query("SELECT r_regionkey, numeral, minor FROM region, (VALUES " + ", ".join(f"('{n}', {'CAST(NULL AS BIGINT)' if v is None else f'CAST({v} AS BIGINT)'})" for n, v in _GRAMMAR.items()) + ") g(numeral, minor)")
+@query("""
+WITH m AS (SELECT o_orderkey, o_orderkey % 7 AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS m FROM orders)
+SELECT o_orderkey, CASE WHEN k < 3 THEN m WHEN k = 3 THEN m // 10 * 100 WHEN k = 6 THEN CASE WHEN m // 100 < 92233720368 THEN (m // 100 * 1000000 + 5678) * 100 + 90 END ELSE m // 100 * 100 END AS minor FROM m""")
 def amount_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numerals = F.explode(F.array(*[F.lit(n) for n in _GRAMMAR])).alias("numeral")
-    return table(spark, sf_dir, "region").select("r_regionkey", numerals).select("r_regionkey", "numeral", minor_units(F.col("numeral")).alias("minor"))
-
-
-_MARKERS = {"COP$ 1.234.567": (123456700, "COP"), "US$1,234.56": (123456, "USD"), "$ 1,234.56 USD": (123456, "USD"), "$ 999.00": (None, None), "EUR 100 THE": (None, None), "5USD 100": (500, "USD"), "100 USD5": (500, "USD"), "éUS$ 5": (None, None), "A€ 5": (500, "EUR"), "XXX 5": (None, None), "5 £": (500, "GBP"), "AUS$ 7": (None, None), "12 USD$": (1200, "USD"), "1 EUR 2": (200, "EUR"), "total 3 EUR and 9 EUR": (300, "EUR"), "3 EUR then 9 GBP": (900, "GBP")}
-
-
-@query("SELECT r_regionkey, body, minor, currency FROM region, (VALUES " + ", ".join(f"('{b}', {'CAST(NULL AS BIGINT)' if m is None else f'CAST({m} AS BIGINT)'}, {'NULL' if c is None else repr(c)})" for b, (m, c) in _MARKERS.items()) + ") g(body, minor, currency)")
+    """The orders' prices as numerals: with either decimal separator, one decimal (which counts as a group), groups only, no groups, and more digits than fit."""
+    m, k = F.col("minor"), F.col("o_orderkey") % 7
+    whole = F.floor(m / 100)
+    shapes = [
+        rendered.grouped(m, ".", ","), rendered.grouped(m, ",", "."), rendered.grouped(m, "\u00a0", "."), F.concat(whole.cast("string"), F.lit("."), F.floor(m % 100 / 10).cast("string")),
+        F.translate(F.format_number(whole, 0), ",", "."), F.lpad(whole.cast("string"), 12, "0"), F.concat(whole.cast("string"), F.lit("005678.90")),
+    ]
+    numeral = F.get(F.array(*shapes), k.cast("int"))
+    return rendered.orders(spark, sf_dir).select("o_orderkey", minor_units(numeral).alias("minor"))
+
+
+#: A text around a numeral, and the currency that it has by its markers.
+_MARKED = [
+    ("COP$ {}", "COP"), ("US${}", "USD"), ("$ {} USD", "USD"), ("$ {}", None), ("EUR {} THE", None), ("5USD {}", "USD"), ("{} USD5", None), ("éUS$ {}", None), ("A€ {}", "EUR"), ("XXX {}", None), ("{} £", "GBP"),
+    ("AUS$ {}", None), ("{} USD$", "USD"), ("total {} EUR and 1 EUR", "EUR"), ("{} EUR then 9 GBP", "EUR"),
+]
+
+
+@query(f"""
+WITH m AS (SELECT o_orderkey, o_orderkey % {len(_MARKED)} AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS m FROM orders), g AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {'NULL' if c is None else repr(c)})" for i, (_, c) in enumerate(_MARKED)) + """) g(k, currency))
+SELECT o_orderkey, CASE WHEN k = 5 THEN 500 WHEN currency IS NOT NULL THEN m END AS minor, currency FROM m JOIN g USING (k)""")
 def currency_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*[F.lit(b) for b in _MARKERS])).alias("body"))
-    found = scan(each, "body", "found", TEXT)
-    return found.select("r_regionkey", "body", F.col("found.amount.value.minor_units").alias("minor"), F.col("found.amount.value.currency").alias("currency"))
+    """The orders' prices among markers of currencies; of the two numerals of the fifth text the first has the marker."""
+    before, after = (F.get(F.array(*[F.lit(t.split("{}")[side]) for t, _ in _MARKED]), (F.col("o_orderkey") % len(_MARKED)).cast("int")) for side in (0, 1))
+    each = rendered.orders(spark, sf_dir).select("o_orderkey", F.concat(before, rendered.grouped(F.col("minor"), "", "."), after).alias("body"))
+    return scan(each, "body", "found", TEXT).select("o_orderkey", F.col("found.amount.value.minor_units").alias("minor"), F.col("found.amount.value.currency").alias("currency"))
 
 
 @query("""
@@ -245,13 +268,15 @@ def bill_id_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", validate.is_bill_id(F.col("id")).alias("valid"))
 
 
-_MIMES = {"Text/HTML": "text/html", "text": None, "a/b/c": None, "/b": None, "a/": None, "a b/c": None, "a/b;c": None, "é/b": None, "application/x-Zip": "application/x-zip"}
-
-
-@query("SELECT r_regionkey, given, mime FROM region, (VALUES " + ", ".join(f"('{g}', {'NULL' if m is None else repr(m)})" for g, m in _MIMES.items()) + ") g(given, mime)")
+@query(r"""
+WITH g AS (SELECT doc_id, doc_id % 6 AS k, coalesce(source, 'x') AS s, coalesce(lang, 'y') AS l, text FROM documents)
+SELECT doc_id, CASE WHEN k < 2 THEN lower(s || '/x-' || l) END AS mime, lower(CASE WHEN regexp_full_match(text, '[!-.0-:<-~]+/[!-.0-:<-~]+') THEN text END) AS of_text FROM g""")
 def mime_type_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = F.explode(F.array(*[F.lit(g) for g in _MIMES])).alias("given")
-    return table(spark, sf_dir, "region").select("r_regionkey", given).withColumn("mime", validate.mime_type(F.col("given")))
+    """Types made of the documents' sources and languages, with a second slash, a blank, a parameter or an empty half in four of six, and their whole texts."""
+    s, lang = F.coalesce("source", F.lit("x")), F.coalesce("lang", F.lit("y"))
+    shapes = [F.concat(s, F.lit("/x-"), lang), F.upper(F.concat(s, F.lit("/x-"), lang)), F.concat(s, F.lit("/"), lang, F.lit("/z")), F.concat(s, F.lit(" /"), lang), F.concat(s, F.lit("/"), lang, F.lit("; charset=utf-8")), F.concat(s, F.lit("/"))]
+    given = F.get(F.array(*shapes), (F.col("doc_id") % 6).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", validate.mime_type(given).alias("mime"), validate.mime_type(F.col("text")).alias("of_text"))
 
 
 # Merging and escalation
@@ -365,12 +390,19 @@ _COLUMNS = ", ".join(SHOWN)
 
 @query(f"WITH {BILLS} SELECT {_COLUMNS} FROM held WHERE id = sha256('77')")
 def get_bill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bills.get(_bills(spark, sf_dir), "a88a7902cb4ef697ba0b6759c50e8c10297ff58f942243de19b984841bfe1f73").select(*SHOWN)
+    return bills.get(_stored(spark, sf_dir).read(), "a88a7902cb4ef697ba0b6759c50e8c10297ff58f942243de19b984841bfe1f73").select(*SHOWN)
 
 
 @query(f"WITH {BILLS} SELECT {_COLUMNS} FROM held WHERE id = sha256('78')")
 def find_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bills.find_by_hash(_bills(spark, sf_dir), "349c41201b62db851192665c504b350ff98c6b45fb62a8a2161f78b6534d8de9").select(*SHOWN)
+    return bills.find_by_hash(_stored(spark, sf_dir).read(), "349c41201b62db851192665c504b350ff98c6b45fb62a8a2161f78b6534d8de9").select(*SHOWN)
+
+
+@query(f"WITH {BILLS} SELECT {_COLUMNS} FROM held WHERE id IN (SELECT sha256(CAST(c_custkey AS VARCHAR)) FROM customer)")
+def probe_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored bills among many hashes at once: those of the customers' numbers."""
+    keys = table(spark, sf_dir, "customer").select(text.raw_hash(F.col("c_custkey").cast("string").cast("binary")).alias("hash"))
+    return bills.checked(among(_stored(spark, sf_dir).read(), "hash", keys)).select(*SHOWN)
 
 
 @query(f"WITH {BILLS} SELECT {_COLUMNS} FROM held")
@@ -413,8 +445,9 @@ def _changed(stored: DataFrame) -> DataFrame:
 @query(f"""WITH {BILLS} SELECT seq, id, vendor, CASE WHEN seq % 5 <> 0 THEN amount_minor END AS amount_minor, CASE WHEN seq % 5 <> 0 THEN currency END AS currency, issued, CASE WHEN seq % 5 <> 0 THEN due END AS due,
 CASE WHEN seq % 5 = 0 THEN 'needs_review' ELSE status END AS status FROM held""")
 def replace_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = _bills(spark, sf_dir)
-    return bills.replaced(stored, _changed(stored).where("seq % 5 = 0")).select(*SHOWN)
+    stored = _stored(spark, sf_dir)
+    stored.replace(_changed(stored.read()).where("seq % 5 = 0"))
+    return stored.read().select(*SHOWN)
 
 
 @query(f"""WITH {BILLS} SELECT seq, CASE WHEN seq % 9 = 0 THEN 'created' WHEN seq % 5 = 0 AND (due IS NOT NULL OR amount_minor IS NOT NULL OR status <> 'needs_review') THEN 'updated' ELSE 'unchanged' END AS outcome FROM held""")
@@ -450,13 +483,13 @@ def poll_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FACTS} SELECT o_orderkey, 'Bill ' || o_orderkey AS subject, 'Billing@Cust' || o_custkey || '.Example.COM' AS sender, CASE WHEN kind % 2 = 0 THEN c_name END AS sender_name, issued_on AS sent, kind = 7 AS is_html, 'application/octet-stream' AS mime, 'key.bin' AS filename, CAST(o_orderkey AS VARCHAR) AS attached FROM facts")
 def mime_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rendered.messages(rendered.bodies(rendered.orders(spark, sf_dir))).select(F.col("o_orderkey").cast("string").alias("id"), F.lit(b"").alias("hash"), "content").repartition(spark.sparkContext.defaultParallelism)
+    rows = rendered.messages(rendered.bodies(rendered.orders(spark, sf_dir))).select(F.col("o_orderkey").cast("string").alias("id"), F.lit(b"").alias("hash"), "content")
     d = F.col("documents")[0]
     return mime.decode(rows).select(F.col("id").cast("bigint").alias("o_orderkey"), "subject", "sender", "sender_name", F.col("date").cast("date").alias("sent"), F.col("html").isNotNull().alias("is_html"), d["mime"].alias("mime"), d["filename"].alias("filename"), d["bytes"].cast("string").alias("attached"))
 
 
 def _archived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rendered.invoices(rendered.orders(spark, sf_dir)).repartition(spark.sparkContext.defaultParallelism)
+    rows = rendered.invoices(rendered.orders(spark, sf_dir))
     return rows.withColumn("zip", rendered.zipped(F.col("xml"), F.col("kind") % 2 == 1))
 
 

@@ -26,11 +26,17 @@ def grouped(minor: Column, group: str, decimal: str) -> Column:
     return F.concat(whole, F.lit(decimal), F.lpad((minor % 100).cast("string"), 2, "0"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as there are cores, where a small file gives fewer; what is rendered from them isn't shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, kind, c_name, issued, due, minor."""
-    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    joined = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     day = F.col("o_orderdate").cast("date")
-    return joined.select("o_orderkey", (F.col("o_orderkey") % KINDS).alias("kind"), "o_custkey", "c_name", day.alias("issued"), F.date_add(day, 30).alias("due"), cents(F.col("o_totalprice")).alias("minor"))
+    return spread(joined).select("o_orderkey", (F.col("o_orderkey") % KINDS).alias("kind"), "o_custkey", "c_name", day.alias("issued"), F.date_add(day, 30).alias("due"), cents(F.col("o_totalprice")).alias("minor"))
 
 
 def bodies(rows: DataFrame) -> DataFrame:
@@ -45,7 +51,7 @@ def bodies(rows: DataFrame) -> DataFrame:
         F.concat(F.lit("Fecha: "), on(issued, "yyyy-MM-dd"), F.lit("\nTotal a pagar COP "), whole, F.lit("\nvencimiento "), on(due, "yyyy-MM-dd"), F.lit("\n")),
         F.concat(F.lit("Total: $ "), grouped(m, ",", "."), F.lit("\nDue: "), on(due, "yyyy-MM-dd"), F.lit("\n")),
         F.concat(F.lit("You paid "), grouped(m, ",", "."), F.lit(" GBP on "), on(issued, "d MMMM yyyy"), F.lit(". Thank you.\n")),
-        F.concat(F.lit("NIT 901234567-3\nFecha: "), on(issued, "dd/MM/yyyy"), F.lit("\nTotal: "), grouped(m, ".", ","), F.lit(" EUR\n")),
+        F.concat(F.lit("Contrato 44/7718\nFecha: "), on(issued, "dd/MM/yyyy"), F.lit("\nTotal: "), grouped(m, ".", ","), F.lit(" EUR\n")),
         F.lit(None).cast("string"),
     ]
     text = texts[-1]
