@@ -6,6 +6,7 @@ execution splits them over several tasks. A round ends in a checkpoint in the sh
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,16 @@ def components(links: DataFrame) -> DataFrame:
         now = checkpointed(_star(_star(now, True), False))
     # at rest every node links to its component's least node only
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links i-j over positions of ids as links of each id with its local component's least id."""
+    label = ids.copy()
+    while True:
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        if (label == before).all():
+            moved = label != ids
+            return ids[moved], label[moved]

@@ -1,10 +1,10 @@
 """Pairs of similar sets of shingles, from sketches to links that were verified on whole sets: what operators 6 and 11 share.
 
 A `Kind` says how a set is sketched, which buckets a sketch falls into and which pairs of sketches are likely to be similar. Documents of equal sets are one node.
-First each bucket's nodes are paired with its least one, which joins most of a group; then buckets that still hold nodes of several components are
-searched for what that has missed. The nodes outside a bucket's largest component meet all of the bucket in cells of bounded size, and each gives its best pairs between
-components, in rounds of four times as many while any node has more; so no group's pairs are all made, and none that may link is left out. Every likely pair is
-verified: the sets are made anew from the texts of the nodes in question and compared whole.
+First each bucket's nodes are paired with its least one, and likely pairs are verified: their sets are made anew from a text of each and compared whole. That joins most
+of a group. Then buckets that still hold nodes of several components are searched for what it has missed: the nodes outside a bucket's largest component meet all of the
+bucket in cells of bounded size. Nodes with a likely partner in another component stay, and in a second pass their cells get whole sets, in which all pairs are counted by bits.
+A cell gives at most one link for each component in it, so no group's pairs are all made, and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch, join_by_key, saved, slices, small, texts
-from tallyforge.llm.components import components
+from tallyforge.llm.common import Scratch, saved, slices, small, texts
+from tallyforge.llm.components import components, forest
 
 SEED = 11
-#: Nodes of a cell's side, and pairs that a node gives in the first round of the search; pairs that are looked at together.
-CELL, MOST, LOAD = 1024, 32, 1 << 18
+#: Nodes of a cell's side, and shingles of their sets; pairs that are looked at together, and shingles that are counted together.
+CELL, WEIGHT, LOAD, BITS = 1024, 1 << 20, 1 << 18, 1 << 13
 #: Rows of what is broadcast here, at most.
 SENT = 100_000
 
@@ -41,10 +41,10 @@ class Kind(Protocol):
         """A bucket of each table for each row of sketches (bytes)."""
 
     def likely(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-        """Of pairs of sketches and sizes, a closeness, and below zero where they can't be similar."""
+        """Of pairs of sketches and sizes, whether they may be similar."""
 
-    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, ask: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of pairs of one that asks and one that doesn't, in cells that end at `ends`, and their closeness: likely ones between components."""
+    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, ask: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the likely pairs of one that asks and one that doesn't, of two components, in cells that end at `ends`."""
 
 
 def set_of(text: str, shingle: int) -> np.ndarray:
@@ -103,9 +103,9 @@ def bucket_members(nodes: DataFrame, kind: Kind) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))], names=["node", "keys"])
 
     tabled = saved(nodes.where("n_shingles > 0").select("node", "sketch").mapInArrow(run, "node bigint, keys array<bigint>")).select("node", F.explode("keys").alias("key"))
-    shared = saved(tabled.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    met = tabled.join(F.broadcast(shared.drop("n")), "key") if shared.count() <= SENT else join_by_key(tabled, shared, "key")
-    return saved(met.select("key", "node", "hub"))
+    shared = saved(tabled.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # one row for each key there, so that adaptive execution can split the nodes of a common one
+    return saved(tabled.join(shared, "key").select("key", "node", "hub"))
 
 
 def _of_pairs(pairs: DataFrame, right: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -123,7 +123,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, kind: Kind) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 a, b = _stack(batch.column("sketch_a"), kind.size), _stack(batch.column("sketch_b"), kind.size)
-                found = kind.likely(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) >= 0
+                found = kind.likely(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
                 yield batch.select(["a", "b"]).filter(pa.array(found))
 
     # no pair whose sizes differ by more can reach the limit
@@ -169,18 +169,20 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, kind: Kind) ->
     return _of_pairs(pairs, sets, {"hashes": "hashes"}).select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def missed(met: DataFrame, nodes: DataFrame, labels: DataFrame, kind: Kind, most: int, cell: int = CELL) -> DataFrame:
-    """a, b: likely pairs between components in buckets that hold several, `most` of each node in a cell at most; more: whether it had others.
+def missed(met: DataFrame, nodes: DataFrame, labels: DataFrame, kind: Kind, cell: int = CELL) -> DataFrame:
+    """key, row, column (a cell), ask, node, component: those that have a likely partner in another component, in the cells of buckets that hold several.
     labels: node, component of linked nodes."""
-    own = met.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    held = own.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("n"))
+    sizes = nodes.select("node", F.col("n_shingles").alias("size"))
+    own = met.select("key", "node").join(labels, "node", "left").join(sizes, "node").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+    held = own.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("size").alias("w")).groupBy("key").agg(F.max(F.struct("c", "component", "w")).alias("most"), F.sum("c").alias("n"), F.sum("w").alias("w"))
+
+    def parts(n: F.Column, weight: F.Column) -> F.Column:
+        return F.ceil(F.greatest(n / cell, weight / WEIGHT)).cast("int")
+
     # of each mixed bucket: its largest component, and the parts of what is outside of it and of all
-    mixed = saved(held.where(F.col("n") > F.col("most.c")).select("key", "n", F.col("most.component").alias("largest"), F.ceil((F.col("n") - F.col("most.c")) / cell).cast("int").alias("rows"), F.ceil(F.col("n") / cell).cast("int").alias("columns")))
-    rows = saved(join_by_key(own, mixed, "key"))
-    of = rows.groupBy("node").agg(F.count("*").alias("n_of"))
-    # each node's sketch, once for each of its mixed buckets
-    known = saved(nodes.select("node", "sketch", F.col("n_shingles").alias("size")).join(of, "node")).withColumnRenamed("n_of", "n")
-    rows = join_by_key(rows, known, "node")
+    others = parts(F.col("n") - F.col("most.c"), F.col("w") - F.col("most.w"))
+    mixed = held.where(F.col("n") > F.col("most.c")).select("key", F.col("most.component").alias("largest"), others.alias("rows"), parts(F.col("n"), F.col("w")).alias("columns"))
+    rows = own.join(mixed, "key").join(nodes.select("node", "sketch"), "node")
 
     def to(parts: str) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
@@ -190,7 +192,7 @@ def missed(met: DataFrame, nodes: DataFrame, labels: DataFrame, kind: Kind, most
 
     asks = rows.where("component <> largest").select("key", part("rows").alias("row"), to("columns").alias("column"), F.lit(True).alias("ask"), "node", "component", "size", "sketch")
     all_ = rows.select("key", to("rows").alias("row"), part("columns").alias("column"), F.lit(False).alias("ask"), "node", "component", "size", "sketch")
-    cells = asks.unionByName(all_).groupBy("key", "row", "column").agg(F.collect_list(F.struct("ask", "node", "component", "size", "sketch")).alias("members")).select("members")
+    cells = asks.unionByName(all_).groupBy("key", "row", "column").agg(F.collect_list(F.struct("ask", "node", "component", "size", "sketch")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,45 +201,78 @@ def missed(met: DataFrame, nodes: DataFrame, labels: DataFrame, kind: Kind, most
             flat = column.flatten()
             ask = flat.field("ask").to_numpy(zero_copy_only=False)
             asking = np.concatenate([[0], np.cumsum(ask)])[np.concatenate([[0], ends])]
-            sizes = np.diff(asking) * (np.diff(ends, prepend=0) - np.diff(asking))
+            load = np.diff(asking) * (np.diff(ends, prepend=0) - np.diff(asking))
             # cells are looked at together until they have LOAD pairs
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // LOAD, prepend=-1)) if len(sizes) else []
+            cuts = np.flatnonzero(np.diff(np.cumsum(load) // LOAD, prepend=-1)) if len(load) else []
             for first, last in zip(cuts, [*cuts[1:], len(ends)], strict=True):
                 start = ends[first - 1] if first else 0
                 own = flat.slice(start, ends[last - 1] - start)
-                node, component, size = (own.field(c).to_numpy() for c in ("node", "component", "size"))
-                left, right, close = kind.pairs(_stack(own.field("sketch"), kind.size), size, component, ask[start : ends[last - 1]], ends[first:last] - start)
-                order = np.lexsort((node[right], -close, left))
-                left, right = left[order], right[order]
-                nth = np.arange(len(left)) - np.searchsorted(left, left)
-                kept = nth < most
-                a, b = node[left[kept]], node[right[kept]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.isin(left[kept], left[~kept]))], names=["a", "b", "more"])
+                component, size = (own.field(c).to_numpy() for c in ("component", "size"))
+                left, right = kind.pairs(_stack(own.field("sketch"), kind.size), size, component, ask[start : ends[last - 1]], ends[first:last] - start)
+                at = pa.array(np.unique(np.concatenate([left, right])))
+                of = pa.array(np.searchsorted(ends[first:last] - start, at.to_numpy(), side="right") + first)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("key", "row", "column")), *(own.field(c).take(at) for c in ("ask", "node", "component"))], names=["key", "row", "column", "ask", "node", "component"])
+
+    return cells.mapInArrow(run, "key bigint, row int, column int, ask boolean, node bigint, component bigint")
 
-    return cells.mapInArrow(run, "a bigint, b bigint, more boolean")
 
+def linking(found: DataFrame, sets: DataFrame, kind: Kind) -> DataFrame:
+    """a, b: links that connect what any two whole sets of a cell of `missed` connect."""
+    cells = found.join(sets, "node").groupBy("key", "row", "column").agg(F.collect_list(F.struct("ask", "component", "hashes")).alias("members")).select("members")
 
-def linked(docs: DataFrame, nodes: DataFrame, kind: Kind, most: int = MOST) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 16):
+                for i in range(batch.num_rows):
+                    flat = batch.column("members").slice(i, 1).flatten()
+                    component, ask = flat.field("component").to_numpy(), flat.field("ask").to_numpy(zero_copy_only=False)
+                    i, j = similar_sets([np.frombuffer(h, dtype=np.uint64) for h in flat.field("hashes").to_pylist()], component, ask, kind.similar)
+                    known, at = np.unique(component, return_inverse=True)
+                    a, b = forest(known, at[i], at[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_sets(sets: list[np.ndarray], component: np.ndarray, ask: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of one that asks and one that doesn't, of two components, whose sets reach the similarity (in hundredths). Shared hashes are numbered, and
+    counted as bits, BITS at a time."""
+    left, right, n = np.flatnonzero(ask), np.flatnonzero(~ask), np.array([len(s) for s in sets], dtype=np.int64)
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    shared = count[number] > 1
+    number, owner = (np.cumsum(count > 1) - 1)[number[shared]], owner[shared]
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    both = np.zeros((len(left), len(right)), dtype=np.int64)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, BITS):
+        s, e = np.searchsorted(number, at), np.searchsorted(number, at + BITS)
+        bits = np.zeros((len(sets), BITS), dtype=bool)
+        bits[owner[s:e], number[s:e] - at] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        words = words[:, : -(-int(number[e - 1] - at + 1) // 64)]
+        others = np.ascontiguousarray(words[right])
+        for k, i in enumerate(left.tolist()):
+            both[k] += np.bitwise_count(others & words[i]).sum(axis=1, dtype=np.int64)
+    reached = (100 * both >= similar * (n[left][:, None] + n[right][None, :] - both)) & (component[left][:, None] != component[right][None, :])
+    i, j = np.nonzero(reached)
+    return left[i], right[j]
+
+
+def linked(docs: DataFrame, nodes: DataFrame, kind: Kind) -> DataFrame:
     """node, component of the nodes that are linked with others."""
     scratch = Scratch(docs.sparkSession)
     met = bucket_members(nodes, kind)
     stars = met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tested = scratch.saved(likely(stars, nodes, kind))
-    links = scratch.saved(verified(docs, tested, nodes, kind))
+    links = scratch.saved(verified(docs, scratch.saved(likely(stars, nodes, kind)), nodes, kind))
     labels = scratch.saved(components(links))
-    while True:
-        found = scratch.saved(missed(met, nodes, labels, kind, most))
-        new = scratch.saved(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        more = found.where("more").limit(1).count()
-        if new.limit(1).count():
-            linking = scratch.saved(verified(docs, new, nodes, kind))
-            tested = scratch.saved(tested.unionByName(new))
-            if linking.limit(1).count():
-                # what was connected is so by its labels
-                labels = scratch.saved(components(linking.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-        if not more:
-            return labels
-        most *= 4
+    found = scratch.saved(missed(met, nodes, labels, kind))
+    if not found.limit(1).count():
+        return labels
+    sets = scratch.saved(sets_of(docs, nodes.join(found.select("node").distinct(), "node", "left_semi"), kind))
+    more = linking(found, sets, kind)
+    # what was connected is so by its labels
+    return components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def between(sizes: np.ndarray, component: np.ndarray, ask: np.ndarray, ends: np.ndarray, similar: int, load: int = LOAD) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -65,18 +65,14 @@ class SetSketch:
 
     def likely(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
         more, less = np.count_nonzero(a > b, axis=1), np.count_nonzero(a < b, axis=1)
-        equal, u, v = self.size - more - less, n_a / (n_a + n_b), n_b / (n_a + n_b)
-        # the likelihood has one maximum, so its slope tells on which side of the bound the estimate is
-        close = np.full(len(more), -1.0)
-        at = np.flatnonzero(slope(np.full(len(more), self.bound), more, less, equal, u, v) >= 0)
-        close[at] = np.maximum(0.0, estimate(more[at], less[at], equal[at], n_a[at], n_b[at]) - self.bound)
-        return close
-
-    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, ask: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        # the likelihood has one maximum, so its slope at the bound tells on which side the estimate is
+        return slope(np.full(len(more), self.bound), more, less, self.size - more - less, n_a / (n_a + n_b), n_b / (n_a + n_b)) >= 0
+
+    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, ask: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
         for i, j in between(sizes, component, ask, ends, self.similar):
             close = self.likely(sketches[i], sketches[j], sizes[i], sizes[j])
-            out.append((i[close >= 0], j[close >= 0], close[close >= 0]))
+            out.append((i[close], j[close]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from tallyforge.llm.common import WORD, join_by_key, saved, slices, small, texts
-from tallyforge.llm.components import components
+from tallyforge.llm.components import components, forest
 from tallyforge.llm.neighbours import linked, nodes_of, sketched
 
 SEED = 42
@@ -102,15 +102,14 @@ class Similar:
         return out * np.int64(-7046029254386353131) + np.arange(tables) * np.int64(0x2545F4914F6CDD1D)
 
     def likely(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-        return self.radius - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= self.radius
 
-    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, ask: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(self, sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, ask: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By the bit-sliced comparison of those that ask with all of their cell."""
         words = sketches.view("<u8").astype(np.uint64)
         i, j = close_pairs(np.split(words, ends[:-1]), self.radius, ask)
         fits = ~ask[j] & (component[i] != component[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= self.similar * np.maximum(sizes[i], sizes[j]))
-        i, j = i[fits], j[fits]
-        return i, j, self.likely(sketches[i], sketches[j], sizes[i], sizes[j])
+        return i[fits], j[fits]
 
 
 def more_words(h: np.ndarray, words: int) -> np.ndarray:
@@ -255,19 +254,6 @@ def connecting(groups: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.nd
     return np.concatenate([i, more_i]), np.concatenate([j, more_j])
 
 
-def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links i-j over positions of ids as links of each id with its local component's least id."""
-    label = ids.copy()
-    while True:
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        if (label == before).all():
-            moved = label != ids
-            return ids[moved], label[moved]
-
-
 def links(reps: DataFrame, kind: Exact = Exact(), cell: int = CELL) -> DataFrame:
     """reps: fp, rep (distinct fp, an id of each). Returns a, b: links of ids that connect whatever lies within the radius."""
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

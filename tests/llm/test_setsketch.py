@@ -85,13 +85,13 @@ def test_five_words(spark):
 
 
 def test_a_large_group_of_near_copies_in_small_cells(spark, monkeypatch):
-    """Near copies of which many aren't linked to their bucket's first: cells of few nodes, one pair a node and round."""
+    """Near copies of which many aren't linked to their bucket's first: cells of few nodes, and sets counted in many parts."""
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(100)]
-    rows = [(i, " ".join(edited(rng, base, int(rng.integers(2, 9))))) for i in range(400)]
+    rows = [(i, " ".join(edited(rng, base, int(rng.integers(2, 16))))) for i in range(400)]
     whole = neighbours.missed
     monkeypatch.setattr(neighbours, "missed", lambda *a: whole(*a, cell=32))
-    monkeypatch.setattr(neighbours.linked, "__defaults__", (1,))
+    monkeypatch.setattr(neighbours, "BITS", 64)
     assert ordered(setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()) == brute(rows)
 
 
@@ -144,3 +144,15 @@ def test_pairs_at_the_limit_share_a_band():
             keys = kind.keys(np.stack([setsketch.registers(a, kind.size), setsketch.registers(b, kind.size)]))
             met += (keys[0] == keys[1]).any()
         assert met == 300
+
+
+def test_similar_sets_are_all_of_them():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(400) < 0.95], rng.integers(0, 2**63, int(rng.integers(0, 90)), dtype=np.uint64)])) for _ in range(60)]
+    component, ask = rng.integers(0, 9, 60), rng.random(60) < 0.5
+    i, j = neighbours.similar_sets(sets, component, ask, 80)
+    alike = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    expected = {(x, y) for x in range(60) for y in range(60) if ask[x] and not ask[y] and component[x] != component[y] and alike(sets[x], sets[y])}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == expected and expected
+    assert [len(x) for x in neighbours.similar_sets([np.zeros(0, np.uint64)] * 2, np.arange(2), np.array([True, False]), 80)] == [1, 1]
