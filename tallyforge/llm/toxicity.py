@@ -1,12 +1,14 @@
 """Operator 4: toxicity by nearest labelled examples, exact TF-IDF cosine over a block-max inverted index.
 
 Examples are a bounded, seeded sample of the labelled rows that aren't held out, as many of either class as there
-are, up to PER_CLASS. Terms are all words of the examples. A word weighs its idf times 1 + its chi-squared against the
-label over the examples, so that what tells the classes apart counts most and no word is without weight. The index
+are, up to PER_CLASS. Terms are all words of the examples, and their vectors are plain TF-IDF: (1 + log tf) * (log((n + 1) / (df + 1)) + 1), of length one. The index
 is sparse: the postings of blocks of BLOCK examples and each term's largest weight in each block that has it. A
 text's blocks are visited in descending bound, and the rest is skipped once the bound is below the kth cosine, so
-the neighbours are exact. Neighbours vote with weights that fall with distance; isotonic regression of
-leave-one-out votes, weighted to the classes' true rates, calibrates the votes.
+the neighbours are exact. Neighbours vote with weights that fall with distance.
+
+Calibration joins the vote with a second feature, the text's mark: by how much the log odds of any of its words for the toxic class, among the examples, are at most
+above SURE standard errors. Logistic regression weighs the vote's log odds and the mark, and isotonic regression turns their sum into a rate; both are fitted on
+leave-one-out votes and marks, weighted to the classes' true rates. The vote alone is a column of its own.
 
 Null and empty texts, and texts without a word of any example, get the calibrated rate of such examples. Equal cosines go
 to the example earlier in the index. Without examples of both classes every score is the rate of toxic labels,
@@ -34,6 +36,8 @@ BLOCK = 64
 K = 15
 THRESHOLD = 0.3
 EVIDENCE = 5
+#: Standard errors that a word's log odds must exceed to be a mark.
+SURE = 2.0
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -78,6 +82,9 @@ class Index:
     largest: np.ndarray
     first: np.ndarray
     end: np.ndarray
+    marks: np.ndarray
+    #: What the vote's log odds and the mark weigh, and what is added.
+    mix: np.ndarray | None = None
     votes: np.ndarray | None = None
     rates: np.ndarray | None = None
     rate: float = 0.0
@@ -141,10 +148,40 @@ class Index:
         w = 1 / (1.05 - np.minimum(cosine, 1.0))
         return float((w @ self.toxic[at] + 0.5) / (w.sum() + 1.0))
 
-    def score(self, at: np.ndarray, cosine: np.ndarray) -> float:
+    def score(self, terms: np.ndarray, at: np.ndarray, cosine: np.ndarray) -> float:
+        """The calibrated rate of a text of these terms and neighbours."""
         if self.votes is None:
             return self.rate
-        return float(np.interp(self.vote(at, cosine), self.votes, self.rates)) if len(at) else self.none
+        return float(np.interp(features(self.vote(at, cosine), self.marks[terms].max(initial=0.0)) @ self.mix, self.votes, self.rates)) if len(at) else self.none
+
+
+def features(vote: float, mark: float) -> np.ndarray:
+    return np.array([np.log(vote / (1 - vote)), mark, 1.0])
+
+
+def marked(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """By how much the log odds of words in a of n1 toxic and b of n0 other examples exceed SURE standard errors; zero if they don't."""
+    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+    return np.maximum(0.0, odds - SURE * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Weights of the columns of x by Newton's method; those of all but the last one aren't negative."""
+    w, beta = w / w.sum(), np.zeros(x.shape[1])
+    used = np.ones(x.shape[1], dtype=bool)
+    while True:
+        beta[:] = 0.0
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            grad = x[:, used].T @ (w * (y - p)) - ridge * beta[used]
+            step = np.linalg.solve((x[:, used].T * (w * p * (1 - p))) @ x[:, used] + ridge * np.eye(used.sum()), grad)
+            beta[used] += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-9:
+                break
+        below = used & (beta < 0) & (np.arange(len(beta)) < len(beta) - 1)
+        if not below.any():
+            return beta
+        used &= ~below
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +205,7 @@ def build(examples: list[tuple[int, int, dict[str, int]]], rate: float) -> Index
     n0 = len(examples) - n1
     both, a = np.array([df[t] for t in vocabulary], dtype=float), np.array([toxic_df[t] for t in vocabulary], dtype=float)
     b = both - a
-    chi = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1.0, both * (n1 + n0 - both) * n1 * n0)
-    weights = (np.log((len(examples) + 1) / (both + 1)) + 1) * (1 + chi)
+    weights = np.log((len(examples) + 1) / (both + 1)) + 1
     # like examples stand together, so that a block's bounds are tight
     examples = sorted(examples, key=lambda e: (min(((-(1 + np.log(c)) * weights[vocabulary[t]], t) for t, c in e[2].items()), default=(0.0, "")), e[0]))
     blocks, own = max(1, -(-len(examples) // BLOCK)), []
@@ -189,23 +225,26 @@ def build(examples: list[tuple[int, int, dict[str, int]]], rate: float) -> Index
     of_term = np.searchsorted((cells % max(1, len(vocabulary)))[by_term], np.arange(len(vocabulary) + 1))
     index = Index(
         vocabulary, weights, np.array([e[0] for e in examples], dtype=np.int64), np.array([e[1] for e in examples], dtype=float), Starts(cells, offsets, blocks, len(vocabulary)), positions, values,
-        of_term, (cells // max(1, len(vocabulary)))[by_term], largest[by_term], offsets[:-1][by_term], offsets[1:][by_term], rate=rate,
+        of_term, (cells // max(1, len(vocabulary)))[by_term], largest[by_term], offsets[:-1][by_term], offsets[1:][by_term], marked(a, b, n1, n0), rate=rate,
     )
     if not n1 or not n0 or not vocabulary:
         return index
     share = np.where(index.toxic == 1, rate / n1, (1 - rate) / n0)
-    votes, without = np.full(len(examples), np.nan), np.zeros(len(examples), dtype=bool)
-    for i in range(len(examples)):
+    x, without = np.zeros((len(examples), 3)), np.zeros(len(examples), dtype=bool)
+    for i, (_, y, _) in enumerate(examples):
         found = index.nearest(*own[i], K, without=i)
         without[i] = not len(found[0])
         if not without[i]:
-            votes[i] = index.vote(*found)
+            # the words' counts without this example
+            t = own[i][0]
+            x[i] = features(index.vote(*found), marked(a[t] - y, b[t] - (1 - y), n1 - y, n0 - (1 - y)).max(initial=0.0))
     if without.any():
         index.none = float((share[without] @ index.toxic[without] + 0.5 * share.mean()) / (share[without].sum() + share.mean()))
     else:
         index.none = rate
     if (~without).any():
-        index.votes, index.rates = isotonic(votes[~without], index.toxic[~without], share[~without])
+        index.mix = logistic(x[~without], index.toxic[~without], share[~without])
+        index.votes, index.rates = isotonic(x[~without] @ index.mix, index.toxic[~without], share[~without])
     return index
 
 
@@ -235,18 +274,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ind
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) of each row of docs. No shuffle of docs."""
+    """doc_id, held_out, score, predicted, vote (of the neighbours alone, null without any), evidence (ids of the nearest examples) of each row of docs. No shuffle of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for whole in batches:
             for batch in slices(whole):
-                found = [index.nearest(*index.vector(t), K) for t in texts(batch)]
-                scores = np.array([index.score(*f) for f in found])
+                given = [index.vector(t) for t in texts(batch)]
+                found = [index.nearest(*v, K) for v in given]
+                scores = np.array([index.score(v[0], *f) for v, f in zip(given, found, strict=True)])
+                votes = [index.vote(*f) if len(f[0]) else None for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array([index.ids[f[0][:EVIDENCE]].tolist() for f in found], pa.list_(pa.int64()))],
-                    names=["doc_id", "held_out", "score", "predicted", "evidence"],
+                    [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(votes, pa.float64()), pa.array([index.ids[f[0][:EVIDENCE]].tolist() for f in found], pa.list_(pa.int64()))],
+                    names=["doc_id", "held_out", "score", "predicted", "vote", "evidence"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", is_held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, evidence array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", is_held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, vote double, evidence array<bigint>")

@@ -309,7 +309,7 @@ def test_texts_of_the_stated_similarity_meet_in_a_table():
         assert 55 <= kind.radius <= 57
         for _ in range(tried):
             sketches = np.stack([np.frombuffer(kind.sketch(set_of(t, 5)), dtype=np.uint8) for t in pair_of_similarity(rng, 0.8)])
-            near += kind.likely(sketches[:1], sketches[1:], None, None)[0] >= 0
+            near += kind.likely(sketches[:1], sketches[1:], None, None)[0]
             met += (kind.keys(sketches)[0] == kind.keys(sketches)[1]).any()
         assert near >= 0.97 * tried and met >= 0.97 * tried
 
@@ -595,8 +595,7 @@ def test_scores_equal_a_plain_model(spark):
     weight = {}
     for w in vocabulary:
         a, b = (sum(w in count[i] for i, (y, _) in examples.items() if y == c) for c in (1, 0))
-        chi = n * (a * (n - n1 - b) - b * (n1 - a)) ** 2 / max(1, (a + b) * (n - a - b) * n1 * (n - n1))
-        weight[w] = (np.log((n + 1) / (a + b + 1)) + 1) * (1 + chi)
+        weight[w] = np.log((n + 1) / (a + b + 1)) + 1
 
     def vector(i):
         v = {w: (1 + np.log(c)) * weight[w] for w, c in count[i].items() if w in weight}
@@ -615,6 +614,19 @@ def test_scores_equal_a_plain_model(spark):
         w = [(1 / (1.05 - min(c, 1.0)), examples[e][0]) for c, e in near[: toxicity.K]]
         return (sum(x * y for x, y in w) + 0.5) / (sum(x for x, _ in w) + 1) if w else np.nan
 
+    def mark(i, without=()):
+        """The most by which a word's log odds exceed two standard errors."""
+        most, own = 0.0, {e: v for e, v in examples.items() if e not in without}
+        n1_ = sum(y for y, _ in own.values())
+        for w in count[i]:
+            a, b = (sum(w in count[e] for e, (y, _) in own.items() if y == c) for c in (1, 0))
+            if w in weight:
+                most = max(most, np.log((a + 0.5) / (n1_ + 1)) - np.log((b + 0.5) / (len(own) - n1_ + 1)) - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+        return most
+
+    def joined(v, i, without=()):
+        return index.mix @ [np.log(v / (1 - v)), mark(i, without), 1]
+
     index = toxicity.train(docs, labels)
     assert {w: index.weights[t] for w, t in index.vocabulary.items()} == pytest.approx(weight)
     got, seen = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}, 0
@@ -623,15 +635,28 @@ def test_scores_equal_a_plain_model(spark):
         assert got[i].held_out == (i not in examples) and got[i].predicted == int(got[i].score >= 0.3)
         if v is not None:
             seen += 1
-            assert got[i].score == pytest.approx(index.none if np.isnan(v) else np.interp(v, index.votes, index.rates))
+            assert got[i].vote is None if np.isnan(v) else got[i].vote == pytest.approx(v)
+            assert got[i].score == pytest.approx(index.none if np.isnan(v) else np.interp(joined(v, i), index.votes, index.rates))
     assert seen > 100
-    # the calibration: pooled adjacent violators of the leave-one-out votes, weighted to the classes' rates
+    # the calibration: logistic and isotonic regression of the leave-one-out votes and marks, weighted to the classes' rates
     rate = n1 / n
     votes = {int(e): index.vote(*index.nearest(*index.vector(rows_[int(e)][1]), toxicity.K, without=at)) for at, e in enumerate(index.ids) if unit[int(e)]}
     assert all(v == pytest.approx(x) for e, v in votes.items() if (x := vote(e, (e,))) is not None and not np.isnan(x))
-    points = sorted((v, examples[e][0], rate / n1 if examples[e][0] else (1 - rate) / (n - n1)) for e, v in votes.items())
+    points = sorted((joined(v, e, (e,)), examples[e][0], rate / n1 if examples[e][0] else (1 - rate) / (n - n1), np.log(v / (1 - v)), mark(e, (e,))) for e, v in votes.items())
+    x, y, w = np.array([[p[3], p[4], 1] for p in points]), np.array([p[1] for p in points]), np.array([p[2] for p in points])
+    loss = lambda beta: -(w / w.sum()) @ (y * (x @ beta) - np.logaddexp(0, x @ beta)) + 5e-4 * (beta @ beta)
+    assert (index.mix[:2] >= 0).all() and all(loss(index.mix) <= loss(index.mix + d) + 1e-12 for k in range(3) for d in (np.eye(3)[k] * 0.01, np.eye(3)[k] * (-0.01 if index.mix[k] > 0.01 or k == 2 else 0)))
     fit = index.rates
-    assert (np.diff(index.votes) >= 0).all() and np.mean([y for v, y, _ in points if v >= np.median([p[0] for p in points])]) > rate and fit[-1] > fit[0]
+    assert index.votes.min() >= points[0][0] - 1e-9 and index.votes.max() <= points[-1][0] + 1e-9
+    assert (np.diff(index.votes) >= 0).all() and np.mean([p[1] for p in points if p[0] >= np.median([p[0] for p in points])]) > rate and fit[-1] > fit[0]
+    # pools are means of the plain fit
+    value = []
+    for at, _y, _w, *_ in points:
+        value.append([_w * _y, _w, _w * at])
+        while len(value) > 1 and value[-2][0] * value[-1][1] >= value[-1][0] * value[-2][1]:
+            last = value.pop()
+            value[-1] = [p + q for p, q in zip(value[-1], last, strict=True)]
+    assert index.votes == pytest.approx([v[2] / v[1] for v in value]) and index.rates == pytest.approx([(v[0] + 0.5 * w.mean()) / (v[1] + w.mean()) for v in value])
 
 
 def test_toxicity_of_held_out_documents(spark):
