@@ -152,16 +152,16 @@ def amount_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A text around a numeral, and the currency that it has by its markers.
 _MARKED = [
-    ("COP$ {}", "COP"), ("US${}", "USD"), ("$ {} USD", "USD"), ("$ {}", None), ("EUR {} THE", None), ("5USD {}", "USD"), ("{} USD5", None), ("éUS$ {}", None), ("A€ {}", "EUR"), ("XXX {}", None), ("{} £", "GBP"),
+    ("COP$ {}", "COP"), ("US${}", "USD"), ("$ {} USD", "USD"), ("$ {}", None), ("EUR {} THE", None), ("5USD {}", "USD"), ("{} USD5", "USD"), ("éUS$ {}", None), ("A€ {}", "EUR"), ("XXX {}", None), ("{} £", "GBP"),
     ("AUS$ {}", None), ("{} USD$", "USD"), ("total {} EUR and 1 EUR", "EUR"), ("{} EUR then 9 GBP", "EUR"),
 ]
 
 
 @query(f"""
 WITH m AS (SELECT o_orderkey, o_orderkey % {len(_MARKED)} AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS m FROM orders), g AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {'NULL' if c is None else repr(c)})" for i, (_, c) in enumerate(_MARKED)) + """) g(k, currency))
-SELECT o_orderkey, CASE WHEN k = 5 THEN 500 WHEN currency IS NOT NULL THEN m END AS minor, currency FROM m JOIN g USING (k)""")
+SELECT o_orderkey, CASE WHEN k IN (5, 6) THEN 500 WHEN currency IS NOT NULL THEN m END AS minor, currency FROM m JOIN g USING (k)""")
 def currency_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders' prices among markers of currencies; of the two numerals of the fifth text the first has the marker."""
+    """The orders' prices among markers of currencies; where a marker stands at a 5 without a blank, the 5 has it."""
     before, after = (F.get(F.array(*[F.lit(t.split("{}")[side]) for t, _ in _MARKED]), (F.col("o_orderkey") % len(_MARKED)).cast("int")) for side in (0, 1))
     each = rendered.orders(spark, sf_dir).select("o_orderkey", F.concat(before, rendered.grouped(F.col("minor"), "", "."), after).alias("body"))
     return scan(each, "body", "found", TEXT).select("o_orderkey", F.col("found.amount.value.minor_units").alias("minor"), F.col("found.amount.value.currency").alias("currency"))
