@@ -93,16 +93,25 @@ def nodes_of(marked: DataFrame, *more: F.Column) -> DataFrame:
     return saved(grouped.withColumns({"node": F.monotonically_increasing_id(), "rep_id": F.col("rep.doc_id"), "rep_hash": F.col("rep.text_hash")}).drop("rep"))
 
 
-def bucket_members(nodes: DataFrame, kind: Kind) -> DataFrame:
-    """key, node, hub (the bucket's least node) of each node in a bucket with others."""
+def bucketed(nodes: DataFrame, kind: Kind) -> DataFrame:
+    """node, keys (a bucket of each table), sketch of each set with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1024):
                 keys = kind.keys(_stack(batch.column("sketch"), kind.size))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))], names=["node", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel())), batch.column("sketch")], names=["node", "keys", "sketch"])
+
+    return saved(nodes.where("n_shingles > 0").select("node", "sketch").mapInArrow(run, "node bigint, keys array<bigint>, sketch binary"))
+
+
+def bucket_members(nodes: DataFrame, kind: Kind) -> DataFrame:
+    """key, node, hub (the bucket's least node) of each node in a bucket with others."""
+    return with_hubs(bucketed(nodes, kind).select("node", F.explode("keys").alias("key")))
+
 
-    tabled = saved(nodes.where("n_shingles > 0").select("node", "sketch").mapInArrow(run, "node bigint, keys array<bigint>")).select("node", F.explode("keys").alias("key"))
+def with_hubs(tabled: DataFrame) -> DataFrame:
+    """tabled (key, node) with the least node of each bucket, where that isn't alone."""
     shared = saved(tabled.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"))
     # one row for each key there, so that adaptive execution can split the nodes of a common one
     return saved(tabled.join(shared, "key").select("key", "node", "hub"))
@@ -259,10 +268,10 @@ def similar_sets(sets: list[np.ndarray], component: np.ndarray, ask: np.ndarray,
     return left[i], right[j]
 
 
-def linked(docs: DataFrame, nodes: DataFrame, kind: Kind) -> DataFrame:
-    """node, component of the nodes that are linked with others."""
+def linked(docs: DataFrame, nodes: DataFrame, kind: Kind, met: DataFrame | None = None) -> DataFrame:
+    """node, component of the nodes that are linked with others. met: key, node, hub of the buckets' nodes, as `bucket_members` gives them."""
     scratch = Scratch(docs.sparkSession)
-    met = bucket_members(nodes, kind)
+    met = bucket_members(nodes, kind) if met is None else met
     stars = met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = scratch.saved(verified(docs, scratch.saved(likely(stars, nodes, kind)), nodes, kind))
     labels = scratch.saved(components(links))

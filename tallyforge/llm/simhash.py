@@ -34,7 +34,7 @@ from pyspark.sql.types import MapType
 
 from tallyforge.llm.common import WORD, join_by_key, saved, slices, small, texts
 from tallyforge.llm.components import components, forest
-from tallyforge.llm.neighbours import linked, nodes_of, sketched
+from tallyforge.llm.neighbours import bucketed, linked, nodes_of, sketched, with_hubs
 
 SEED = 42
 #: Fingerprints of a part of a bucket; a cell has two parts at most.
@@ -65,7 +65,7 @@ class Similar:
     words: int = 4
     similar: int = 80
     #: The probability that two sets of just that similarity share a bucket, and the number of fingerprints.
-    found: float = 0.999
+    found: float = 0.99
     n: int = 1
 
     @property
@@ -304,6 +304,35 @@ def near_duplicates(docs: DataFrame, kind: Exact = Exact()) -> DataFrame:
     return join_by_key(marked, saved(classes), "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def near_in_buckets(nodes: DataFrame, kind: Similar, cell: int = CELL) -> DataFrame:
+    """key, node, hub of the nodes that have another one within the radius in their bucket, by the bit-sliced comparison of all nodes of each bucket in cells. Buckets are coarse,
+    so most of their nodes are there by chance."""
+    tabled = bucketed(nodes, kind)
+    large = tabled.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    large = saved(large.select("key", F.ceil(F.col("n") / cell).cast("int").alias("of")))
+    met = tabled.select("node", "sketch", F.explode("keys").alias("key")).join(small(large, 100_000), "key", "left").withColumn("parts", F.coalesce("of", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    celled = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "sketch")
+    cells = celled.groupBy("key", "low", "high").agg(F.collect_list(F.struct("node", "sketch")).alias("members")).where(F.size("members") > 1).select("key", "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("members")
+            ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            flat, sizes = column.flatten(), np.diff(ends, prepend=0)
+            # cells are compared together until they have so many words of candidates
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes * (1 + sizes // 64)) // 100_000, prepend=-1)) if len(sizes) else []
+            for first, last in zip(cuts, [*cuts[1:], len(ends)], strict=True):
+                start = ends[first - 1] if first else 0
+                own = flat.slice(start, ends[last - 1] - start)
+                words = np.frombuffer(b"".join(own.field("sketch").to_pylist()), dtype="<u8").astype(np.uint64).reshape(-1, kind.words)
+                at = np.unique(np.concatenate(close_pairs(np.split(words, ends[first : last - 1] - start), kind.radius)))
+                of = np.searchsorted(ends[first:last] - start, at, side="right") + first
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), own.field("node").take(pa.array(at))], names=["key", "node"])
+
+    return with_hubs(saved(cells.mapInArrow(run, "key bigint, node bigint").distinct()))
+
+
 def first_of_groups(docs: DataFrame, kind: Similar = Similar()) -> DataFrame:
     """One row of docs for each group of documents that are linked by a similarity of their sets of shingles, all columns as they were: that of the least doc_id, any
     id before none, then of the least hash of the row. Texts without a word are one group.
@@ -317,7 +346,7 @@ def first_of_groups(docs: DataFrame, kind: Similar = Similar()) -> DataFrame:
     keyed = docs.withColumns({key[0]: F.xxhash64(*plain), key[1]: F.xxhash64(F.lit(SEED), *reversed(plain))})
     marked = saved(sketched(keyed, kind, *key))
     nodes = nodes_of(marked, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)).alias("first"))
-    grouped = nodes.join(linked(docs, nodes, kind), "node", "left")
+    grouped = nodes.join(linked(docs, nodes, kind, near_in_buckets(nodes, kind)), "node", "left")
     first = grouped.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select(*(F.col(f"first.{k}").alias(k) for k in key))
     # the rows' key is the join's, so the texts are shuffled once
     return keyed.dropDuplicates(key).join(first, key, "left_semi").select(*docs.columns)
