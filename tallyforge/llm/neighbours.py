@@ -226,8 +226,10 @@ def missed(met: DataFrame, nodes: DataFrame, labels: DataFrame, kind: Kind, cell
 
 
 def linking(found: DataFrame, sets: DataFrame, kind: Kind) -> DataFrame:
-    """a, b: links that connect what any two whole sets of a cell of `missed` connect."""
-    cells = found.join(sets, "node").groupBy("key", "row", "column").agg(F.collect_list(F.struct("ask", "component", "hashes")).alias("members")).select("members")
+    """a, b: links that connect what any two whole sets of a cell of `missed` connect. Cells of the same nodes, of which tables make many, are one before sets are joined to them."""
+    alike = found.groupBy("key", "row", "column").agg(F.sort_array(F.collect_list(F.struct("ask", "node", "component"))).alias("members")).select("members").distinct()
+    told = saved(alike.select(F.monotonically_increasing_id().alias("cell"), "members")).select("cell", F.explode("members").alias("m")).select("cell", "m.*")
+    cells = told.join(sets, "node").groupBy("cell").agg(F.collect_list(F.struct("ask", "component", "hashes")).alias("members")).select("members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -321,7 +321,7 @@ def near_in_buckets(nodes: DataFrame, kind: Similar, cell: int = CELL) -> DataFr
             ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
             flat, sizes = column.flatten(), np.diff(ends, prepend=0)
             # cells are compared together until they have so many words of candidates
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes * (1 + sizes // 64)) // 100_000, prepend=-1)) if len(sizes) else []
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes * (1 + sizes // 64)) // 25_000, prepend=-1)) if len(sizes) else []
             for first, last in zip(cuts, [*cuts[1:], len(ends)], strict=True):
                 start = ends[first - 1] if first else 0
                 own = flat.slice(start, ends[last - 1] - start)
