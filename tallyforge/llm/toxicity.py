@@ -33,6 +33,8 @@ from tallyforge.llm.common import is_held_out, least_hashed, slices, texts
 
 PER_CLASS = 2048
 BLOCK = 64
+#: Blocks that a text looks at first, and how many times as many each next time: few steps, as a step costs about what a few blocks do.
+FIRST, GROWTH = 8, 16
 K = 15
 THRESHOLD = 0.3
 EVIDENCE = 5
@@ -112,7 +114,7 @@ class Index:
         cell, of = ranges(self.of_term[terms], self.of_term[terms + 1])
         block, w = self.block[cell], weights[of]
         bound = np.bincount(block, weights=w * self.largest[cell], minlength=len(self.starts))
-        order, done, step = np.argsort(-bound, kind="stable"), 0, 2
+        order, done, step = np.argsort(-bound, kind="stable"), 0, FIRST
         # the cells in the order of their blocks, so that each step takes a run of them
         rank = np.empty(len(order), dtype=np.int16 if len(order) < 1 << 15 else np.int64)
         rank[order] = np.arange(len(order))
@@ -130,7 +132,7 @@ class Index:
             if not len(now):
                 break
             own = slice(begin[done], begin[done + len(now)])
-            done, step = done + step, 2 * step
+            done, step = done + step, GROWTH * step
             last = np.cumsum(n[own])
             place = np.repeat(first[own] - last + n[own], n[own]) + np.arange(last[-1])
             score = np.bincount(self.positions[place], weights=self.values[place] * np.repeat(w[own], n[own]), minlength=BLOCK * len(bound))
