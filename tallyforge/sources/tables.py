@@ -163,7 +163,8 @@ class BillTable:
 
         def make(seen: list[File]) -> tuple[list[File], list[File]]:
             stored = self._rows(seen)
-            held = among(stored, "id", updates).select("id", F.col("_metadata.file_path").alias("at") if seen else F.lit("").alias("at"))
+            # a join has no _metadata, so the place comes before it
+            held = among(stored.select("id", F.col("_metadata.file_path").alias("at") if seen else F.lit("").alias("at")), "id", updates)
             if updates.join(held, "id", "left_anti").limit(1).count():
                 raise LookupError("no such bill")
             names = {r.at.rpartition("/data/")[2] for r in held.select("at").distinct().collect()}

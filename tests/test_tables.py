@@ -85,6 +85,19 @@ def test_replacing_leaves_other_files(spark, wide, tmp_path):
     assert wide.version() == version
 
 
+def test_replacing_more_bills_than_a_filter_takes(spark, tmp_path):
+    table = BillTable(spark, str(tmp_path / "t"))
+    table.write(rows_of(spark, range(1, 2 * tables.PROBED + 3)))
+    table.replace(table.read().where("seq % 2 = 0").withColumn("vendor", F.lit("w")))
+    got = table.read()
+    assert got.where("vendor = 'w'").count() == tables.PROBED + 1 == got.where("seq % 2 = 0 AND vendor = 'w'").count()
+    assert got.count() == 2 * tables.PROBED + 2 == got.select("id").distinct().count()
+    version = table.version()
+    with pytest.raises(LookupError):
+        table.replace(got.withColumn("id", F.when(F.col("seq") == 1, "0" * 64).otherwise(F.col("id"))))
+    assert table.version() == version and sorted(r.vendor for r in table.read().where("seq < 5").collect()) == ["v", "v", "w", "w"]
+
+
 def test_appends_and_whole_writes(spark, tmp_path):
     table = BillTable(spark, str(tmp_path / "t"))
     assert table.append(rows_of(spark, [1])).count() == 1
