@@ -131,7 +131,8 @@ def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
     patterns = ["yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "d MMM yyyy", "d MMMM yyyy", "MMMM d, yyyy"]
     shapes = F.array(*[F.struct(F.lit(i).alias("shape"), F.concat(F.lit("on "), F.upper(F.date_format(day, p)) if i == 3 else F.date_format(day, p), F.lit(".")).alias("text")) for i, p in enumerate(patterns)])
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(shapes).alias("s")).select("o_orderkey", "s.shape", "s.text")
+    given = table(spark, sf_dir, "orders")
+    o = rendered.spread(given, given.count() * len(patterns)).select("o_orderkey", F.explode(shapes).alias("s")).select("o_orderkey", "s.shape", "s.text")
     return scan(o, "text", "found", TEXT).select("o_orderkey", "shape", F.col("found.issued.value").alias("day"))
 
 
@@ -495,9 +496,7 @@ def _archived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FACTS} SELECT o_orderkey, name, true AS sound FROM facts, (VALUES ('folder/note.txt'), ('folder/bill.XML')) n(name)")
 def zip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive.register(spark)
-    _archived(spark, sf_dir).createOrReplaceTempView("archived_bills")
-    read = spark.sql("SELECT o_orderkey, xml, name, bytes FROM archived_bills, LATERAL unzip(zip)")
+    read = archive.unzipped(_archived(spark, sf_dir).select("o_orderkey", "xml", "zip"), "zip")
     sound = F.when(F.col("name") == "folder/note.txt", F.col("bytes").cast("string") == "note").otherwise(F.col("bytes").cast("string") == F.col("xml"))
     return read.select("o_orderkey", "name", sound.alias("sound"))
 

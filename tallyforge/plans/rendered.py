@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = 8
+#: Rows of a task, at most.
+ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,17 +31,17 @@ def grouped(minor: Column, group: str, decimal: str) -> Column:
     return F.concat(whole, F.lit(decimal), F.lpad((minor % 100).cast("string"), 2, "0"))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows in as many partitions as there are cores, where a small file gives fewer; what is rendered from them isn't shuffled."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+def spread(rows: DataFrame, n: int) -> DataFrame:
+    """rows, of which there are about n, dealt out to tasks of ROWS, one a core at least: what is rendered from them takes much longer than their bytes tell, and isn't shuffled."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS)))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, kind, c_name, issued, due, minor."""
-    joined = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    given = table(spark, sf_dir, "orders")
+    joined = given.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     day = F.col("o_orderdate").cast("date")
-    return spread(joined).select("o_orderkey", (F.col("o_orderkey") % KINDS).alias("kind"), "o_custkey", "c_name", day.alias("issued"), F.date_add(day, 30).alias("due"), cents(F.col("o_totalprice")).alias("minor"))
+    return spread(joined, given.count()).select("o_orderkey", (F.col("o_orderkey") % KINDS).alias("kind"), "o_custkey", "c_name", day.alias("issued"), F.date_add(day, 30).alias("due"), cents(F.col("o_totalprice")).alias("minor"))
 
 
 def bodies(rows: DataFrame) -> DataFrame:
@@ -93,19 +98,40 @@ def invoices(rows: DataFrame) -> DataFrame:
     return rows.withColumn("xml", xml)
 
 
+def archive(data: bytes, method: int) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", method) as z:
+        z.writestr(zipfile.ZipInfo("folder/"), b"")
+        z.writestr(zipfile.ZipInfo("folder/note.txt"), b"note")
+        z.writestr(zipfile.ZipInfo("folder/bill.XML"), data, method)
+    return out.getvalue()
+
+
+def archives(plain: bool) -> Callable[[str], bytes]:
+    """archive() of a text. All such archives are alike but for the text, its checksum and sizes, and the directory's place, so only these are made for each."""
+    method = zipfile.ZIP_STORED if plain else zipfile.ZIP_DEFLATED
+    empty = archive(b"", zipfile.ZIP_STORED)
+    last, directory, entry = empty.rindex(b"PK\3\4"), empty.index(b"PK\1\2"), empty.rindex(b"PK\1\2")
+    kind = struct.pack("<H", method)
+    head, name, before, after, end = empty[: last + 8] + kind + empty[last + 10 : last + 14], empty[last + 26 : directory], empty[directory : entry + 10] + kind + empty[entry + 12 : entry + 16], empty[entry + 28 : -6], empty[-2:]
+
+    def one(text: str) -> bytes:
+        data = packed = text.encode()
+        if not plain:
+            deflate = zlib.compressobj(zlib.Z_DEFAULT_COMPRESSION, zlib.DEFLATED, -15)
+            packed = deflate.compress(data) + deflate.flush()
+        sizes = struct.pack("<3L", zlib.crc32(data), len(packed), len(data))
+        return b"".join((head, sizes, name, packed, before, sizes, after, struct.pack("<L", directory + len(packed)), end))
+
+    return one
+
+
 def zipped(xml: Column, stored: Column) -> Column:
     """An archive with a folder, a note and the text."""
 
-    def one(text: str, plain: bool) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED if plain else zipfile.ZIP_DEFLATED) as z:
-            z.writestr(zipfile.ZipInfo("folder/"), b"")
-            z.writestr(zipfile.ZipInfo("folder/note.txt"), b"note")
-            z.writestr(zipfile.ZipInfo("folder/bill.XML"), text.encode(), zipfile.ZIP_STORED if plain else zipfile.ZIP_DEFLATED)
-        return out.getvalue()
-
     def run(texts: pd.Series, plain: pd.Series) -> pd.Series:
-        return pd.Series([one(t, s) for t, s in zip(texts, plain, strict=True)])
+        made = {p: archives(p) for p in (True, False)}
+        return pd.Series([made[bool(s)](t) for t, s in zip(texts, plain, strict=True)])
 
     return F.pandas_udf(run, "binary")(xml, stored)
 
