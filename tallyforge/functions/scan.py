@@ -21,13 +21,20 @@ MONTHS = ["January", "February", "March", "April", "May", "June", "July", "Augus
 WINDOW = 40
 ANCHORED, UNANCHORED = 90, 40
 MARK, SEPARATOR = "\u0001", "\u0002"
-#: Places in a block of running().
-BLOCK = 256
+#: Places in a block of running(), and the number of pairs up to which comparing each is faster than a pass in order.
+BLOCK, PAIRS = 256, 64
 
-_BEFORE = r"(?=[0-9])(?:(?<=((?<![A-Za-z0-9])[A-Z]{3}\$|(?<![A-Za-z0-9]|[^\x00-\x7F])US\$|[€£]|(?<![A-Za-z0-9])[A-Z]{3})([  ]?)))?"
-_AFTER = r"(?=([  ]?)([A-Z]{3}\$|US\$|[€£]|[A-Z]{3}(?![A-Za-z0-9]))|)"
-#: Groups: 1 marker before, 2 blank after it, 3 numeral, 4 blank, 5 marker after.
-AMOUNT = rf"{_BEFORE}([0-9]+(?:[.,  ][0-9]+)*){_AFTER}"
+_BEFORE = r"(?<=((?<![A-Za-z0-9])[A-Z]{3}\$|(?<![A-Za-z0-9]|[^\x00-\x7F])US\$|[€£]|(?<![A-Za-z0-9])[A-Z]{3})([  ]?))"
+_AFTER = r"([  ]?)([A-Z]{3}\$|US\$|[€£]|[A-Z]{3}(?![A-Za-z0-9]))"
+_NUMERAL = "([0-9]++(?:[.,  ][0-9]++)*+)"
+#: Whole numerals with a marker on either side, as a numeral without one is no amount. A marker in front is a branch of its own, so its groups have numbers of their own.
+AMOUNT = rf"(?=[0-9])(?<![0-9])(?<![0-9][.,  ])(?:{_BEFORE}{_NUMERAL}(?={_AFTER}|)|{_NUMERAL}(?={_AFTER}))"
+#: Marker before, blank after it, numeral, blank, marker after.
+AMOUNT_GROUPS = ["$1", "$2", "$3$6", "$4$7", "$5$8"]
+
+
+#: What follows the decimal separator of a numeral that has one.
+DECIMALS = r"(?s)^(?:(?=[^.]*\.)(?=[^,]*,).*[.,]|[^.,]*[.,](?=[0-9]{2}\z))([^.,]*)\z"
 
 
 def _date_pattern() -> str:
@@ -49,7 +56,9 @@ def _date_pattern() -> str:
         *(f"{name(m)} {free[d]}, {y}" for d, m, y in groups),
     ]
     first = "|".join(n[:3] for n in MONTHS)
-    return f"(?i)(?=[0-9]|{first})(?:" + "|".join(shapes) + ")"
+    # what every shape begins with, so that the shapes are tried at few places
+    likely = rf"(?=[0-9JFMASOND])(?=[0-9]{{4}}-[0-9]{{2}}-|[0-9]{{2}}[./][0-9]{{2}}[./][0-9]|[0-9]{{1,2}} [JFMASOND]|(?:{first})[a-z]{{0,6}} [0-9])"
+    return f"(?i){likely}(?:" + "|".join(shapes) + ")"
 
 
 DATE = _date_pattern()
@@ -59,14 +68,18 @@ def anchor_pattern(*lists: list[str]) -> str:
     """Where a keyword of any of the lists stands: matches without width, with a group for each list, so that keywords of several lists can share characters. A keyword
     inside another one of its list ends where that one does."""
     words = [rf"(?:{'|'.join(anchors)})(?![A-Za-z])" for anchors in lists]
-    return r"(?i)(?<![A-Za-z])(?=" + "|".join(words) + ")" + "".join(f"(?=({w})|)" for w in words)
+    first = "".join(sorted({a[0] for anchors in lists for a in anchors}))
+    return rf"(?i)(?<![A-Za-z])(?=[{first}])(?=" + "|".join(words) + ")" + "".join(f"(?=({w})|)" for w in words)
+
+
+def unmarked(text: Column) -> Column:
+    """The text without the marks of pieces(): those that it has become another control character of the same size."""
+    return F.translate(text, MARK + SEPARATOR, "\u0004\u0004")
 
 
-def pieces(text: Column, pattern: str, groups: int) -> Column:
-    """What stands before the first match, then for each match its groups (0: the match itself) and what stands between it and the next one, as arrays, in one pass over the text. The
-    marks between these are control characters; those that the text has become another one of the same size."""
-    names = [f"${i}" for i in range(1, groups + 1)] or ["$0"]
-    marked = F.regexp_replace(F.translate(text, MARK + SEPARATOR, "\u0004\u0004"), F.lit(pattern), F.lit(MARK + SEPARATOR.join([*names, ""])))
+def pieces(text: Column, pattern: str, groups: list[str]) -> Column:
+    """What stands before the first match, then for each match its groups and what stands between it and the next one, as arrays, in one pass over the text, which is unmarked()."""
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(MARK + SEPARATOR.join([*groups, ""])))
     return F.transform(F.split(marked, MARK, -1), lambda p: F.split(p, SEPARATOR, -1))
 
 
@@ -80,7 +93,9 @@ def running(first: Column, steps: Column) -> Column:
         done = F.when(full, F.array_append(acc["done"], acc["block"])).otherwise(acc["done"])
         return F.struct((acc["at"] + step).alias("at"), done.alias("done"), F.array_append(F.when(full, empty).otherwise(acc["block"]), acc["at"]).alias("block"))
 
-    return F.aggregate(steps, start, put, lambda acc: F.flatten(F.array_append(acc["done"], acc["block"])))
+    # of a few steps, adding them up for each place anew is faster
+    short = F.transform(steps, lambda _, i: F.aggregate(F.slice(steps, F.lit(1), i), first, lambda at, step: at + step))
+    return F.when(F.size(steps) <= 8, short).otherwise(F.aggregate(steps, start, put, lambda acc: F.flatten(F.array_append(acc["done"], acc["block"]))))
 
 
 def places(found: Column, token: int | None) -> Column:
@@ -99,11 +114,8 @@ def matches_of(found: Column, names: list[str]) -> Column:
 
 def minor_units(token: Column) -> Column:
     """A numeral in hundredths. The decimal separator is the last of both kinds, or a lone one with two digits after it."""
-    both = token.contains(".") & token.contains(",")
-    lone = token.rlike(r"^[^.]*\.[0-9]{2}$") & ~token.contains(",") | token.rlike(r"^[^,]*,[0-9]{2}$") & ~token.contains(".")
-    decimal = both | lone
-    whole = F.regexp_replace(F.when(decimal, F.regexp_replace(token, r"[.,][^.,]*$", "")).otherwise(token), "[^0-9]", "")
-    rest = F.when(decimal, F.regexp_extract(token, r"[.,]([^.,]*)$", 1)).otherwise("")
+    rest = F.regexp_extract(token, DECIMALS, 1)
+    whole = F.regexp_replace(F.substring(token, F.lit(1), F.length(token) - F.length(rest)), "[^0-9]", "")
     cents = F.rpad(F.substring(rest, 1, 2), 2, "0")
     return F.when(cents.rlike("^[0-9]{2}$"), F.try_add(F.try_multiply(whole.try_cast("bigint"), F.lit(100).cast("bigint")), cents.try_cast("bigint")))
 
@@ -127,22 +139,24 @@ def calendar_date(token: Column) -> Column:
 
 def amounts(found: Column, starts: Column) -> Column:
     """array<struct<value: money, start, end>> of the numerals with a currency. A marker after a numeral counts before one in front of it, even if it is no currency."""
+    code_of = lambda m: F.when(m["after"] != "", marker_code(m["after"])).otherwise(marker_code(m["before"]))
 
     def one(m: Column, start: Column) -> Column:
         token, behind, ahead = m["token"], m["after"], m["before"]
         end = start + F.octet_length(token)
-        code = F.when(behind != "", marker_code(behind)).when(ahead != "", marker_code(ahead))
         first = F.when((behind == "") & (ahead != ""), start - F.octet_length(m["blank"]) - F.octet_length(ahead)).otherwise(start)
         last = F.when(behind != "", end + F.octet_length(m["gap"]) + F.octet_length(behind)).otherwise(end)
-        return F.struct(F.struct(minor_units(token).alias("minor_units"), code.alias("currency")).alias("value"), first.alias("start"), last.alias("end"))
+        return F.struct(F.struct(minor_units(token).alias("minor_units"), code_of(m).alias("currency")).alias("value"), first.alias("start"), last.alias("end"))
 
-    return F.filter(F.zip_with(found, starts, one), lambda m: m["value"]["minor_units"].isNotNull() & m["value"]["currency"].isin(*ISO_4217))
+    # what is no currency goes before its numeral is read
+    known = F.filter(F.zip_with(found, starts, lambda m, s: F.struct(m.alias("m"), s.alias("s"))), lambda p: code_of(p["m"]).isin(*ISO_4217))
+    return F.filter(F.transform(known, lambda p: one(p["m"], p["s"])), lambda m: m["value"]["minor_units"].isNotNull())
 
 
 def anchored(ends: Column, matches: Column, within: int = WINDOW) -> Column:
     """The first match in the window after the first keyword that has one: a range join inside the row, as one pass over both in order.
 
-    That match is the first one whose nearest keyword before it is near enough: an earlier keyword with a match in its window would have an earlier match."""
+    That match is the first one whose nearest keyword before it is near enough: an earlier keyword with a match in its window would have an earlier match. The matches come in order."""
     none = F.get(F.filter(matches, lambda m: F.lit(False)), F.lit(0))
     last = F.struct(none["start"].alias("end"), none.alias("hit"))
     events = F.concat(F.transform(ends, lambda a: F.struct(a.alias("at"), F.lit(0).alias("kind"), none.alias("match"))), F.transform(matches, lambda m: F.struct(m["start"].alias("at"), F.lit(1).alias("kind"), m.alias("match"))))
@@ -151,7 +165,9 @@ def anchored(ends: Column, matches: Column, within: int = WINDOW) -> Column:
         near = acc["hit"].isNull() & (event["kind"] == 1) & (event["at"] - acc["end"] <= within)
         return F.struct(F.when(event["kind"] == 0, event["at"]).otherwise(acc["end"]).alias("end"), F.when(near, event["match"]).otherwise(acc["hit"]).alias("hit"))
 
-    return F.aggregate(F.array_sort(events), last, step, lambda acc: acc["hit"])
+    near = F.filter(matches, lambda m: F.exists(ends, lambda e: (m["start"] - e).between(0, within)))
+    pairs = F.size(ends).cast("bigint") * F.size(matches)
+    return F.when(pairs <= PAIRS, F.get(near, F.lit(0))).otherwise(F.aggregate(F.sort_array(events), last, step, lambda acc: acc["hit"]))
 
 
 def as_field(match: Column, confidence: int, kind: Column, doc: Column, value_type: str) -> Column:
@@ -168,9 +184,10 @@ def scan(df: DataFrame, column: str, out: str, kind: Column | int, doc: Column |
     keys = {"amount": AMOUNT_ANCHORS, "due": DUE_ANCHORS, "issued": ISSUED_ANCHORS}
     groups = {"num": ["before", "blank", "token", "gap", "after"], "date": ["token"], "key": list(keys)}
     # without a digit there is nothing to find
-    given = F.when(t.rlike("[0-9]"), t)
     # one projection after another: each intermediate array is computed once
-    step = df.withColumns({own("num"): pieces(given, AMOUNT, 5), own("date"): pieces(given, DATE, 0), own("key"): pieces(given, anchor_pattern(*keys.values()), 3)})
+    step = df.withColumn(own("given"), F.when(t.rlike("[0-9]"), unmarked(t)))
+    given = F.col(own("given"))
+    step = step.withColumns({own("num"): pieces(given, AMOUNT, AMOUNT_GROUPS), own("date"): pieces(given, DATE, ["$0"]), own("key"): pieces(given, anchor_pattern(*keys.values()), ["$1", "$2", "$3"])})
     step = step.withColumns({own(f"{name}_at"): places(F.col(own(name)), {"num": 2, "date": 0, "key": None}[name]) for name in groups} | {own(f"{name}_found"): matches_of(F.col(own(name)), g) for name, g in groups.items()})
     both = lambda name: (F.col(own(f"{name}_found")), F.col(own(f"{name}_at")))
     dates = F.zip_with(*both("date"), lambda d, s: F.struct(calendar_date(d["token"]).alias("value"), s.alias("start"), (s + F.octet_length(d["token"])).alias("end")))
@@ -185,5 +202,7 @@ def scan(df: DataFrame, column: str, out: str, kind: Column | int, doc: Column |
     step = step.withColumn(own("issued_hit"), anchored(F.col(own("issued_ends")), F.col(own("other"))))
     amount = F.coalesce(as_field(F.col(own("amount_hit")), ANCHORED, kind, doc, MONEY), as_field(F.col(own("largest")), UNANCHORED, kind, doc, MONEY))
     issued = F.coalesce(as_field(F.col(own("issued_hit")), ANCHORED, kind, doc, "date"), as_field(F.get(F.col(own("other")), F.lit(0)), UNANCHORED, kind, doc, "date"))
-    step = step.withColumn(out, F.struct(amount.alias("amount"), as_field(due, ANCHORED, kind, doc, "date").alias("due"), issued.alias("issued")))
+    # a struct of columns, so that a field that nobody takes isn't looked for
+    step = step.withColumns({own("amount"): amount, own("due"): as_field(due, ANCHORED, kind, doc, "date"), own("issued"): issued})
+    step = step.withColumn(out, F.struct(*[F.col(own(name)).alias(name) for name in keys]))
     return step.drop(*[c for c in step.columns if c.startswith(f"_{out}_")])
