@@ -107,7 +107,10 @@ def read_archive(doc: int, content: bytes) -> dict:
 
 
 def read_archives(zips: pa.Array) -> pa.Array:
-    return pa.array([[read_archive(z["doc"], z["bytes"] or b"") for z in each.as_py() or []] for each in zips], _schema)
+    values = zips.values  # of all rows; offsets tell whose they are
+    docs, contents = values.field("doc").to_pylist(), values.field("bytes")
+    at = zips.offsets.to_pylist()
+    return pa.array([[read_archive(docs[i], contents[i].as_py() or b"") for i in range(at[n], at[n + 1])] if zips.null_count == 0 or zips[n].is_valid else [] for n in range(len(zips))], _schema)
 
 
 def archives(documents: Column) -> Column:
