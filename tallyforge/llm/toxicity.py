@@ -2,9 +2,9 @@
 
 Examples are a bounded, seeded sample of the labelled rows that aren't held out, as many of either class as there
 are, up to PER_CLASS. Terms are all words of the examples, and their vectors are plain TF-IDF: (1 + log tf) * (log((n + 1) / (df + 1)) + 1), of length one. The index
-is sparse: the postings of blocks of BLOCK examples and each term's largest weight in each block that has it. A
-text's blocks are visited in descending bound, and the rest is skipped once the bound is below the kth cosine, so
-the neighbours are exact. Neighbours vote with weights that fall with distance.
+is sparse: the postings of blocks of BLOCK examples. A
+text's blocks are visited in descending bound, which is made of terms' largest weights in a block, and the rest is skipped once the bound is below the kth cosine, so
+the neighbours are exact; texts are searched in groups (`Search`). Neighbours vote with weights that fall with distance.
 
 Calibration joins the vote with a second feature, the text's mark: by how much the log odds of any of its words for the toxic class, among the examples, are at most
 above SURE standard errors. Logistic regression weighs the vote's log odds and the mark, and isotonic regression turns their sum into a rate; both are fitted on
@@ -19,10 +19,12 @@ score; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +35,28 @@ from tallyforge.llm.common import is_held_out, least_hashed, slices, texts
 
 PER_CLASS = 2048
 BLOCK = 64
-#: Blocks that a text looks at first, and how many times as many each next time: few steps, as a step costs about what a few blocks do.
+#: Blocks that a text looks at first, and how many times as many each next time: few steps, as each orders the cosines so far.
 FIRST, GROWTH = 8, 16
 K = 15
 THRESHOLD = 0.3
 EVIDENCE = 5
 #: Standard errors that a word's log odds must exceed to be a mark.
 SURE = 2.0
+#: Terms of at least one of so many examples are frequent, the most frequent ones if there are more than MATRIX.
+FREQUENT, MATRIX = 16, 2048
+#: Cosines, and postings of terms that aren't frequent, that are held at a time (one text's at least).
+SCORES, POSTINGS = 1 << 20, 1 << 17
 _word = re.compile(r"[^\W\d_]+")
+#: Each byte of Latin-1, or a blank if it is no part of a word.
+_latin = bytes(i if _word.fullmatch(chr(i)) else 0x20 for i in range(256))
 
 
 def words(text: str) -> list[str]:
-    return _word.findall(text.lower())
+    text = text.lower()
+    try:
+        return text.encode("latin-1").translate(_latin).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _word.findall(text)
 
 
 class Starts:
@@ -68,9 +80,7 @@ def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """vocabulary: term -> number; weights: of each term; positions (of the examples) and values: the postings, block by block and term by term in these.
-
-    A cell is a term in a block: of_term has where each term's cells start in block, largest, first and end."""
+    """vocabulary: term -> number; weights: of each term; positions (of the examples) and values: the postings, block by block and term by term in these."""
 
     vocabulary: dict[str, int]
     weights: np.ndarray
@@ -79,11 +89,6 @@ class Index:
     starts: Starts
     positions: np.ndarray
     values: np.ndarray
-    of_term: np.ndarray
-    block: np.ndarray
-    largest: np.ndarray
-    first: np.ndarray
-    end: np.ndarray
     marks: np.ndarray
     #: What the vote's log odds and the mark weigh, and what is added.
     mix: np.ndarray | None = None
@@ -92,6 +97,14 @@ class Index:
     rate: float = 0.0
     none: float = 0.0
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "search"}
+
+    @functools.cached_property
+    def search(self) -> Search:
+        """Made once wherever it is needed, as it isn't sent with the index."""
+        return Search(self)
+
     @property
     def rows(self) -> np.ndarray:
         """The postings' rows in their blocks."""
@@ -99,9 +112,8 @@ class Index:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The terms and their weights, of length one."""
-        get = self.vocabulary.get
         tf = Counter(words(text))
-        terms, counts = np.array([get(t, -1) for t in tf], dtype=np.int64), np.array([*tf.values()], dtype=float)
+        terms, counts = np.fromiter(map(self.vocabulary.get, tf, repeat(-1)), np.int64, len(tf)), np.fromiter(tf.values(), float, len(tf))
         order = np.argsort(terms)[np.count_nonzero(terms < 0) :]
         terms = terms[order]
         w = (1 + np.log(counts[order])) * self.weights[terms]
@@ -109,52 +121,117 @@ class Index:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples whose cosine is above zero."""
-        if not len(terms):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        cell, of = ranges(self.of_term[terms], self.of_term[terms + 1])
-        block, w = self.block[cell], weights[of]
-        bound = np.bincount(block, weights=w * self.largest[cell], minlength=len(self.starts))
-        order, done, step = np.argsort(-bound, kind="stable"), 0, FIRST
-        # the cells in the order of their blocks, so that each step takes a run of them
-        rank = np.empty(len(order), dtype=np.int16 if len(order) < 1 << 15 else np.int64)
-        rank[order] = np.arange(len(order))
-        turn = rank[block]
-        by_turn = np.argsort(turn, kind="stable")
-        begin = np.searchsorted(turn[by_turn], np.arange(len(order) + 1))
-        cell, w = cell[by_turn], w[by_turn]
-        first = self.first[cell]
-        n = self.end[cell] - first
-        at, cosine = np.zeros(0, dtype=np.int64), np.zeros(0)
-        while done < len(order):
-            now = order[done : done + step]
-            # sums round in their own order
-            now = now[(bound[now] > 0) & ((bound[now] >= cosine[-1] - 1e-12) if len(at) == k else True)]
-            if not len(now):
-                break
-            own = slice(begin[done], begin[done + len(now)])
-            done, step = done + step, GROWTH * step
-            last = np.cumsum(n[own])
-            place = np.repeat(first[own] - last + n[own], n[own]) + np.arange(last[-1])
-            score = np.bincount(self.positions[place], weights=self.values[place] * np.repeat(w[own], n[own]), minlength=BLOCK * len(bound))
-            position = np.flatnonzero(score > 0)
-            position = position[position != without]
-            if len(position) > k:
-                position = position[score[position] >= np.partition(score[position], -k)[-k]]
-            at, cosine = np.concatenate([at, position]), np.concatenate([cosine, score[position]])
-            best = np.lexsort((at, -cosine))[:k]
-            at, cosine = at[best], cosine[best]
-        return at, cosine
+        return next(self.search.nearest([(terms, weights)], k, [without]))
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """The toxic share of the neighbours, weighted by nearness."""
         w = 1 / (1.05 - np.minimum(cosine, 1.0))
         return float((w @ self.toxic[at] + 0.5) / (w.sum() + 1.0))
 
-    def score(self, terms: np.ndarray, at: np.ndarray, cosine: np.ndarray) -> float:
-        """The calibrated rate of a text of these terms and neighbours."""
+    def score(self, terms: np.ndarray, vote: float | None) -> float:
+        """The calibrated rate of a text of these terms and this vote, None without neighbours."""
         if self.votes is None:
             return self.rate
-        return float(np.interp(features(self.vote(at, cosine), self.marks[terms].max(initial=0.0)) @ self.mix, self.votes, self.rates)) if len(at) else self.none
+        return self.none if vote is None else float(np.interp(features(vote, self.marks[terms].max(initial=0.0)) @ self.mix, self.votes, self.rates))
+
+
+class Search:
+    """The postings in the layouts of the search.
+
+    Postings of frequent terms are a matrix [term, row] for each block, with each term's largest weight in it, as most examples that a text looks at share them;
+    those of the others are lists by term. For groups of texts, first the lists are added up. A block's bound is the most that this gave one of its rows and each frequent term's
+    largest weight in it. Blocks are visited in descending bound by a product of the texts that need them and the block's matrix, in single precision, and skipped once the bound is
+    below the kth cosine. Whatever may be among the k nearest by the rounding's limit gets its cosine in double precision, term by term, so that neither
+    rounding nor the group a text is in shows in the result."""
+
+    def __init__(self, index: Index) -> None:
+        n, terms, blocks = len(index.ids), len(index.vocabulary), len(index.starts)
+        term, row = np.repeat(index.starts.cells % max(1, terms), np.diff(index.starts.offsets)), index.positions.astype(np.int64)
+        often, frequent = np.bincount(term, minlength=terms), np.zeros(terms, dtype=bool)
+        most = np.argsort(-often, kind="stable")[:MATRIX]
+        frequent[most[often[most] * FREQUENT >= n]] = True
+        self.terms, self.blocks, self.column = terms, blocks, np.where(frequent, np.cumsum(frequent) - 1, -1)
+        at = frequent[term]
+        self.dense = np.zeros((blocks, np.count_nonzero(frequent), BLOCK), dtype=np.float32)
+        self.dense[row[at] // BLOCK, self.column[term[at]], row[at] % BLOCK] = index.values[at]
+        self.largest = np.ascontiguousarray(self.dense.max(axis=2).T)
+        # a cosine's terms aren't negative, so each sum is right to this share of itself; skipping compares two sums
+        self.slack = 4 * (self.dense.shape[1] + 8) * 2.0**-23
+        rare = np.flatnonzero(~at)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.rare_row, self.rare_value, self.rare_start = row[rare], index.values[rare], np.searchsorted(term[rare], np.arange(terms + 1))
+        by_row = np.argsort(row, kind="stable")
+        self.own_term, self.own_value, self.own_start = term[by_row], index.values[by_row], np.searchsorted(row[by_row], np.arange(n + 1))
+        # the first example of the same vector
+        first: dict[bytes, int] = {}
+        self.same = np.array([first.setdefault(hashlib.sha256(self.own_term[i:j].tobytes() + self.own_value[i:j].tobytes()).digest(), e) for e, (i, j) in enumerate(pairwise(self.own_start))], dtype=np.int64)
+
+    def nearest(self, given: list[tuple[np.ndarray, np.ndarray]], k: int, without: Sequence[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and cosines of the k nearest examples of each vector, without one of them (or -1)."""
+        rows = max(1, SCORES // (self.blocks * BLOCK))
+        for at in range(0, len(given), rows):
+            yield from self.group(given[at : at + rows], k, None if without is None else np.array(without[at : at + rows]))
+
+    def listed(self, of: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """[text, block, row]: what the terms that aren't frequent add to the cosines, some texts at a time, by the postings they have."""
+        width, out = self.blocks * BLOCK, np.empty((n, self.blocks, BLOCK), dtype=np.float32)
+        used = np.flatnonzero(self.column[terms] < 0)
+        of, weights, start, end = of[used], weights[used], self.rare_start[terms[used]], self.rare_start[terms[used] + 1]
+        total, begin, low = np.cumsum(np.bincount(of, weights=end - start, minlength=n)), np.searchsorted(of, np.arange(n + 1)), 0
+        while low < n:
+            high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + POSTINGS, side="right")))
+            own = slice(begin[low], begin[high])
+            m = end[own] - start[own]
+            place = np.repeat(start[own] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            cell = self.rare_row[place] + np.repeat((of[own] - low) * width, m)
+            out[low:high] = np.bincount(cell, weights=self.rare_value[place] * np.repeat(weights[own], m), minlength=(high - low) * width).reshape(-1, self.blocks, BLOCK)
+            low = high
+        return out
+
+    def group(self, given: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = len(given)
+        of, terms, weights = np.repeat(np.arange(n), [len(t) for t, _ in given]), np.concatenate([t for t, _ in given]), np.concatenate([w for _, w in given])
+        score = self.listed(of, terms, weights, n)
+        flat = score.reshape(n, -1)
+        if without is not None:
+            left_out = np.flatnonzero(without >= 0)
+            flat[left_out, without[left_out]] = -np.inf
+        used = self.column[terms] >= 0
+        weight = np.zeros((n, self.dense.shape[1]), dtype=np.float32)
+        weight[of[used], self.column[terms[used]]] = weights[used]
+        bound = score.max(axis=2) + weight @ self.largest
+        turn, done, step, least = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1), 0, FIRST, np.zeros((n, 1), dtype=np.float32)
+        while done < self.blocks:
+            now = (turn >= done) & (turn < done + step) & (bound > 0) & (bound >= least)
+            if not now.any():
+                break
+            for b in np.flatnonzero(now.any(axis=0)):
+                needed = np.flatnonzero(now[:, b])
+                score[needed, b] += weight[needed] @ self.dense[b]
+            done, step = done + step, GROWTH * step
+            # a block that wasn't visited has too small sums, which are below its bound
+            least = np.maximum(0, np.partition(flat, -k, axis=1)[:, -k, None] * (1 - self.slack)) if k <= flat.shape[1] else least
+        text, at = np.nonzero((flat > 0) & (flat >= least))
+        cosine = self.cosines(given, text, at)
+        best = np.lexsort((at, -cosine, text))
+        at, cosine, begin = at[best], cosine[best], np.searchsorted(text, np.arange(n + 1))
+        for i, j in pairwise(begin):
+            yield at[i : min(j, i + k)], cosine[i : min(j, i + k)]
+
+    def cosines(self, given: list[tuple[np.ndarray, np.ndarray]], text: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The cosines of texts (ascending) and examples, one for examples of the same vector."""
+        pair, which = np.unique(text * len(self.same) + self.same[at], return_inverse=True)
+        example, begin = pair % max(1, len(self.same)), np.searchsorted(pair, np.arange(len(given) + 1) * len(self.same))
+        out, weight = np.zeros(len(pair)), np.zeros(self.terms)
+        for (terms, weights), (i, j) in zip(given, pairwise(begin), strict=True):
+            weight[terms] = weights
+            # some at a time, as a text may be as near to many
+            for low in range(i, j, BLOCK):
+                own = example[low : min(j, low + BLOCK)]
+                place, of = ranges(self.own_start[own], self.own_start[own + 1])
+                out[low : low + len(own)] = np.bincount(of, weights=self.own_value[place] * weight[self.own_term[place]], minlength=len(own))
+            weight[terms] = 0.0
+        return out[which]
 
 
 def features(vote: float, mark: float) -> np.ndarray:
@@ -222,19 +299,15 @@ def build(examples: list[tuple[int, int, dict[str, int]]], rate: float) -> Index
     order = np.argsort(key, kind="stable")
     cells, first = np.unique(key[order], return_index=True)
     positions, values, offsets = row[order].astype(np.int32), value[order], np.append(first, len(order))
-    largest = np.maximum.reduceat(values, first) if len(first) else np.zeros(0)
-    by_term = np.argsort(cells % max(1, len(vocabulary)), kind="stable")
-    of_term = np.searchsorted((cells % max(1, len(vocabulary)))[by_term], np.arange(len(vocabulary) + 1))
     index = Index(
         vocabulary, weights, np.array([e[0] for e in examples], dtype=np.int64), np.array([e[1] for e in examples], dtype=float), Starts(cells, offsets, blocks, len(vocabulary)), positions, values,
-        of_term, (cells // max(1, len(vocabulary)))[by_term], largest[by_term], offsets[:-1][by_term], offsets[1:][by_term], marked(a, b, n1, n0), rate=rate,
+        marked(a, b, n1, n0), rate=rate,
     )
     if not n1 or not n0 or not vocabulary:
         return index
     share = np.where(index.toxic == 1, rate / n1, (1 - rate) / n0)
     x, without = np.zeros((len(examples), 3)), np.zeros(len(examples), dtype=bool)
-    for i, (_, y, _) in enumerate(examples):
-        found = index.nearest(*own[i], K, without=i)
+    for i, ((_, y, _), found) in enumerate(zip(examples, index.search.nearest(own, K, range(len(own))), strict=True)):
         without[i] = not len(found[0])
         if not without[i]:
             # the words' counts without this example
@@ -247,6 +320,8 @@ def build(examples: list[tuple[int, int, dict[str, int]]], rate: float) -> Index
     if (~without).any():
         index.mix = logistic(x[~without], index.toxic[~without], share[~without])
         index.votes, index.rates = isotonic(x[~without] @ index.mix, index.toxic[~without], share[~without])
+    # the driver searches no more
+    del index.search
     return index
 
 
@@ -284,9 +359,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 given = [index.vector(t) for t in texts(batch)]
-                found = [index.nearest(*v, K) for v in given]
-                scores = np.array([index.score(v[0], *f) for v, f in zip(given, found, strict=True)])
+                found = [*index.search.nearest(given, K)]
                 votes = [index.vote(*f) if len(f[0]) else None for f in found]
+                scores = np.array([index.score(v[0], vote) for v, vote in zip(given, votes, strict=True)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(votes, pa.float64()), pa.array([index.ids[f[0][:EVIDENCE]].tolist() for f in found], pa.list_(pa.int64()))],
                     names=["doc_id", "held_out", "score", "predicted", "vote", "evidence"],
