@@ -292,6 +292,7 @@ def build(examples: list[tuple[int, int, dict[str, int]]], rate: float) -> Index
         terms = np.array(sorted(vocabulary[t] for t in counts), dtype=np.int64)
         w = (1 + np.log(np.array([c for _, c in sorted((vocabulary[t], c) for t, c in counts.items())], dtype=float))) * weights[terms]
         own.append((terms, w / np.sqrt(w @ w) if len(w) else w))
+    examples = [(doc, y) for doc, y, _ in examples]
     term = np.concatenate([np.zeros(0, dtype=np.int64), *(o[0] for o in own)])
     value = np.concatenate([np.zeros(0), *(o[1] for o in own)])
     row = np.repeat(np.arange(len(own)), [len(o[0]) for o in own])
@@ -303,11 +304,12 @@ def build(examples: list[tuple[int, int, dict[str, int]]], rate: float) -> Index
         vocabulary, weights, np.array([e[0] for e in examples], dtype=np.int64), np.array([e[1] for e in examples], dtype=float), Starts(cells, offsets, blocks, len(vocabulary)), positions, values,
         marked(a, b, n1, n0), rate=rate,
     )
+    del df, toxic_df, term, value, row, key, order, first
     if not n1 or not n0 or not vocabulary:
         return index
     share = np.where(index.toxic == 1, rate / n1, (1 - rate) / n0)
     x, without = np.zeros((len(examples), 3)), np.zeros(len(examples), dtype=bool)
-    for i, ((_, y, _), found) in enumerate(zip(examples, index.search.nearest(own, K, range(len(own))), strict=True)):
+    for i, ((_, y), found) in enumerate(zip(examples, index.search.nearest(own, K, range(len(own))), strict=True)):
         without[i] = not len(found[0])
         if not without[i]:
             # the words' counts without this example
@@ -347,7 +349,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ind
             toxic[doc] = y
             if t is not None:
                 counts.setdefault(doc, {})[t] = n
-    return build([(doc, y, counts.get(doc, {})) for doc, y in sorted(toxic.items())], rate)
+    # build drops the counts before it searches
+    return build([(doc, y, counts.pop(doc, {})) for doc, y in sorted(toxic.items())], rate)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
